@@ -1,8 +1,10 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from . import hamming
+from . import hamming, media, minhash
 
 QUERIES = {
+    "op3_minhash_fingerprints": minhash.query,
+    "op8_media_columns": media.query,
     "op9_simhash_components": hamming.query,
 }
 
