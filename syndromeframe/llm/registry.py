@@ -1,8 +1,9 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from . import hamming, media, minhash
+from . import hamming, media, minhash, warc
 
 QUERIES = {
+    "op1_warc_round_trip": warc.query,
     "op3_minhash_fingerprints": minhash.query,
     "op8_media_columns": media.query,
     "op9_simhash_components": hamming.query,
