@@ -1,10 +1,11 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from . import hamming, media, minhash, warc
+from . import hamming, media, minhash, packing, warc
 
 QUERIES = {
     "op1_warc_round_trip": warc.query,
     "op3_minhash_fingerprints": minhash.query,
+    "op5_best_fit_packing": packing.query,
     "op8_media_columns": media.query,
     "op9_simhash_components": hamming.query,
 }
