@@ -1,10 +1,12 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from . import hamming, media, minhash, packing, warc
+from . import hamming, langid, media, minhash, packing, quality, warc
 
 QUERIES = {
     "op1_warc_round_trip": warc.query,
+    "op2_quality_crf": quality.query,
     "op3_minhash_fingerprints": minhash.query,
+    "op4_language_masks": langid.query,
     "op5_best_fit_packing": packing.query,
     "op8_media_columns": media.query,
     "op9_simhash_components": hamming.query,
