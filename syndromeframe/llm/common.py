@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Texts reach some hundred kilobytes, so the default of 10,000 rows is too many.
-BATCH_ROWS = 1000
+BATCH_ROWS = 400
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
