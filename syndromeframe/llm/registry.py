@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from . import hamming, langid, media, minhash, packing, quality, warc
+from . import hamming, html_text, langid, licenses, media, minhash, packing, quality, warc
 
 QUERIES = {
     "op1_warc_round_trip": warc.query,
@@ -8,6 +8,8 @@ QUERIES = {
     "op3_minhash_fingerprints": minhash.query,
     "op4_language_masks": langid.query,
     "op5_best_fit_packing": packing.query,
+    "op6_main_text": html_text.query,
+    "op7_license_scan": licenses.query,
     "op8_media_columns": media.query,
     "op9_simhash_components": hamming.query,
 }
