@@ -27,6 +27,8 @@ RATIO = 0.2
 SLOTS_LOG2 = 18
 HASHES = 3
 UNKNOWN = "und"
+#: Texts below this corrected share of n-grams of any language are in none of them.
+LEAST_SHARE = 0.25
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -192,12 +194,23 @@ def predict_udf(model: Model):
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """docs with held_out (crc32 of doc_id modulo 5 is 0), lang_pred, score and share, learned from the other rows."""
+    """docs with held_out (crc32 of doc_id modulo 5 is 0), lang_pred, score and share, learned from the other rows.
+
+    Columns that already have these names are replaced. An empty table gives an empty result.
+    """
     common.small_batches(docs.sparkSession)
+    docs = docs.drop("held_out", "lang_pred", "score", "share", "_p")
     held_out = common.crc_fold("doc_id", 5) == 0
     model = learn(docs.filter(~held_out))
     return docs.withColumn("held_out", held_out).withColumn("_p", predict_udf(model)(F.col("text"))).select(*docs.columns, "held_out", "_p.lang_pred", "_p.score", "_p.share")
 
 
+def known_language(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
+    """The rows of docs that read as one of the learned languages, by their corrected share of n-grams."""
+    common.small_batches(docs.sparkSession)
+    model = learn(docs.filter(common.crc_fold("doc_id", 5) != 0))
+    return docs.filter(predict_udf(model)(F.col("text"))["share"] >= least_share)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return with_language(common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")

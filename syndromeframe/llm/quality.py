@@ -246,13 +246,25 @@ def score_udf(model: Model | None):
 
 
 def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with held_out (crc32 of doc_id modulo 4 is 2), score and predicted (1 from THRESHOLD up)."""
+    """docs with held_out (crc32 of doc_id modulo 4 is 2), score and predicted (1 from THRESHOLD up).
+
+    Columns that already have these names are replaced; null and empty texts get the prior's score; rows that
+    repeat a doc_id are scored each by itself. An empty table gives an empty result.
+    """
     common.small_batches(docs.sparkSession)
+    docs = docs.drop("held_out", "score", "predicted")
     model = learn(docs, labels)
     scored = docs.withColumn("held_out", common.crc_fold("doc_id", 4) == 2).withColumn("score", score_udf(model)(F.col("text")))
     return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
 
+def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that score THRESHOLD or more; all of them if no model can be learned."""
+    common.small_batches(docs.sparkSession)
+    model = learn(docs, labels)
+    return docs if model is None else docs.filter(score_udf(model)(F.col("text")) >= THRESHOLD)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return with_quality(docs, common.table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")

@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from . import hamming, html_text, langid, licenses, media, minhash, packing, quality, warc
+from . import hamming, html_text, langid, licenses, media, minhash, mixing, packing, quality, warc
 
 QUERIES = {
     "op1_warc_round_trip": warc.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_license_scan": licenses.query,
     "op8_media_columns": media.query,
     "op9_simhash_components": hamming.query,
+    "op10_pfair_mixing": mixing.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
