@@ -63,8 +63,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(1) if len(a) else np.zeros(0)
 
 
-def to_hex(sig: np.ndarray) -> list[str]:
-    return [row.tobytes().hex() for row in sig.astype(">u2")]
+def to_bytes(sig: np.ndarray) -> list[bytes]:
+    return [row.tobytes() for row in sig.astype(">u2")]
 
 
 def edited(text: str, following: str) -> str:
@@ -73,7 +73,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-_DIGEST = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_DIGEST = "doc_id bigint, n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _digest(ids: list, texts: list[str], following: list[str]) -> dict:
@@ -85,9 +85,9 @@ def _digest(ids: list, texts: list[str], following: list[str]) -> dict:
     return {
         "doc_id": pa.array(ids, pa.int64()),
         "n_chars": pa.array([len(t) for t in texts], pa.int64()),
-        "edited_sha256": [hashlib.sha256(c.encode()).hexdigest() for c in changed],
-        "fingerprint": to_hex(sig[:n]),
-        "edited_fingerprint": to_hex(sig[n:]),
+        "edited_sha256": [hashlib.sha256(c.encode()).digest() for c in changed],
+        "fingerprint": to_bytes(sig[:n]),
+        "edited_fingerprint": to_bytes(sig[n:]),
         "near_edited": likeness(sig[:n], sig[n:]),
         "near_next": likeness(sig[:n], nxt),
     }
@@ -125,7 +125,7 @@ def _along(batches):
         yield edge("last", held)
 
 
-_FIELDS = [pa.field("kind", pa.string()), pa.field("pid", pa.int32()), pa.field("text", pa.string()), pa.field("doc_id", pa.int64()), pa.field("n_chars", pa.int64()), pa.field("edited_sha256", pa.string()), pa.field("fingerprint", pa.string()), pa.field("edited_fingerprint", pa.string()), pa.field("near_edited", pa.float64()), pa.field("near_next", pa.float64())]
+_FIELDS = [pa.field("kind", pa.string()), pa.field("pid", pa.int32()), pa.field("text", pa.string()), pa.field("doc_id", pa.int64()), pa.field("n_chars", pa.int64()), pa.field("edited_sha256", pa.binary()), pa.field("fingerprint", pa.binary()), pa.field("edited_fingerprint", pa.binary()), pa.field("near_edited", pa.float64()), pa.field("near_next", pa.float64())]
 
 
 def _joined(batches):
@@ -155,7 +155,9 @@ def neighbour_digests(docs: DataFrame) -> DataFrame:
     firsts = found.filter("kind = 'first'").select(F.col("pid").alias("next_pid"), F.col("text").alias("following"))
     lasts = found.filter("kind = 'last'").select("pid", "doc_id", "text").join(after, "pid").join(firsts, "next_pid")
     ends = lasts.select("doc_id", "text", "following").mapInArrow(_joined, _DIGEST)
-    return found.filter("kind = 'row'").select(names).unionByName(ends)
+    rows = found.filter("kind = 'row'").select(names).unionByName(ends)
+    binary = ("edited_sha256", "fingerprint", "edited_fingerprint")  # half the size of hex while stored
+    return rows.select([F.lower(F.hex(c)).alias(c) if c in binary else F.col(c) for c in names])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
