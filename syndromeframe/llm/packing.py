@@ -8,6 +8,7 @@ bins are empty. Bins that stay underfull are dealt anew to fewer shards until on
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from functools import cache
@@ -26,8 +27,8 @@ TOKENIZER = "word_bpe_49k.json"
 SHARD = 5000
 #: Least-filled bins of a shard that the local search tries to empty.
 VICTIMS = 64
-#: Words whose ids a task remembers; beyond it the memory is begun anew.
-CACHE_WORDS = 300_000
+#: Words whose ids a worker keeps in memory.
+CACHE_WORDS = 400_000
 
 # The tokenizer's word pattern on lower-cased Latin-1 text, and its white space.
 WORDS = re.compile(
@@ -54,7 +55,8 @@ def _tokenizer(name: str):
 class WordIds:
     """Ids of texts through remembered ids of their words; texts beyond Latin-1 go through the tokenizer whole.
 
-    Each word of the pattern is encoded on its own by the tokenizer, so the ids are the same.
+    Each word of the pattern is encoded on its own by the tokenizer, so the ids are the same. The first
+    CACHE_WORDS words stay remembered (frequent ones come early), later ones only while their texts are encoded.
     """
 
     def __init__(self, name: str = TOKENIZER):
@@ -65,22 +67,32 @@ class WordIds:
         self.index: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        self.missed = 0
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of each): one string with a space between them, as the pattern splits there."""
+        enc = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids, word = np.array(enc.ids, np.uint32), np.array(enc.word_ids, np.int64)
+        if not len(word) or word[-1] + 1 != len(words):
+            raise ValueError("the tokenizer's words differ from the pattern's")
+        return ids, np.bincount(word, minlength=len(words))
 
     def _learn(self, words: list[str]) -> None:
-        for enc, word in zip(self.tokenizer.encode_batch(words, add_special_tokens=False), words, strict=True):
-            ids, at = enc.ids, len(self.index)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if at == len(self.starts):
-                self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[at], self.sizes[at] = self.used, len(ids)
-            self.used += len(ids)
-            self.index[word] = at
+        ids, sizes = self._ids(words)
+        at, n = len(self.index), len(words)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while at + n > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.sizes[at : at + n] = sizes
+        self.starts[at : at + n] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.index.update(zip(words, range(at, at + n), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text."""
-        if len(self.index) > CACHE_WORDS:
+        if self.missed > 20 * CACHE_WORDS:  # another corpus
             self.clear()
         words, counts, slow = [], [], {}
         for k, text in enumerate(texts):
@@ -92,19 +104,39 @@ class WordIds:
                 found = []
             words += found
             counts.append(len(found))
-        if new := [w for w in set(words) if w not in self.index]:
-            self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        at = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int64, len(words))
+        flat, starts, sizes = self.flat, self.starts, self.sizes
+        if len(missing := np.flatnonzero(at < 0)):
+            unknown = [words[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(unknown))
+            if len(self.index) < CACHE_WORDS:
+                self._learn(new)
+                at[missing] = [self.index[w] for w in unknown]
+                flat, starts, sizes = self.flat, self.starts, self.sizes
+            else:
+                self.missed += len(new)
+                ids, n = self._ids(new)
+                place = dict(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+                at[missing] = [place[w] for w in unknown]
+                flat = np.concatenate([flat[: self.used], ids])
+                starts = np.concatenate([starts[: len(self.index)], self.used + np.cumsum(n) - n])
+                sizes = np.concatenate([sizes[: len(self.index)], n])
+        n = sizes[at]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(starts[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
         stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
         return [slow[k] if k in slow else ids[stops[k] : stops[k + 1]] for k in range(len(texts))]
 
 
+@cache
+def _word_ids(name: str) -> WordIds:
+    """One memory of words by process: tasks that follow each other in a worker share it."""
+    return WordIds(name)
+
+
 def _pieces(capacity: int, tokenizer: str, with_ids: bool):
     def run(batches):
-        words = WordIds(tokenizer)
+        words = _word_ids(tokenizer)
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             _, offs = vectext.buffers(texts)
