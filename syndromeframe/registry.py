@@ -1,2 +1,5 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""All queries of the engine and their SQL."""
+
+from .queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
