@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.grids import Grid
 from . import kernel
-from .lattice import Adjacency
+from .lattice import Adjacency, GraphAdjacency
 
 #: Node slots of all shots that one kernel call handles; large lattices get fewer shots a call.
 CHUNK_NODES = 1 << 20
@@ -25,7 +26,7 @@ def _lists(shot: np.ndarray, values: pa.Array, shots: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(shot, minlength=shots))]), pa.int32()), values)
 
 
-def _run(grid: Grid, erased: frozenset[int]):
+def _run(adjacency: Callable[[], Adjacency | GraphAdjacency]):
     def decode_chunk(adj: Adjacency, key: np.ndarray, node: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
         keys, shot = np.unique(key, return_inverse=True)
         shots = len(keys)
@@ -45,7 +46,7 @@ def _run(grid: Grid, erased: frozenset[int]):
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(count[0]), pa.array(outside.astype(np.int32)), pa.array(count[1]), _lists(c_shot, pa.array(u), shots), _lists(c_shot, far, shots)], ["shot_id", "n_defects", "n_outside", "n_unresolved", "u", "v"])
 
     def run(batches: Iterable[pa.RecordBatch]):
-        adj = Adjacency(grid, erased)
+        adj = adjacency()
         most = max(1, CHUNK_NODES // len(adj.public))
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
         for batch in batches:
@@ -73,7 +74,38 @@ def decode(defects: DataFrame, grid: Grid, erased: Iterable[int] = (), erasures:
     rows = defects.select(F.col(shot).cast("bigint").alias("shot_id"), F.col(node).cast("bigint").alias("node"), F.lit(False).alias("gone")).filter("shot_id IS NOT NULL AND node IS NOT NULL")
     if erasures is not None:
         rows = rows.unionByName(erasures.select(F.col(shot).cast("bigint").alias("shot_id"), F.col(node).cast("bigint").alias("node"), F.lit(True).alias("gone")))
-    return rows.repartition("shot_id").sortWithinPartitions("shot_id").mapInArrow(_run(grid, frozenset(int(x) for x in erased)), SCHEMA)
+    return _by_shot(rows, partial(Adjacency, grid, frozenset(int(x) for x in erased)))
+
+
+def _by_shot(rows: DataFrame, adjacency: Callable[[], Adjacency | GraphAdjacency]) -> DataFrame:
+    return rows.repartition("shot_id").sortWithinPartitions("shot_id").mapInArrow(_run(adjacency), SCHEMA)
+
+
+def decode_graph(defects: DataFrame, edges: DataFrame, shot: str = "shot_id", node: str = "node") -> DataFrame:
+    """As decode on any graph: edges (edge_id, u, v), v null at the boundary, for instance a user's lattice.
+
+    The graph is a fixed relation of the code and is sent to every task.
+    """
+    found = sorted((r.edge_id, r.u, -1 if r.v is None else r.v) for r in edges.select("edge_id", "u", "v").collect())
+    u, v = (np.array([f[k] for f in found], np.int64) for k in (1, 2))
+    rows = defects.select(F.col(shot).cast("bigint").alias("shot_id"), F.col(node).cast("bigint").alias("node"), F.lit(False).alias("gone")).filter("shot_id IS NOT NULL AND node IS NOT NULL")
+    return _by_shot(rows, partial(GraphAdjacency, u, v))
+
+
+def model_edges(mechanisms: DataFrame) -> DataFrame:
+    """(edge_id, u, v, frame) of an error model's mechanisms with one or two detectors.
+
+    Parallel mechanisms become one edge, that of the likeliest (then first) one; mechanisms with more detectors
+    need a decomposition and are left out: unsupported(mechanisms) lists them.
+    """
+    n = F.size("detectors")
+    e = mechanisms.filter((n == 1) | (n == 2)).select("mech_id", "p", "frame", F.get("detectors", F.lit(0)).alias("u"), F.when(n == 2, F.get("detectors", F.lit(1))).alias("v"))
+    best = e.groupBy("u", "v").agg(F.max_by(F.struct("mech_id", "frame"), F.struct("p", (-F.col("mech_id")).alias("m"))).alias("b"))
+    return best.select(F.col("b.mech_id").alias("edge_id"), "u", "v", F.col("b.frame").alias("frame"))
+
+
+def unsupported(mechanisms: DataFrame) -> DataFrame:
+    return mechanisms.filter(F.size("detectors") > 2).select("mech_id", F.lit("unsupported").alias("status"))
 
 
 def decode_sparse(defects: DataFrame, grid: Grid, most: int = SPARSE_DEFECTS) -> DataFrame:

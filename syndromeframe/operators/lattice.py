@@ -62,34 +62,43 @@ def edges(spark: SparkSession, grid: Grid) -> DataFrame:
     return rows.select((F.row_number().over(order) - 1).cast("bigint").alias("edge_id"), "u", "v")
 
 
+class GraphAdjacency:
+    """As Adjacency for any edges (u, v; v = -1 at the boundary) in the order of their ids; nodes are those they name."""
+
+    def __init__(self, u: np.ndarray, v: np.ndarray):
+        self.public = np.unique(np.concatenate([u, v[v >= 0]]))
+        self.u = np.searchsorted(self.public, u)
+        self.v = np.where(v >= 0, np.searchsorted(self.public, np.maximum(v, 0)), -1)
+        Adjacency._index(self, np.ones(len(u), bool))
+
+    def to_dense(self, public: np.ndarray) -> np.ndarray:
+        k = np.minimum(np.searchsorted(self.public, public), max(len(self.public) - 1, 0))
+        return np.where(self.public[k] == public, k, -1) if len(self.public) else np.full(len(public), -1)
+
+
 class Adjacency:
     """The edges of a lattice as arrays for the decoding kernel: nodes are numbered densely in (t, y, x) order."""
 
-    def __init__(self, grid: Grid, erased: frozenset[int] = frozenset(), extra: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, grid: Grid, erased: frozenset[int] = frozenset()):
         self.grid = grid
         w, h, d = grid.width, grid.height, grid.depth
         idx = np.arange(w * h * d).reshape(d, h, w)
         t, y, x = np.unravel_index(np.arange(w * h * d), (d, h, w))
         self.public = t * grid.stride_z + y * grid.stride_y + x
         pairs = []
-        if extra is not None:
-            lookup = np.full(int(self.public.max()) + 1, -1)
-            lookup[self.public] = np.arange(len(self.public))
-            pairs.append(np.stack([lookup[extra[0]], lookup[extra[1]]], 1))
-        else:
-            pairs.append(np.stack([idx[:, :, :-1].ravel(), idx[:, :, 1:].ravel()], 1))
-            vertical = np.stack([idx[:, :-1, :].ravel(), idx[:, 1:, :].ravel()], 1)
-            if grid.topology in ("triangular", "honeycomb"):
-                ones = np.bitwise_count(x.astype(np.uint64)) + np.bitwise_count(y.astype(np.uint64))
-                even = ones % 2 == 0
-                if grid.topology == "honeycomb":  # up from an even lower node, or down from an odd upper node
-                    vertical = vertical[even[vertical[:, 1]] | ~even[vertical[:, 0]]]
-                else:
-                    lower, upper = idx[:, 1:, :-1].ravel(), idx[:, :-1, 1:].ravel()
-                    keep = even[lower] | ~even[upper]
-                    pairs.append(np.stack([upper[keep], lower[keep]], 1))
-            pairs.append(vertical)
-            pairs.append(np.stack([idx[:-1].ravel(), idx[1:].ravel()], 1))
+        pairs.append(np.stack([idx[:, :, :-1].ravel(), idx[:, :, 1:].ravel()], 1))
+        vertical = np.stack([idx[:, :-1, :].ravel(), idx[:, 1:, :].ravel()], 1)
+        if grid.topology in ("triangular", "honeycomb"):
+            ones = np.bitwise_count(x.astype(np.uint64)) + np.bitwise_count(y.astype(np.uint64))
+            even = ones % 2 == 0
+            if grid.topology == "honeycomb":  # up from an even lower node, or down from an odd upper node
+                vertical = vertical[even[vertical[:, 1]] | ~even[vertical[:, 0]]]
+            else:
+                lower, upper = idx[:, 1:, :-1].ravel(), idx[:, :-1, 1:].ravel()
+                keep = even[lower] | ~even[upper]
+                pairs.append(np.stack([upper[keep], lower[keep]], 1))
+        pairs.append(vertical)
+        pairs.append(np.stack([idx[:-1].ravel(), idx[1:].ravel()], 1))
         inner = np.concatenate(pairs)
         inner = np.unique(np.stack([inner.min(1), inner.max(1)], 1), axis=0)
         gone = np.zeros(len(self.public), bool)
@@ -100,7 +109,9 @@ class Adjacency:
         at = np.sort(at, kind="stable")
         self.u = np.concatenate([inner[:, 0], at])
         self.v = np.concatenate([inner[:, 1], np.full(len(at), -1)])
-        usable = ~gone[self.u] & ((self.v < 0) | ~gone[np.maximum(self.v, 0)])
+        self._index(~gone[self.u] & ((self.v < 0) | ~gone[np.maximum(self.v, 0)]))
+
+    def _index(self, usable: np.ndarray) -> None:
         ends = np.concatenate([self.u[usable], self.v[usable & (self.v >= 0)]])
         eids = np.concatenate([np.flatnonzero(usable), np.flatnonzero(usable & (self.v >= 0))])
         order = np.lexsort((eids, ends))
@@ -109,8 +120,6 @@ class Adjacency:
         #: edges at each node by edge id, -1 where there are fewer than the most
         self.at = np.full((len(self.public), max(1, degree.max(initial=0))), -1, np.int64)
         self.at[ends, np.arange(len(ends)) - np.repeat(np.cumsum(degree) - degree, degree)] = eids
-        self.gone = gone
-        self.dense = {int(p): k for k, p in enumerate(self.public)} if len(self.public) < 1 << 12 else None
 
     def to_dense(self, public: np.ndarray) -> np.ndarray:
         """Dense number of public ids, -1 for ids outside the lattice."""

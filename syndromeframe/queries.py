@@ -775,3 +775,105 @@ def _buffer_sql() -> str:
 def buffer_sizes(spark, sf_dir):
     rows = [(w, h, d, grids.required_buffer_size(w, h, d)) for w in range(2, 40, 5) for h in range(2, 40, 7) for d in range(1, 12, 4)]
     return spark.createDataFrame(rows, "width bigint, height bigint, depth bigint, bytes bigint")
+
+
+# --- other lattices and encodings ---------------------------------------------------------------------------------
+
+_BIG = Grid(64, 64)
+_BIG_T = "SELECT c_nationkey::BIGINT AS shot_id, ((c_custkey * 7919 // 64 % 64) * 64 + c_custkey * 7919 % 64)::BIGINT AS node FROM customer"
+
+
+def _customer_toggles(spark, sf_dir) -> DataFrame:
+    k = F.col("c_custkey").cast("bigint") * 7919
+    return tables.load(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("bigint").alias("shot_id"), (F.floor(k / 64) % 64 * 64 + k % 64).alias("node"))
+
+
+@query(f"SELECT shot_id, count(*) AS n_defects, 0::BIGINT AS remaining FROM ({odd(_BIG_T)}) GROUP BY ALL")
+def decode_verify_tiled(spark, sf_dir):
+    from .operators import tiled
+
+    d = tables.parity(_customer_toggles(spark, sf_dir)).checkpoint()
+    r = verify.resolved(d, tiled.corrections(d, spark, _BIG), _BIG)
+    return r.select("shot_id", "n_defects", F.col("remaining").cast("bigint").alias("remaining"))
+
+
+@query(f"SELECT count(DISTINCT shot_id) AS shots, count(DISTINCT shot_id) AS resolved FROM ({_BIG_T})")
+def decode_user_graph(spark, sf_dir):
+    t = _customer_toggles(spark, sf_dir)
+    found = decode.decode_graph(t, lattice.edges(spark, _BIG))
+    return found.agg(F.count("*").alias("shots"), F.count_if(F.col("n_unresolved") == 0).alias("resolved"))
+
+
+@query(f"WITH d AS (SELECT shot_id, count(*) AS n FROM (SELECT shot_id, k FROM (SELECT shot_id, unnest(d) AS k FROM ({_FIRED}) WHERE len(d) <= 2) GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY ALL) SELECT count(*) AS shots, sum(n)::BIGINT AS defects FROM d")
+def dem_graph_decode(spark, sf_dir):
+    mech = dem.mechanisms(dem.of_text(spark, MODEL))
+    d = dem.sampled_defects(dem.sample(spark, mech, 2000).filter(F.size("detectors") <= 2)).withColumnRenamed("det_id", "node")
+    found = decode.decode_graph(d, decode.model_edges(mech)).filter("n_defects > 0")
+    return found.agg(F.count("*").alias("shots"), F.sum("n_defects").cast("bigint").alias("defects"))
+
+
+@query(f"SELECT shot_id, string_agg(k::VARCHAR, ',' ORDER BY k) AS vertices FROM (SELECT shot_id, node // 32 * 17 + node % 32 AS k FROM ({SQUARE_D})) GROUP BY ALL")
+def sparse_vertices(spark, sf_dir):
+    from . import facade
+
+    v = facade.vertices(tables.parity(tables.square_toggles(spark, sf_dir)), tables.SQUARE)
+    return v.select("shot_id", F.concat_ws(",", F.col("vertices").cast("array<string>")).alias("vertices"))
+
+
+@query(f"SELECT count(*) AS shots, count(*) AS resolved FROM (SELECT DISTINCT shot_id FROM ({CUBE_D}))")
+def packed_decode(spark, sf_dir):
+    from . import facade
+
+    found = facade.Decoder(8, 8, "3d", 7).decode_frame(bits.pack(tables.parity(tables.cube_toggles(spark, sf_dir))))
+    return found.agg(F.count("*").alias("shots"), F.count_if(F.col("n_unresolved") == 0).alias("resolved"))
+
+
+@query(f"SELECT count(DISTINCT shot_id) AS shots, 0::BIGINT AS remaining FROM ({CUBE_T})")
+def packed_verify(spark, sf_dir):
+    t = tables.cube_toggles(spark, sf_dir)
+    d = t.groupBy("shot_id").agg(F.collect_list("node").alias("defects"))
+    r = verify.packed_remaining(decode.decode(t, tables.CUBE).join(d, "shot_id"))
+    return r.agg(F.count("*").alias("shots"), F.sum("remaining").cast("bigint").alias("remaining"))
+
+
+_HOLES = "SELECT DISTINCT o_orderkey::BIGINT AS shot_id, (o_custkey % 448)::BIGINT AS node FROM orders"
+
+
+@query(f"WITH t AS (SELECT shot_id, node FROM ({CUBE_T}) WHERE (shot_id, node) NOT IN (SELECT (shot_id, node) FROM ({_HOLES}))) SELECT count(DISTINCT shot_id) AS shots, count(DISTINCT shot_id) AS resolved FROM t")
+def decode_verify_shot_erasures(spark, sf_dir):
+    holes = tables.load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("shot_id"), (F.col("o_custkey") % 448).cast("bigint").alias("node")).distinct()
+    t = tables.cube_toggles(spark, sf_dir).join(holes, ["shot_id", "node"], "left_anti")
+    shots = t.select("shot_id").distinct()
+    edges = decode.corrections(decode.decode(t, tables.CUBE, erasures=holes))
+    used = edges.select("shot_id", F.explode(F.array("u", "v")).alias("node")).filter("node IS NOT NULL").join(holes, ["shot_id", "node"], "left_semi").select("shot_id").distinct()
+    r = verify.resolved(t, edges.join(shots, "shot_id", "left_semi"), tables.CUBE).join(used, "shot_id", "left_anti")
+    return shots.agg(F.count("*").alias("shots")).crossJoin(r.agg(F.count_if(F.col("resolved")).alias("resolved")))  # one row each
+
+
+@query("SELECT * FROM (VALUES (3::BIGINT, true, true), (5, true, true)) s(distance, verified, better)")
+def threshold_study(spark, sf_dir):
+    from . import study
+
+    p = study.threshold_study(spark, [3, 5], [0.002], 3000)
+    return p.select("distance", (F.col("verified") == F.col("shots")).alias("verified"), (F.col("errors") < F.col("no_decoder_errors")).alias("better"))
+
+
+@query("SELECT * FROM (VALUES (3::BIGINT, true, true), (5, true, true)) s(distance, verified, better)")
+def dual_study(spark, sf_dir):
+    from . import study
+
+    p = study.threshold_study(spark, [3, 5], [0.002], 3000, two_bases=True)
+    return p.select("distance", (F.col("verified") == F.col("shots")).alias("verified"), (F.col("errors") <= F.col("no_decoder_errors")).alias("better"))
+
+
+@query("SELECT 300::BIGINT AS streams, 5::BIGINT AS rounds, 0::BIGINT AS remaining")
+def stream_study(spark, sf_dir):
+    from . import study
+
+    return study.stream_study(spark, 5, 0.01, 300).select(F.col("streams").cast("bigint").alias("streams"), F.col("rounds").cast("bigint").alias("rounds"), F.col("remaining").cast("bigint").alias("remaining"))
+
+
+@query("SELECT w.i AS size, d.i AS distance, greatest(1, d.i - 1)::BIGINT AS width, ((greatest(1, d.i - 1) * greatest(1, d.i - 1) + 63) // 64)::BIGINT AS blocks, (s * s * w.i + 1)::BIGINT AS alloc_nodes FROM range(1, 6) w(i), range(2, 14) d(i), LATERAL (SELECT (1 << ceil(log2(greatest(d.i - 1, w.i, 1)))::INTEGER)::BIGINT AS s)")
+def stream_windows(spark, sf_dir):
+    rows = [(w, d, x.width, x.blocks_per_round, x.alloc_nodes) for w in range(1, 6) for d in range(2, 14) for x in [grids.rotated_window(d, w)]]
+    return spark.createDataFrame(rows, "size bigint, distance bigint, width bigint, blocks bigint, alloc_nodes bigint")
