@@ -8,6 +8,9 @@ later one replaces it only by a higher priority, and contained ones are suppress
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,17 +60,19 @@ FAMILIES = [
     ("cc-by-nd", "noderivatives", "creative commons attribution noderivatives"),
     ("cc-by-nc-sa", "sharealike", "creative commons attribution noncommercial sharealike"),
     ("cc-by-nc-nd", "noderivatives", "creative commons attribution noncommercial noderivatives"),
-    ("cc-by-sa", "sa", "cc by sa"),
-    ("cc-by-nc", "nc", "cc by nc"),
-    ("cc-by-nd", "nd", "cc by nd"),
-    ("cc-by-nc-sa", "sa", "cc by nc sa"),
-    ("cc-by-nc-nd", "nd", "cc by nc nd"),
+    ("cc-by-sa", "cc by", "cc by sa"),
+    ("cc-by-nc", "cc by", "cc by nc"),
+    ("cc-by-nd", "cc by", "cc by nd"),
+    ("cc-by-nc-sa", "cc by", "cc by nc sa"),
+    ("cc-by-nc-nd", "cc by", "cc by nc nd"),
     ("ms-pl", "microsoft", "microsoft public license|licence"),
     ("postgresql", "postgresql", "postgresql license|licence"),
     ("ecl", "educational", "educational community license|licence"),
     ("upl", "universal", "universal permissive license|licence"),
     ("blueoak", "oak", "blue oak model license|licence"),
 ]
+# What every rule's and every base phrase's text holds one of.
+STEMS = ("licen", "cc ", "cc0 ", "gpl", "commons ", "domain ", "wtfpl ", "pddl ", "reserved ", "confidential ", "reproduced ", "permission ", "redistribution ", "noninfringement ")
 # Sentence frames around a name, with their priority; {name} stands for it.
 FRAMES = [
     (60, "{name}"),
@@ -106,14 +111,18 @@ def pattern(phrase: str) -> str:
     return "".join(out)
 
 
+def _wrapped(phrase: str) -> str:
+    return "".join(f" {w} " for w in phrase.split())
+
+
 def rules() -> list[tuple[str, str, int, str]]:
     """(label, keyword, priority, pattern) of every rule: each licence in each frame, and the single ones.
 
     Longer names come first in their frame by their higher priority, as they hold shorter ones.
     """
-    found = [(label, f" {key} ", priority + min(len(name.split()), 9), pattern(frame.format(name=name))) for label, key, name in FAMILIES for priority, frame in FRAMES]
+    found = [(label, _wrapped(key), priority + min(len(name.split()), 9), pattern(frame.format(name=name))) for label, key, name in FAMILIES for priority, frame in FRAMES]
     for label, keys, priority, phrase in SINGLE:
-        found += [(label, f" {key} ", priority, pattern(phrase if "|" not in keys else key)) for key in keys.split("|")]
+        found += [(label, _wrapped(key), priority, pattern(phrase if "|" not in keys else key)) for key in keys.split("|")]
     return found
 
 
@@ -165,15 +174,14 @@ def scan(docs: DataFrame) -> DataFrame:
     detections: array<struct<start, end, priority, label>> in words from 0. A null text has no word; rows that
     repeat a doc_id are scanned each by itself, and other columns are ignored.
     """
-    keys = sorted({key for _, key, _, _ in rules()} | {" cc ", " general ", " reserved "})
-    rows = docs.select("doc_id", normalised(F.col("text")).alias("words"))
+    rows = docs.select("doc_id", normalised(F.col("text")).alias("words")).withColumn("any_case", F.lower("words"))
     # Unicode lower case is a superset of the A-Z one here: it opens the gate, the exact text decides.
-    gate = F.lower("words").rlike("|".join(keys))
+    gate = reduce(or_, [F.contains(F.col("any_case"), F.lit(stem)) for stem in STEMS])
     rows = rows.select("doc_id", _words(F.col("words")).alias("n_words"), F.when(gate, F.translate("words", _UPPER, _LOWER)).alias("low"))
     rows = rows.select("doc_id", "n_words", "low", F.when(F.col("low").isNotNull(), _resolved(_spans(F.col("low")))).alias("kept"))
     count, first, last, label = [], [], [], []
     for phrase, name in BASE.items():
-        wrapped = "".join(f" {w} " for w in phrase.split())
+        wrapped = _wrapped(phrase)
         there = F.contains(F.col("low"), F.lit(wrapped))
         count.append(F.when(there, ((F.char_length("low") - F.char_length(F.replace(F.col("low"), F.lit(wrapped), F.lit("")))) / len(wrapped)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
         first.append(F.when(there, _words(F.substring_index("low", wrapped, 1))))
