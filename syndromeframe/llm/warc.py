@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK_BYTES = 8 << 20
+#: Tasks of a scan over all blocks; more blocks share them.
+MOST_TASKS = 20_000
 #: Payloads of fewer bytes are never replaced by a revisit record.
 MIN_REVISIT = 1000
 #: Groups of equal payloads up to this number are broadcast (72 bytes each); beyond it they are joined by shuffle.
@@ -199,10 +201,12 @@ def read(spark, folder: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     A file whose first bytes are no record yields nothing; a chain that breaks ends at its last whole record.
     """
     ranges = blocks(spark, folder, block_bytes)
-    most = ranges.groupBy("path").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    found = common.stored(ranges.repartition(F.xxhash64("path", "start")).mapInArrow(_scan, "path string, start bigint, stop bigint, size bigint, offset bigint, next bigint, exit bigint"), "warc-candidates")
+    per_file = ranges.groupBy("path").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("blocks")).first()
+    most, tasks = per_file.most or 0, max(1, min(per_file.blocks or 1, MOST_TASKS))
+    # A row is a few bytes but stands for a whole block to read: the number of tasks follows the blocks.
+    found = common.stored(ranges.repartition(tasks, F.xxhash64("path", "start")).mapInArrow(_scan, "path string, start bigint, stop bigint, size bigint, offset bigint, next bigint, exit bigint"), "warc-candidates")
     entries = common.stored(chain(found, most), "warc-entries")
-    return entries.select("path", "offset", "stop", "size").repartition(F.xxhash64("path", "offset")).mapInArrow(_read, _RECORD)
+    return entries.select("path", "offset", "stop", "size").repartition(tasks, F.xxhash64("path", "offset")).mapInArrow(_read, _RECORD)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
