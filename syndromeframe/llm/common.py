@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Texts reach some hundred kilobytes, so the default of 10,000 rows is too many.
@@ -47,3 +47,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 def crc_fold(doc_id: str, folds: int):
     """crc32 of doc_id as text, modulo folds; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % folds
+
+
+def first_by_hash(rows: DataFrame, key: str, n: int, counts: dict) -> DataFrame:
+    """The n rows of each key with the least hash of doc_id; counts: rows by key (a few labels or languages).
+
+    A cut of the hash that about 2n + 1000 rows of a key pass comes first, so that no task gets all of a
+    frequent key's rows.
+    """
+    share = F.lit(None).cast("double")
+    for value, count in counts.items():
+        share = F.when(F.col(key) == value, min(1.0, (2 * n + 1000) / max(count, 1))).otherwise(share)
+    h = F.xxhash64("doc_id")
+    few = rows.filter(F.shiftrightunsigned(h, 11) / float(1 << 53) < share)
+    return few.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.shiftrightunsigned(h, 11), "doc_id"))).filter(F.col("_r") <= n).drop("_r")

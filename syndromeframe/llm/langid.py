@@ -151,9 +151,11 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, keep: int = KEEP) ->
     Only the kept n-grams (at most `keep` by language) reach the driver. Rows with null or empty texts teach nothing.
     """
     common.small_batches(docs.sparkSession)
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang").withColumn("r", F.row_number().over(by_hash)).filter(F.col("r") <= sample_docs).select("doc_id", "lang").distinct()
-    rows = docs.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    picked = common.first_by_hash(known, "lang", sample_docs, sizes).distinct()
+    # at most sample_docs ids of each language
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select("lang", "text")
     counts = rows.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = common.stored(counts, "lang-grams")
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, vectext
@@ -219,8 +219,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     counts = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect() if r.quality in (0, 1)}
     if len(counts) < 2:
         return None
-    by_hash = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"))
-    picked = known.filter("quality IN (0, 1)").withColumn("r", F.row_number().over(by_hash)).filter(F.col("r") <= sample_docs).select("doc_id", "quality")
+    picked = common.first_by_hash(known.filter("quality IN (0, 1)"), "quality", sample_docs, counts).select("doc_id", "quality")
     # at most twice sample_docs ids
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id").select("text", "quality").mapInArrow(_features, "x binary, lengths binary, quality int").collect()
     per_doc = np.array([len(r.lengths) // 8 for r in rows])
