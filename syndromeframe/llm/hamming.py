@@ -306,14 +306,15 @@ def links(fps: DataFrame, radius: int, col: str = "fp", block: int = BLOCK, thre
 
 
 def components(docs: DataFrame, radius: int = 4, n: int = 4, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """(doc_id, fp, component_id, rep_fp) of every row; component_id is the smallest id of its component.
+    """(doc_id, fp, text_hash, component_id, rep_fp) of every row; component_id is the smallest id of its component.
 
     Null and blank texts have fingerprint zero and are linked like any other. Rows with a null id keep it;
     a component of null ids only has a null id. Repeated rows come back as often as they are. rep_fp is the
-    least fingerprint among the component's texts with that id. An empty table gives an empty result.
+    least fingerprint among the component's texts with that id, text_hash a hash of the text. An empty table
+    gives an empty result.
     """
     common.small_batches(docs.sparkSession)
-    base = common.stored(docs.select(F.col(doc_id).alias("doc_id"), simhash_udf(n)(F.col(text)).alias("fp")), "simhash")
+    base = common.stored(docs.select(F.col(doc_id).alias("doc_id"), simhash_udf(n)(F.col(text)).alias("fp"), F.xxhash64(F.col(text)).alias("text_hash")), "simhash")
     classes = common.stored(base.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     edges = common.stored(links(classes, radius, "fp", block), "simhash-links")
     linked = connected(edges)  # node, root
@@ -321,19 +322,22 @@ def components(docs: DataFrame, radius: int = 4, n: int = 4, text: str = "text",
     best = tagged.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id"), F.col("fp"))).alias("b"))
     moved = tagged.join(best, "root").select("fp", F.col("b.first_id").alias("component"), F.col("b.fp").alias("rep"))
     of_class = classes.join(moved, "fp", "left").select("fp", F.coalesce("component", "first_id").alias("component_id"), F.coalesce("rep", "fp").alias("rep_fp"))
-    return base.join(of_class, "fp").select("doc_id", "fp", "component_id", "rep_fp")
+    return base.join(of_class, "fp").select("doc_id", "fp", "text_hash", "component_id", "rep_fp")
 
 
 def keep_one(docs: DataFrame, radius: int = 4, n: int = 4) -> DataFrame:
     """docs with one row of each near-duplicate component, the one with the smallest doc_id.
 
-    Of rows that repeat this id and fingerprint any one stays; all columns are returned unchanged.
+    Of rows that repeat this id and fingerprint one stays, with the least hash of the text; all columns are
+    returned unchanged. The whole rows are shuffled once, and only repeated rows make them be aggregated.
     """
     found = components(docs, radius, n)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("rep_fp"))).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
-    with_fp = docs.withColumn("_own_fp", simhash_udf(n)(F.col("text")))
-    kept = with_fp.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_fp") == F.col("_fp")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_own_fp"]).drop("_own_fp").select(docs.columns)
+    rows = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("rep_fp")))
+    keep = common.stored(rows.groupBy(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).agg(F.min("text_hash").alias("_hash"), F.count("*").alias("_n")), "simhash-kept")
+    kept = docs.withColumn("_own_hash", F.xxhash64("text")).join(keep.select("_id", "_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")), "left_semi")
+    if not keep.filter("_n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_own_hash"])
+    return kept.select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
