@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.grids import Grid
+from ..plans.store import stored
 from . import kernel, lattice
 from .clusters import largest_labels
 from .lattice import GraphAdjacency
@@ -21,17 +22,17 @@ def grow(defects: DataFrame, edges: DataFrame, rounds: int = 10_000) -> tuple[Da
     """(nodes, full): nodes (shot_id, node, label, odd, outer) of all clusters and full edges (shot_id, edge_id, u, v).
 
     Every round, clusters of odd parity without a boundary add half an edge to all edges at their nodes. Support
-    and nodes are checkpointed in each round; frozen clusters cost nothing but their rows.
+    and nodes are stored in each round; frozen clusters cost nothing but their rows.
     """
     ends = edges.select("edge_id", "u", "v", F.explode(F.array_compact(F.array("u", "v"))).alias("node"))
-    nodes = defects.select("shot_id", "node", F.col("node").alias("label"), F.lit(1).alias("odd"), F.lit(False).alias("outer")).checkpoint()
+    nodes = stored(defects.select("shot_id", "node", F.col("node").alias("label"), F.lit(1).alias("odd"), F.lit(False).alias("outer")))
     support = nodes.sparkSession.createDataFrame([], "shot_id bigint, edge_id bigint, u bigint, v bigint, s int")
     for _ in range(rounds):
         state = nodes.groupBy("shot_id", "label").agg((F.sum("odd") % 2 == 1).alias("is_odd"), F.max("outer").alias("at_boundary"))
         active = nodes.join(state.filter("is_odd AND NOT at_boundary").select("shot_id", "label"), ["shot_id", "label"], "left_semi")
         step = active.select("shot_id", "node").join(ends, "node").groupBy("shot_id", "edge_id", "u", "v").agg(F.count("*").cast("int").alias("more"))
         both = support.join(step.withColumnRenamed("u", "su").withColumnRenamed("v", "sv"), ["shot_id", "edge_id"], "full")
-        now = both.select("shot_id", "edge_id", F.coalesce("u", "su").alias("u"), F.coalesce("v", "sv").alias("v"), F.coalesce("s", F.lit(0)).alias("before"), F.least(F.lit(2), F.coalesce("s", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("s")).checkpoint()
+        now = stored(both.select("shot_id", "edge_id", F.coalesce("u", "su").alias("u"), F.coalesce("v", "sv").alias("v"), F.coalesce("s", F.lit(0)).alias("before"), F.least(F.lit(2), F.coalesce("s", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("s")))
         if not now.filter("s > before").limit(1).count():
             break
         new = now.filter("s = 2 AND before < 2").select("shot_id", "u", "v")
@@ -39,19 +40,19 @@ def grow(defects: DataFrame, edges: DataFrame, rounds: int = 10_000) -> tuple[Da
         touched = new.filter("v IS NULL").select("shot_id", F.col("u").alias("node")).distinct().withColumn("hit", F.lit(True))
         fresh = new.select("shot_id", F.explode(F.array_compact(F.array("u", "v"))).alias("node")).distinct().join(nodes.select("shot_id", "node"), ["shot_id", "node"], "left_anti")
         grown = nodes.unionByName(fresh.select("shot_id", "node", F.col("node").alias("label"), F.lit(0).alias("odd"), F.lit(False).alias("outer")))
-        grown = grown.join(touched, ["shot_id", "node"], "left").select("shot_id", "node", "label", "odd", (F.col("outer") | F.coalesce("hit", F.lit(False))).alias("outer")).checkpoint()
+        grown = stored(grown.join(touched, ["shot_id", "node"], "left").select("shot_id", "node", "label", "odd", (F.col("outer") | F.coalesce("hit", F.lit(False))).alias("outer")))
         # merge the labels that new edges join; the largest node names a cluster
         of = grown.select("shot_id", "node", "label")
         joined = new.filter("v IS NOT NULL").join(of.select("shot_id", F.col("node").alias("u"), F.col("label").alias("lu")), ["shot_id", "u"]).join(of.select("shot_id", F.col("node").alias("v"), F.col("label").alias("lv")), ["shot_id", "v"])
-        merges = joined.filter("lu <> lv").select("shot_id", F.col("lu").alias("u"), F.col("lv").alias("v")).distinct().checkpoint()
+        merges = stored(joined.filter("lu <> lv").select("shot_id", F.col("lu").alias("u"), F.col("lv").alias("v")).distinct())
         if merges.limit(1).count():
             names = largest_labels(merges, ["shot_id"]).select("shot_id", F.col("node").alias("label"), F.col("label").alias("name"))
-            grown = grown.join(names, ["shot_id", "label"], "left").select("shot_id", "node", F.coalesce("name", "label").alias("label"), "odd", "outer").checkpoint()
+            grown = stored(grown.join(names, ["shot_id", "label"], "left").select("shot_id", "node", F.coalesce("name", "label").alias("label"), "odd", "outer"))
         nodes = grown
     return nodes, support.filter("s = 2").select("shot_id", "edge_id", "u", "v")
 
 
-def _peel_group(key, table: pa.Table) -> pa.Table:
+def _peel_group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Correction edges of one cluster: rows with an edge_id are its full edges, the others its defects."""
     edge = np.array([x is not None for x in table.column("edge_id").to_pylist()], bool)
     u = table.column("u").to_numpy(zero_copy_only=False)
@@ -75,7 +76,7 @@ def corrections(defects: DataFrame, spark: SparkSession, grid: Grid) -> DataFram
     The lattice's edges are a relation of their own that is joined, not broadcast by hand; a cluster, whose size
     follows the noise and not the lattice, is peeled by one task.
     """
-    edges = lattice.edges(spark, grid).checkpoint()
+    edges = stored(lattice.edges(spark, grid))
     nodes, full = grow(defects.select("shot_id", "node"), edges)
     of = nodes.select("shot_id", F.col("node").alias("u"), "label")
     rows = full.join(of, ["shot_id", "u"]).select("shot_id", "label", "edge_id", "u", "v")

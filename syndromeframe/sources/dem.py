@@ -35,8 +35,9 @@ def expand(text: str) -> str:
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(dem_id, line, text) of the *.dem files of a folder; a file is one model and must fit a row."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.dem").text(path).select(F.input_file_name().alias("dem_id"), "value")
-    expanded = raw.withColumn("value", F.udf(expand)("value")) if raw.filter(F.col("value").contains("repeat")).limit(1).count() else raw
+    raw = spark.read.option("pathGlobFilter", "*.dem").text(path, wholetext=True).select(F.input_file_name().alias("dem_id"), "value")
+    blocks = F.udf(lambda text: expand(text), "string")  # nested blocks need a parser; files without them stay in the JVM
+    expanded = raw if raw.filter(F.col("value").contains("repeat")).isEmpty() else raw.withColumn("value", blocks("value"))
     return expanded.select("dem_id", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
 
 

@@ -23,5 +23,6 @@ def dual_lines(points: DataFrame) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, header: str, path: str) -> None:
-    """A folder of text files, each beginning with the header."""
-    lines.select(F.col("line").alias(header)).write.mode("overwrite").option("header", True).option("quote", "").option("escapeQuotes", False).csv(path)
+    """A folder of CSV files, each beginning with the header."""
+    parts = F.split("line", ",")
+    lines.select(*[F.get(parts, F.lit(k)).alias(name) for k, name in enumerate(header.split(","))]).write.mode("overwrite").option("header", True).csv(path)
