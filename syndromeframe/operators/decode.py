@@ -15,7 +15,7 @@ from . import kernel
 from .lattice import Adjacency, GraphAdjacency
 
 #: Node slots of all shots that one kernel call handles; large lattices get fewer shots a call.
-CHUNK_NODES = 1 << 20
+CHUNK_NODES = 1 << 18
 #: Defects up to which a shot counts as sparse.
 SPARSE_DEFECTS = 32
 

@@ -36,12 +36,19 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.maximum.at(parent, np.minimum(ra, rb), np.maximum(ra, rb))
 
 
+def _once(a: np.ndarray, scratch: np.ndarray) -> np.ndarray:
+    """a without repeats; scratch is any array that a indexes."""
+    at = np.arange(len(a), dtype=scratch.dtype)
+    scratch[a] = at
+    return a[scratch[a] == at]
+
+
 def decode(adj: Adjacency, shot: np.ndarray, node: np.ndarray, shots: int, blocked: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(shot, edge) of the correction, sorted, and the (shot, node) defects that stay unresolved.
 
     shot, node: distinct defects, dense nodes; blocked: (shot, node) that are erased in that shot only.
     """
-    n_nodes, n_edges, width = len(adj.public), len(adj.u), adj.at.shape[1]
+    n_nodes, n_edges = len(adj.public), len(adj.u)
     parent = np.arange(shots * n_nodes, dtype=np.int64)
     support = np.zeros(shots * n_edges, np.int8)
     if blocked is not None and len(blocked[0]):
@@ -49,7 +56,8 @@ def decode(adj: Adjacency, shot: np.ndarray, node: np.ndarray, shots: int, block
         support[(blocked[0][:, None] * n_edges + e)[e >= 0]] = -100
     odd = np.zeros(shots * n_nodes, np.int8)
     defects = shot * n_nodes + node
-    cluster = [np.unique(defects)]
+    scratch = np.empty(shots * max(n_nodes, n_edges), np.int32)
+    cluster = [np.sort(defects)]
     open_nodes = growing = cluster[0]  # nodes of clusters that have an edge to grow
     inside = np.zeros(shots * n_nodes, bool)
     inside[growing] = True
@@ -65,7 +73,7 @@ def decode(adj: Adjacency, shot: np.ndarray, node: np.ndarray, shots: int, block
         if not len(keys):
             break
         np.add.at(support, keys, 1)
-        new = np.unique(keys[support[keys] >= 2])
+        new = _once(keys[support[keys] >= 2], scratch)
         support[new] = 2
         full.append(new)
         s, e = np.divmod(new, n_edges)
@@ -74,7 +82,7 @@ def decode(adj: Adjacency, shot: np.ndarray, node: np.ndarray, shots: int, block
         u, v = u[v >= 0], (s * n_nodes + v)[v >= 0]
         _union(parent, u, v)
         ends = np.concatenate([u, v])
-        fresh = np.unique(ends[~inside[ends]])
+        fresh = _once(ends[~inside[ends]], scratch)
         inside[fresh] = True
         cluster.append(fresh)
         # clusters that still have odd parity and no boundary
@@ -97,13 +105,13 @@ def decode(adj: Adjacency, shot: np.ndarray, node: np.ndarray, shots: int, block
         open_nodes = open_nodes[keep]
         growing = open_nodes[active[roots[keep]]]
     cluster = np.concatenate(cluster)
-    return _peel(adj, np.concatenate(full) if full else np.zeros(0, np.int64), parent, cluster, defects, n_nodes, n_edges, width)
+    return _peel(adj, np.concatenate(full) if full else np.zeros(0, np.int64), support, parent, cluster, defects)
 
 
-def _peel(adj: Adjacency, full: np.ndarray, parent: np.ndarray, cluster: np.ndarray, defects: np.ndarray, n_nodes: int, n_edges: int, width: int):
+def _peel(adj: Adjacency, full: np.ndarray, support: np.ndarray, parent: np.ndarray, cluster: np.ndarray, defects: np.ndarray):
+    """decode's result from the full edges (those with support 2) and the clusters' roots."""
+    n_nodes, n_edges = len(adj.public), len(adj.u)
     on = np.sort(full)
-    is_full = np.zeros(int(on[-1]) + 1 if len(on) else 1, bool)
-    is_full[on] = True
     roots = _find(parent, cluster)
     s, e = np.divmod(on, n_edges)
     outer = adj.v[e] < 0
@@ -114,8 +122,7 @@ def _peel(adj: Adjacency, full: np.ndarray, parent: np.ndarray, cluster: np.ndar
     exit_node, exit_edge = at[first], on[outer][first]
     inner_root = np.setdiff1d(np.unique(roots), exit_root)
     start = np.concatenate([exit_node, inner_root])
-    up_edge = np.full(len(parent), -1, np.int64)
-    up_node = np.full(len(parent), -1, np.int64)
+    up_edge, up_node = np.empty(len(parent), np.int64), np.empty(len(parent), np.int64)  # set where a node is reached
     seen = np.zeros(len(parent), bool)
     seen[start] = True
     levels = [start]
@@ -123,10 +130,8 @@ def _peel(adj: Adjacency, full: np.ndarray, parent: np.ndarray, cluster: np.ndar
         front = levels[-1]
         s, k = np.divmod(front, n_nodes)
         e = adj.at[k]
-        key = s[:, None] * n_edges + e
-        ok = (e >= 0) & (key < len(is_full))
-        ok[ok] = is_full[key[ok]]
-        r, c = np.nonzero(ok)
+        key = np.where(e >= 0, s[:, None] * n_edges + e, 0)
+        r, c = np.nonzero((e >= 0) & (support[key] == 2))
         e, key = e[r, c], key[r, c]
         inner = adj.v[e] >= 0
         r, e, key = r[inner], e[inner], key[inner]

@@ -213,7 +213,7 @@ def test_kernel_respects_shot_erasures(spark):
     holes = spark.createDataFrame([(1, 1)], "shot_id bigint, node bigint")
     edges = decode.corrections(decode.decode(d, Grid(4, 4), erasures=holes)).collect()
     assert edges and all(1 not in (r.u, r.v) for r in edges)
-    assert verify.remaining(d, spark.createDataFrame(edges), Grid(4, 4)).count() == 0
+    assert verify.remaining(d, spark.createDataFrame(edges, "shot_id bigint, u bigint, v bigint"), Grid(4, 4)).count() == 0
 
 
 def test_fixture_parity(spark):
