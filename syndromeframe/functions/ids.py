@@ -216,3 +216,8 @@ def short_number(n) -> Column:
     """1234 as 1.2K, and so on for M and G."""
     n = lng(n)
     return F.when(n >= 10**9, F.format_string("%.1fG", n / 1e9)).when(n >= 10**6, F.format_string("%.1fM", n / 1e6)).when(n >= 1000, F.format_string("%.1fK", n / 1e3)).otherwise(n.cast("string"))
+
+
+def grouped_number(n) -> Column:
+    """1234567 as 1,234,567."""
+    return F.format_number(lng(n), 0)

@@ -72,3 +72,15 @@ def suppression(points: DataFrame, p: str = "p") -> DataFrame:
 def dual_points(rows: DataFrame) -> DataFrame:
     """rows (.., rounds, shots, x_errors, z_errors, combined_errors) with their rates."""
     return rows.select("*", *[rate(F.col(f"{k}_errors"), F.col("shots"), F.col("rounds")).alias(f"{k}_ler") for k in ("x", "z", "combined")])
+
+
+def solved_percent(defects: Column, remaining: Column) -> Column:
+    """Share of defects that are gone, in percent; 100 without defects."""
+    return F.when(defects > 0, (1 - remaining / defects) * 100).otherwise(100.0)
+
+
+def parity(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(both, ours_only, theirs_only, neither): shots that two decoders' results (shot_id, resolved) clear."""
+    a, b = F.coalesce("a", F.lit(False)), F.coalesce("b", F.lit(False))
+    rows = ours.select("shot_id", F.col("resolved").alias("a")).join(theirs.select("shot_id", F.col("resolved").alias("b")), "shot_id", "full")
+    return rows.agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("ours_only"), F.count_if(~a & b).alias("theirs_only"), F.count_if(~a & ~b).alias("neither"))

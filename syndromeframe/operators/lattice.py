@@ -26,6 +26,34 @@ def nodes(spark: SparkSession, grid: Grid) -> DataFrame:
     return n.select(x.alias("x"), y.alias("y"), t.alias("t")).select(ids.node(grid, "x", "y", "t").alias("node"), "x", "y", "t")
 
 
+def detector_layout(spark: SparkSession, d: int, rounds: int, code: str = "rotated", basis: str | None = None) -> DataFrame:
+    """(det_id, x, y, t): detectors of a surface code, numbered densely round by round and row by row.
+
+    rotated: (d-1) x (d-1) places, the even ones X and the odd ones Z; unrotated: d x (d-1) places for X (also
+    where no basis is asked for), (d-1) x d for Z.
+    """
+    if code == "rotated":
+        w, h = d - 1, d - 1
+        keep = {"X": lambda s: s % 2 == 0, "Z": lambda s: s % 2 == 1, None: lambda s: F.lit(True)}[basis]
+    else:
+        w, h = (d - 1, d) if basis == "Z" else (d, d - 1)
+        keep = lambda s: F.lit(True)
+    n = nodes(spark, Grid(w, h, rounds, "grid3d" if rounds > 1 else "square")).filter(keep(F.col("x") + F.col("y")))
+    return n.select((F.row_number().over(Window.orderBy("t", "y", "x")) - 1).cast("bigint").alias("det_id"), "x", "y", "t")
+
+
+def word_neighbours(spark: SparkSession, three_d: bool = False) -> DataFrame:
+    """(bit, neighbour) within one 64-node word: an 8 x 8 grid, or 4 x 4 x 4 in Morton order."""
+    bit = spark.range(64).select(F.col("id").alias("bit"))
+    both = bit.crossJoin(bit.select(F.col("bit").alias("neighbour")))  # 64 x 64 rows
+    if three_d:
+        a, b = ids.morton_3d_coord("bit"), ids.morton_3d_coord("neighbour")
+    else:
+        a, b = ((F.col(c) % 8, F.floor(F.col(c) / 8)) for c in ("bit", "neighbour"))
+    apart = sum((F.abs(p - q) for p, q in list(zip(a, b, strict=True))[1:]), F.abs(a[0] - b[0]))
+    return both.filter(apart == 1)
+
+
 def neighbours(spark: SparkSession, grid: Grid) -> DataFrame:
     """(node, neighbour): the directed adjacency by the lattice's rule.
 

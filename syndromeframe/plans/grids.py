@@ -205,3 +205,12 @@ class Window:
 
 def rotated_window(d: int, size: int) -> Window:
     return Window(size, max(d - 1, 1), max(d - 1, 1))
+
+
+#: Defects that a colour's buffer holds.
+MAX_DEFECTS_PER_COLOR = 4096
+
+
+def color_buffer_size(grid: Grid) -> int:
+    """Bytes of three colours' defect buffers and one 4-byte entry a node."""
+    return 3 * (MAX_DEFECTS_PER_COLOR * 4 + _PAD) + grid.alloc_nodes * 4

@@ -878,3 +878,62 @@ def stream_study(spark, sf_dir):
 def stream_windows(spark, sf_dir):
     rows = [(w, d, x.width, x.blocks_per_round, x.alloc_nodes) for w in range(1, 6) for d in range(2, 14) for x in [grids.rotated_window(d, w)]]
     return spark.createDataFrame(rows, "size bigint, distance bigint, width bigint, blocks bigint, alloc_nodes bigint")
+
+
+# --- layouts, formats, comparisons --------------------------------------------------------------------------------
+
+
+def _layout_sql(w: int, h: int, rounds: int, where: str) -> str:
+    return f"SELECT row_number() OVER (ORDER BY t, y, x) - 1 AS det_id, x, y, t FROM ({lattice_sql(w, h, rounds, 64, 4096)}) WHERE {where}"
+
+
+_LAYOUTS = {("rotated", None): (6, 6, "true"), ("rotated", "X"): (6, 6, "(x + y) % 2 = 0"), ("rotated", "Z"): (6, 6, "(x + y) % 2 = 1"), ("unrotated", "X"): (7, 6, "true"), ("unrotated", "Z"): (6, 7, "true")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{code}' AS code, '{basis or 'all'}' AS basis, * FROM ({_layout_sql(w, h, 7, where)})" for (code, basis), (w, h, where) in _LAYOUTS.items()))
+def detector_layouts(spark, sf_dir):
+    out = None
+    for code, basis in _LAYOUTS:
+        rows = lattice.detector_layout(spark, 7, 7, code, basis).select(F.lit(code).alias("code"), F.lit(basis or "all").alias("basis"), "det_id", "x", "y", "t")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"SELECT 'plane' AS kind, a.i AS bit, b.i AS neighbour FROM range(64) a(i), range(64) b(i) WHERE abs(a.i % 8 - b.i % 8) + abs(a.i // 8 - b.i // 8) = 1 UNION ALL SELECT 'cube', b.i, c.i FROM range(64) b(i), range(64) c(i) WHERE " + " + ".join(f"abs(({_axis('b', a)}) - ({_axis('c', a)}))" for a in range(3)) + " = 1")
+def word_adjacency(spark, sf_dir):
+    return lattice.word_neighbours(spark).select(F.lit("plane").alias("kind"), "bit", "neighbour").unionByName(lattice.word_neighbours(spark, True).select(F.lit("cube").alias("kind"), "bit", "neighbour"))
+
+
+@query("SELECT o_orderkey::BIGINT AS id, format('{:,}', (o_orderkey * 977)::BIGINT) AS grouped FROM orders")
+def grouped_numbers(spark, sf_dir):
+    return tables.load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("id"), ids.grouped_number(F.col("o_orderkey") * 977).alias("grouped"))
+
+
+@query("SELECT round((1 - r / d::DOUBLE) * 100, 6) AS solved FROM (SELECT count(*) AS d, count(*) FILTER (p_partkey % 9 = 0) AS r FROM part)")
+def solved_share(spark, sf_dir):
+    n = tables.load(spark, sf_dir, "part").agg(F.count("*").alias("d"), F.count_if(F.col("p_partkey") % 9 == 0).alias("r"))
+    return n.select(F.round(stats.solved_percent(F.col("d"), F.col("r")), 6).alias("solved"))
+
+
+@query(f"SELECT count(DISTINCT shot_id) AS \"both\", 0::BIGINT AS ours_only, 0::BIGINT AS theirs_only, 0::BIGINT AS neither FROM ({SQUARE_T})")
+def decoder_parity(spark, sf_dir):
+    t = tables.square_toggles(spark, sf_dir)
+    ours = verify.resolved(t, decode.corrections(decode.decode(t, tables.SQUARE)), tables.SQUARE)
+    theirs = verify.resolved(t, decode.corrections(decode.decode_graph(t, lattice.edges(spark, tables.SQUARE))), tables.SQUARE)
+    return stats.parity(ours, theirs)
+
+
+@query(f"SELECT format('{{}},{{:.6f}},3,{{}},{{}},{{}},{{:.6e}},{{:.6e}},{{:.6e}},0.000,0.000,0.000,{{:.3f}},1.500,2784', distance, p_milli / 1000.0::DOUBLE, distance, shots, errors, ler, ci_low, ci_high, distance * 1.5::DOUBLE) AS line FROM ({RATED})")
+def streaming_csv(spark, sf_dir):
+    from .sources import sinks
+
+    zero = F.lit(0.0)
+    p = _points(spark, sf_dir).withColumns({"p": F.col("p_milli") / 1000.0, "window": F.lit(3), "ingest_us": zero, "commit_us": zero, "flush_us": zero, "memory": F.lit(2784)})
+    return sinks.streaming_lines(p)
+
+
+@query(f"SELECT format('{{}},{{:.6f}},{{}},{{}},{{}},{{:.6e}},{{:.2f}},{{}},{{}},{{}}', distance, p_milli / 1000.0::DOUBLE, shots, distance, errors, ler, distance * 1.5::DOUBLE, errors, errors + 1, errors + 2) AS line FROM ({RATED})")
+def color_csv(spark, sf_dir):
+    from .sources import sinks
+
+    return sinks.color_lines(_points(spark, sf_dir).withColumns({"p": F.col("p_milli") / 1000.0, "red": F.col("errors"), "green": F.col("errors") + 1, "blue": F.col("errors") + 2}))
