@@ -28,7 +28,7 @@ SHARD = 5000
 #: Least-filled bins of a shard that the local search tries to empty.
 VICTIMS = 64
 #: Words whose ids a worker keeps in memory.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 # The tokenizer's word pattern on lower-cased Latin-1 text, and its white space.
 WORDS = re.compile(
