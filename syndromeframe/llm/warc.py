@@ -222,3 +222,11 @@ def query(spark, sf_dir: str) -> DataFrame:
         h["WARC-Type"].alias("record_type"),
         F.when(revisit, h["X-Refers-To-Page"].cast("bigint")).alias("refers_to"),
     )
+
+
+ORACLE_SQL = f"""
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN strlen(h) >= {MIN_REVISIT} AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(h) >= {MIN_REVISIT} AND page_id <> last THEN last END AS refers_to
+FROM (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS last FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))
+"""
