@@ -13,16 +13,21 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, minhash
 from .components import connected, local_roots
 
 BITS = 64
 #: Cost of a shuffled probe row, in units of a compared pair.
 ROW_COST = 100.0
+#: Near duplicates: similarity of word shingles, and the SimHash radius and words that find them (recall about 0.98 at 0.8).
+NEAR, NEAR_WORDS, NEAR_RADIUS, NEAR_SIMHASH_WORDS = 0.8, 5, 10, 2
+#: Texts of a candidate component that a task verifies as a whole; and classes (40 bytes each) that are broadcast.
+VERIFY_BLOCK, BROADCAST_CLASSES = 1024, 500_000
 #: Entries of one bucket that a task compares as a whole; larger buckets are split into blocks.
 BLOCK = 4096
 
@@ -306,35 +311,143 @@ def links(fps: DataFrame, radius: int, col: str = "fp", block: int = BLOCK, thre
 
 
 def components(docs: DataFrame, radius: int = 4, n: int = 4, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """(doc_id, fp, text_hash, component_id, rep_fp) of every row; component_id is the smallest id of its component.
+    """(doc_id, fp, component_id) of every row; component_id is the smallest id of its component.
 
     Null and blank texts have fingerprint zero and are linked like any other. Rows with a null id keep it;
-    a component of null ids only has a null id. Repeated rows come back as often as they are. rep_fp is the
-    least fingerprint among the component's texts with that id, text_hash a hash of the text. An empty table
+    a component of null ids only has a null id. Repeated rows come back as often as they are. An empty table
     gives an empty result.
     """
     common.small_batches(docs.sparkSession)
-    base = common.stored(docs.select(F.col(doc_id).alias("doc_id"), simhash_udf(n)(F.col(text)).alias("fp"), F.xxhash64(F.col(text)).alias("text_hash")), "simhash")
+    base = common.stored(docs.select(F.col(doc_id).alias("doc_id"), simhash_udf(n)(F.col(text)).alias("fp")), "simhash")
     classes = common.stored(base.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     edges = common.stored(links(classes, radius, "fp", block), "simhash-links")
     linked = connected(edges)  # node, root
     tagged = classes.join(linked, classes.fp == linked.node).select("fp", "first_id", "root")
-    best = tagged.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id"), F.col("fp"))).alias("b"))
-    moved = tagged.join(best, "root").select("fp", F.col("b.first_id").alias("component"), F.col("b.fp").alias("rep"))
-    of_class = classes.join(moved, "fp", "left").select("fp", F.coalesce("component", "first_id").alias("component_id"), F.coalesce("rep", "fp").alias("rep_fp"))
-    return base.join(of_class, "fp").select("doc_id", "fp", "text_hash", "component_id", "rep_fp")
+    moved = tagged.join(tagged.groupBy("root").agg(F.min("first_id").alias("component")), "root").select("fp", "component")
+    of_class = classes.join(moved, "fp", "left").select("fp", F.coalesce("component", "first_id").alias("component_id"))
+    return base.join(of_class, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 4, n: int = 4) -> DataFrame:
-    """docs with one row of each near-duplicate component, the one with the smallest doc_id.
+def _shingle_sets(n: int):
+    """Arrow batches (comp, cid, fp, text) -> the same with the distinct hashes of the text's n-word shingles."""
 
-    Of rows that repeat this id and fingerprint one stays, with the least hash of the text; all columns are
-    returned unchanged. The whole rows are shuffled once, and only repeated rows make them be aggregated.
+    def run(batches):
+        for batch in batches:
+            lower = pc.ascii_lower(pc.fill_null(batch.column(3), ""))
+            found: list[np.ndarray] = []
+            for _, _, hashes, counts in minhash.shingle_hashes(lower, n):
+                stops = np.cumsum(counts)
+                found += [np.unique(hashes[stop - c : stop]).view(np.int64) for stop, c in zip(stops, counts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], ["comp", "cid", "fp", "shingles"])
+
+    return run
+
+
+def _similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets reaches threshold; two empty sets are alike."""
+    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= threshold * (len(x) + len(y) - both)
+
+
+def _verify(radius: int, threshold: float):
+    """Rows (block, side, cid, fp, shingles) sorted by block: forests of the pairs that are similar.
+
+    Sides 0 and 1 meet, or 0 with itself. Pairs that earlier ones have joined aren't looked at again.
+    """
+
+    def flush(rows):
+        side = np.array([r[0] for r in rows])
+        cid, fp, sets = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.int64).view(np.uint64), [np.sort(np.array(r[3], np.int64)) for r in rows]
+        left = np.flatnonzero(side == 0)
+        other = np.flatnonzero(side == 1)
+        parent = list(range(len(rows)))
+
+        def find(k):
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        out = []
+        for i in left:
+            cand = other if len(other) else left[left > i]
+            near = cand[np.bitwise_count(fp[cand] ^ fp[i]) <= radius]
+            for j in near[np.argsort(np.bitwise_count(fp[near] ^ fp[i]), kind="stable")]:
+                a, b = find(i), find(j)
+                if a != b and _similar(sets[i], sets[j], threshold):
+                    parent[a] = b
+                    out.append((max(cid[i], cid[j]), min(cid[i], cid[j])))
+        if out:
+            u, v = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    def run(batches):
+        block, rows = None, []
+        for batch in batches:
+            cols = [batch.column(k).to_pylist() for k in range(5)]
+            for now, *row in zip(*cols, strict=True):
+                if now != block:
+                    yield from flush(rows) if len(rows) > 1 else ()
+                    block, rows = now, []
+                rows.append(row)
+        yield from flush(rows) if len(rows) > 1 else ()
+
+    return run
+
+
+def near_groups(docs: DataFrame, threshold: float = NEAR, n: int = NEAR_WORDS, radius: int = NEAR_RADIUS, simhash_words: int = NEAR_SIMHASH_WORDS, block: int = VERIFY_BLOCK) -> DataFrame:
+    """(doc_id, text_hash, group_id, rep_hash): groups of texts with similar shingle sets.
+
+    Candidates are SimHash components at `radius` over simhash_words-word shingles. Within them, pairs in the
+    radius are linked if the sets of their n-word shingles (A-Z in lower case) have a Jaccard similarity of
+    `threshold` or more, and a group is a component of such links. Equal texts are one class and one row of the
+    search. group_id is the smallest id of the group, rep_hash the hash of its text. Null and blank texts are
+    equal. Large candidate components are compared in pairs of blocks.
+    """
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    text = F.coalesce("text", F.lit(""))
+    base = common.stored(docs.select("doc_id", simhash_udf(simhash_words)(text).alias("fp"), F.xxhash64(text).alias("text_hash")), "near")
+    classes = common.stored(base.groupBy("fp", "text_hash").agg(F.min("doc_id").alias("first_id")).withColumn("cid", F.monotonically_increasing_id()), "near-classes")
+    edges = common.stored(links(classes.select("fp").distinct(), radius, "fp"), "near-links")
+    comps = classes.join(connected(edges).withColumnRenamed("node", "fp"), "fp", "left").select("cid", "fp", "text_hash", "first_id", F.coalesce("root", "fp").alias("comp"))
+    sizes = comps.groupBy("comp").agg(F.count("*").alias("size")).filter("size > 1")
+    cand = common.stored(comps.join(sizes, "comp"), "near-candidates")
+    wanted = cand.select(F.col("first_id").alias("_id"), F.col("text_hash").alias("_hash"), "comp", "cid", "fp")
+    if cand.count() <= BROADCAST_CLASSES:
+        wanted = F.broadcast(wanted)
+    whole = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_own_hash"))
+    found = whole.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))).select("comp", "cid", "fp", "text")
+    sets = common.stored(found.mapInArrow(_shingle_sets(n), "comp bigint, cid bigint, fp bigint, shingles array<bigint>").dropDuplicates(["cid"]), "near-sets")
+    split = (
+        sets.join(sizes, "comp")
+        .withColumn("s", F.ceil(F.col("size") / block).cast("int"))
+        .withColumn("c", F.pmod(F.xxhash64("cid"), F.col("s")).cast("int"))
+        .withColumn("d", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+        .select(F.concat_ws(":", "comp", F.least("c", "d"), F.greatest("c", "d")).alias("block"), F.when(F.col("c") > F.col("d"), 1).otherwise(0).alias("side"), "cid", "fp", "shingles")
+    )
+    same = common.stored(split.repartition("block").sortWithinPartitions("block", "cid").mapInArrow(_verify(radius, threshold), "u bigint, v bigint"), "near-verified")
+    roots = connected(same)
+    tagged = classes.join(roots, classes.cid == roots.node).select("fp", "text_hash", "first_id", "root")
+    best = tagged.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id"), F.col("text_hash"))).alias("b"))
+    moved = tagged.join(best, "root").select("fp", "text_hash", F.col("b.first_id").alias("group"), F.col("b.text_hash").alias("rep"))
+    of_class = classes.join(moved, ["fp", "text_hash"], "left").select("fp", "text_hash", F.coalesce("group", "first_id").alias("group_id"), F.coalesce("rep", "text_hash").alias("rep_hash"))
+    return base.join(of_class, ["fp", "text_hash"]).select("doc_id", "text_hash", "group_id", "rep_hash")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each group of near_groups, the one with the smallest doc_id.
+
+    Of rows that repeat this id and text one stays; all columns are returned unchanged. The whole rows are
+    shuffled once, and only repeated rows make them be aggregated.
     """
-    found = components(docs, radius, n)
-    rows = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("rep_fp")))
-    keep = common.stored(rows.groupBy(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).agg(F.min("text_hash").alias("_hash"), F.count("*").alias("_n")), "simhash-kept")
-    kept = docs.withColumn("_own_hash", F.xxhash64("text")).join(keep.select("_id", "_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")), "left_semi")
+    found = near_groups(docs, **options)
+    rows = found.filter(F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("text_hash") == F.col("rep_hash")))
+    keep = common.stored(rows.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("_n")), "near-kept")
+    own = docs.withColumn("_own_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = own.join(keep.select("_id", "_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")), "left_semi")
     if not keep.filter("_n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "_own_hash"])
     return kept.select(docs.columns)

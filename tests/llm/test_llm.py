@@ -114,6 +114,34 @@ def test_keep_one_and_odd_rows(spark):
     assert hamming.keep_one(empty_docs(spark)).count() == 0 == hamming.components(empty_docs(spark)).count()
 
 
+def test_near_groups_against_all_pairs(spark):
+    rng = np.random.default_rng(21)
+    words = [f"w{k}" for k in range(400)]
+    rows, texts_ = [], []
+    for _ in range(12):
+        base = list(rng.choice(words, int(rng.integers(30, 160))))
+        for _ in range(int(rng.integers(1, 7))):
+            copy = list(base)
+            for k in rng.integers(0, len(copy), int(rng.integers(0, 4))):
+                copy[k] = str(rng.choice(words))
+            texts_.append(" ".join(copy))
+    rows = list(enumerate(texts_))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts_]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                lo, hi = sorted((group[i], group[j]))
+                group = [lo if g == hi else g for g in group]
+    want = [min(i for i, h in enumerate(group) if h == g) for g in group]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for block in (3, 1024):
+        got = {r.doc_id: r.group_id for r in hamming.near_groups(df, block=block).collect()}
+        assert np.mean([got[i] == want[i] for i in range(len(rows))]) > 0.97
+        assert all(group[i] == group[got[i]] for i in got)  # no false link
+    assert sorted(r.doc_id for r in hamming.keep_one(df).collect()) == sorted(set(got.values()))
+
+
 def test_connected_chains(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (102, 100)], "u bigint, v bigint")
     got = {r.node: r.root for r in components.connected(chain).collect()}
