@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.grids import Grid
-from . import kernel
+from ..plans.grids import CUSTOM, Grid
+from . import kernel, lattice
 from .lattice import Adjacency, GraphAdjacency
 
 #: Node slots of all shots that one kernel call handles; large lattices get fewer shots a call.
@@ -71,6 +71,10 @@ def decode(defects: DataFrame, grid: Grid, erased: Iterable[int] = (), erasures:
     lattice are dropped and counted. erased: nodes missing in every shot; erasures: (shot, node) missing in one.
     The only shuffle puts a shot's rows together. n_unresolved > 0 marks shots that no correction can clear.
     """
+    if grid.topology in CUSTOM:
+        gone = set(erased)
+        usable = lattice.edges(defects.sparkSession, grid).filter(~F.col("u").isin(gone) & (F.col("v").isNull() | ~F.col("v").isin(gone))) if gone else lattice.edges(defects.sparkSession, grid)
+        return decode_graph(defects, usable, shot, node)
     rows = defects.select(F.col(shot).cast("bigint").alias("shot_id"), F.col(node).cast("bigint").alias("node"), F.lit(False).alias("gone")).filter("shot_id IS NOT NULL AND node IS NOT NULL")
     if erasures is not None:
         rows = rows.unionByName(erasures.select(F.col(shot).cast("bigint").alias("shot_id"), F.col(node).cast("bigint").alias("node"), F.lit(True).alias("gone")))

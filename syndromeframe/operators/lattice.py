@@ -13,12 +13,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..plans.grids import Grid
+from ..plans.grids import CUSTOM, Grid
 
 #: User-supplied lattices: name -> function (spark, grid) -> DataFrame(u, v).
 REGISTRY: dict[str, Callable[[SparkSession, Grid], DataFrame]] = {}
 
 
+def register(name: str, edges_of: Callable[[SparkSession, Grid], DataFrame]) -> None:
+    """A lattice of one's own: edges_of gives its interior edges (u, v), u < v, each once; sides stay those of the grid."""
+    CUSTOM.add(name.lower())
+    REGISTRY[name.lower()] = edges_of
+
+
 def nodes(spark: SparkSession, grid: Grid) -> DataFrame:
     """(node, x, y, t) of every valid node."""
     n = spark.range(grid.num_detectors).select(F.col("id"))

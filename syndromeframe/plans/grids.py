@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 TOPOLOGIES = ("square", "triangular", "honeycomb", "grid3d")
 _ALIASES = {"3d": "grid3d"}
+#: Names of lattices that users have registered (operators.lattice.register).
+CUSTOM: set[str] = set()
 
 
 @dataclass(frozen=True)
@@ -36,7 +38,7 @@ def next_power_of_two(n: int) -> int:
 def topology_name(name: str) -> str:
     """Canonical name of a topology, in any case; ValueError for an unknown one."""
     low = _ALIASES.get(name.lower(), name.lower())
-    if low not in TOPOLOGIES:
+    if low not in TOPOLOGIES and low not in CUSTOM:
         raise ValueError(f"unknown topology {name!r}")
     return low
 

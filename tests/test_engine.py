@@ -219,3 +219,11 @@ def test_kernel_respects_shot_erasures(spark):
 def test_fixture_parity(spark):
     d = tables.parity(tables.cube_toggles(spark, "/root/testdata/sf0.001"))
     assert d.groupBy("shot_id", "node").count().filter("count > 1").count() == 0 and d.filter(F.col("node") >= 448).count() == 0
+
+
+def test_registered_lattice(spark):
+    lattice.register("ring", lambda spark, g: spark.range(g.width).select(F.least("id", (F.col("id") + 1) % g.width).alias("u"), F.greatest("id", (F.col("id") + 1) % g.width).alias("v")))
+    g = Grid(8, 1, 1, "Ring", BOUNDARIES["none"])
+    d = spark.createDataFrame([(1, 0), (1, 7), (2, 3)], "shot_id bigint, node bigint")
+    got = {r.shot_id: r for r in decode.decode(d, g).collect()}
+    assert (got[1].u, got[1].v, got[1].n_unresolved) == ([0], [7], 0) and got[2].n_unresolved == 1
