@@ -20,11 +20,19 @@ def remaining(defects: DataFrame, corrections: DataFrame, grid: Grid | None = No
 
 
 def resolved(defects: DataFrame, corrections: DataFrame, grid: Grid | None = None) -> DataFrame:
-    """(shot_id, n_defects, remaining, resolved) of every shot that has a defect row."""
-    odd = defects.groupBy("shot_id", "node").agg(F.count("*").alias("n"))
-    shots = odd.groupBy("shot_id").agg(F.count_if(F.col("n") % 2 == 1).alias("n_defects"))
-    left = remaining(defects, corrections, grid).groupBy("shot_id").agg(F.count("*").alias("remaining"))
-    return shots.join(left, "shot_id", "left").select("shot_id", "n_defects", F.coalesce("remaining", F.lit(0)).alias("remaining"), F.col("remaining").isNull().alias("resolved"))
+    """(shot_id, n_defects, remaining, resolved) of every shot that has a defect row.
+
+    Defects and endpoints go through one shuffle, by shot, which both aggregations then share.
+    """
+    ends = corrections.select("shot_id", F.explode(F.array("u", "v")).alias("node"), F.lit(0).alias("own")).filter("node IS NOT NULL")
+    rows = defects.select("shot_id", "node", F.lit(1).alias("own")).unionByName(ends).repartition("shot_id")
+    by_node = rows.groupBy("shot_id", "node").agg(F.sum("own").alias("own"), F.count("*").alias("n"))
+    left = F.col("n") % 2 == 1
+    if grid is not None:
+        x, y, t = ids.coord(grid, "node")
+        left = left & (F.col("node") >= 0) & ids.in_bounds(grid, x, y, t)
+    shots = by_node.groupBy("shot_id").agg(F.count_if(F.col("own") % 2 == 1).alias("n_defects"), F.count_if(left).alias("remaining"), F.sum("own").alias("own"))
+    return shots.filter("own > 0").select("shot_id", "n_defects", "remaining", (F.col("remaining") == 0).alias("resolved"))
 
 
 def packed_remaining(decoded: DataFrame, defects: str = "defects") -> DataFrame:
