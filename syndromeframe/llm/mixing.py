@@ -27,8 +27,8 @@ PERIOD, LATER_PERIOD = 10_000, 1_000
 #: Default target: each source's share of the documents, but no source above this share.
 MOST_SHARE = 0.3
 SEED = 11
-#: Documents by which ranks are counted in one task.
-BUCKET_DOCS = 20_000
+#: Documents by which ranks are counted in one task: a two-thousandth of all, between these bounds.
+BUCKET_DOCS = (500, 20_000)
 
 
 def quantised(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -156,7 +156,7 @@ def _scheduled(docs: DataFrame, weights: dict[str, float] | None, block_docs: in
     common.small_batches(spark)
     rows = docs.select("doc_id", _source().alias("source"), _hash().alias("h"))
     n = rows.count()
-    bits = max(0, (n // BUCKET_DOCS).bit_length())
+    bits = (n // min(max(n // 2000, BUCKET_DOCS[0]), BUCKET_DOCS[1])).bit_length()
     # A source of any size is ranked over its buckets of the hash's upper bits.
     rows = rows.withColumn("bucket", F.shiftright(F.col("h"), 63 - bits))
     counts = common.stored(rows.groupBy("source", "bucket").agg(F.count("*").alias("n")), "mix-counts")
