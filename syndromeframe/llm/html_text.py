@@ -39,6 +39,8 @@ HINTS = re.compile(
     r"nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side|widgets?|toolbar|pagination|pager|skip|masthead|topbar|header|footer|foot|copyright|legal|disclaimer|"
     r"comments?|commentlist|replies|reply|respond|disqus|share|sharing|social|related|recommended|recommendations|teasers?|more|tags|hidden|search)(?=$|[\s_-])"
 )
+#: Of these, words that wrappers of a whole page bear, too: an article or main element below them counts again.
+_GENERIC = re.compile(r"(?i)header|foot|more|side$|search|hidden|legal|tags|alert|notice|overlay|banner|shar|social|login|signup|subscri|toolbar|skip|top")
 #: Classes that tell of another part of the page, such as has-sidebar.
 _ABOUT = re.compile(r"(?i)(?:^|(?<=[\s_-]))(?:with|has|no|without|hide|show|is|fixed)[-_][\w-]+")
 MARKS = re.compile(r"[.,;:!?、。，؟،]")
@@ -51,7 +53,7 @@ _SPACE = re.compile(r"\s+")
 class _Node:
     __slots__ = ("tag", "path", "skipped", "content", "link")
 
-    def __init__(self, tag: str, path: int, skipped: bool, content: bool, link: bool):
+    def __init__(self, tag: str, path: int, skipped: int, content: bool, link: bool):
         self.tag, self.path, self.skipped, self.content, self.link = tag, path, skipped, content, link
 
 
@@ -64,25 +66,30 @@ class Block:
         self.path, self.text, self.links, self.content, self.heading = path, text, links, content, heading
 
 
-def _boilerplate(tag: str, attributes: str, content: bool) -> bool:
+def _boilerplate(tag: str, attributes: str, content: bool) -> int:
+    """0: text; 1: boilerplate by a generic class or id only; 2: boilerplate."""
     if tag in BOILERPLATE or (tag == "header" and not content):
-        return True
+        return 2
     if not attributes or tag in ("html", "body"):
-        return False
+        return 0
+    generic = 0
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "role" and value.lower() in ROLES:
-            return True
+            return 2
         if name in ("class", "id") and tag not in CONTENT:
             value = _ABOUT.sub(" ", value)
-            hint = HINTS.search(value)
-            if hint and not (content and "header" in hint[0].lower()):
-                return True
+            for hint in HINTS.finditer(value):
+                if content and "header" in hint[0].lower():
+                    continue
+                if not _GENERIC.search(hint[0].strip(" _-")):
+                    return 2
+                generic = 1
         if name in ("class", "id") and tag == "article" and re.search(r"(?i)\b(?:comments?|related|teaser|sponsored|promo|advert)", value):
-            return True
+            return 2
         if (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?=$|\s)", attributes))
+            return 2
+    return 2 if re.search(r"(?:^|\s)hidden(?=$|\s)", attributes) else generic
 
 
 def blocks(html: str, by_name: bool = True) -> list[Block]:
@@ -92,7 +99,7 @@ def blocks(html: str, by_name: bool = True) -> list[Block]:
     """
     found: list[Block] = []
     paths: dict[tuple[int, str], int] = {}
-    stack = [_Node("", 0, False, False, False)]
+    stack = [_Node("", 0, 0, False, False)]
     open_tags: dict[str, int] = {}
     parts: list[str] = []
     links = first = 0
@@ -167,7 +174,8 @@ def blocks(html: str, by_name: bool = True) -> list[Block]:
         top = stack[-1]
         path = paths.setdefault((top.path, tag), len(paths) + 1)
         inside = top.content or tag in CONTENT or (len(attributes) > 8 and re.search(r"(?i)role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", attributes) is not None)
-        stack.append(_Node(tag, path, top.skipped or _boilerplate(tag, attributes if by_name else "", top.content), inside, top.link or tag == "a"))
+        above = 0 if top.skipped == 1 and tag in CONTENT else top.skipped
+        stack.append(_Node(tag, path, max(above, _boilerplate(tag, attributes if by_name else "", top.content)), inside, top.link or tag == "a"))
         open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
     return found
