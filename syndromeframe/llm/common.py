@@ -61,3 +61,18 @@ def first_by_hash(rows: DataFrame, key: str, n: int, counts: dict) -> DataFrame:
     h = F.xxhash64("doc_id")
     few = rows.filter(F.shiftrightunsigned(h, 11) / float(1 << 53) < share)
     return few.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.shiftrightunsigned(h, 11), "doc_id"))).filter(F.col("_r") <= n).drop("_r")
+
+
+#: A key with this part of all rows or more is frequent; so there are at most as many frequent keys.
+FREQUENT = 200
+
+
+def join_frequent(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows joined with classes (one row a key, `size` of them in rows), with no task for a frequent key alone.
+
+    The at most FREQUENT classes that hold a FREQUENT-th of all rows are broadcast, the others shuffled.
+    """
+    least = max(1, -(-total // FREQUENT))
+    often = F.broadcast(classes.filter(F.col(size) >= least).drop(size))
+    rest = rows.join(F.broadcast(classes.filter(F.col(size) >= least).select(keys)), keys, "left_anti")
+    return rows.join(often, keys).unionByName(rest.join(classes.filter(F.col(size) < least).drop(size), keys))

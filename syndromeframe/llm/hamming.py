@@ -27,7 +27,7 @@ ROW_COST = 100.0
 #: Near duplicates: similarity of word shingles, and the SimHash radius and words that find them (recall about 0.98 at 0.8).
 NEAR, NEAR_WORDS, NEAR_RADIUS, NEAR_SIMHASH_WORDS = 0.8, 5, 10, 2
 #: Texts of a candidate component that a task verifies as a whole; and classes (40 bytes each) that are broadcast.
-VERIFY_BLOCK, BROADCAST_CLASSES = 1024, 500_000
+VERIFY_BLOCK, BROADCAST_CLASSES = 1024, 100_000
 #: Entries of one bucket that a task compares as a whole; larger buckets are split into blocks.
 BLOCK = 4096
 
@@ -319,26 +319,26 @@ def components(docs: DataFrame, radius: int = 4, n: int = 4, text: str = "text",
     """
     common.small_batches(docs.sparkSession)
     base = common.stored(docs.select(F.col(doc_id).alias("doc_id"), simhash_udf(n)(F.col(text)).alias("fp")), "simhash")
-    classes = common.stored(base.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
+    classes = common.stored(base.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")), "simhash-classes")
     edges = common.stored(links(classes, radius, "fp", block), "simhash-links")
     linked = connected(edges)  # node, root
     tagged = classes.join(linked, classes.fp == linked.node).select("fp", "first_id", "root")
     moved = tagged.join(tagged.groupBy("root").agg(F.min("first_id").alias("component")), "root").select("fp", "component")
-    of_class = classes.join(moved, "fp", "left").select("fp", F.coalesce("component", "first_id").alias("component_id"))
-    return base.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    of_class = classes.join(moved, "fp", "left").select("fp", F.coalesce("component", "first_id").alias("component_id"), "rows")
+    return common.join_frequent(base, of_class, ["fp"], "rows", base.count()).select("doc_id", "fp", "component_id")
 
 
 def _shingle_sets(n: int):
-    """Arrow batches (comp, cid, fp, text) -> the same with the distinct hashes of the text's n-word shingles."""
+    """Arrow batches (comp, size, cid, fp, text) -> with the distinct hashes of the text's n-word shingles instead."""
 
     def run(batches):
         for batch in batches:
-            lower = pc.ascii_lower(pc.fill_null(batch.column(3), ""))
+            lower = pc.ascii_lower(pc.fill_null(batch.column(4), ""))
             found: list[np.ndarray] = []
             for _, _, hashes, counts in minhash.shingle_hashes(lower, n):
                 stops = np.cumsum(counts)
                 found += [np.unique(hashes[stop - c : stop]).view(np.int64) for stop, c in zip(stops, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], ["comp", "cid", "fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.list_(pa.int64()))], ["comp", "size", "cid", "fp", "shingles"])
 
     return run
 
@@ -410,20 +410,20 @@ def near_groups(docs: DataFrame, threshold: float = NEAR, n: int = NEAR_WORDS, r
     common.small_batches(spark)
     text = F.coalesce("text", F.lit(""))
     base = common.stored(docs.select("doc_id", simhash_udf(simhash_words)(text).alias("fp"), F.xxhash64(text).alias("text_hash")), "near")
-    classes = common.stored(base.groupBy("fp", "text_hash").agg(F.min("doc_id").alias("first_id")).withColumn("cid", F.monotonically_increasing_id()), "near-classes")
+    classes = common.stored(base.groupBy("fp", "text_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")).withColumn("cid", F.monotonically_increasing_id()), "near-classes")
     edges = common.stored(links(classes.select("fp").distinct(), radius, "fp"), "near-links")
     comps = classes.join(connected(edges).withColumnRenamed("node", "fp"), "fp", "left").select("cid", "fp", "text_hash", "first_id", F.coalesce("root", "fp").alias("comp"))
-    sizes = comps.groupBy("comp").agg(F.count("*").alias("size")).filter("size > 1")
-    cand = common.stored(comps.join(sizes, "comp"), "near-candidates")
-    wanted = cand.select(F.col("first_id").alias("_id"), F.col("text_hash").alias("_hash"), "comp", "cid", "fp")
+    comps = common.stored(comps, "near-components")
+    sizes = comps.groupBy("comp").agg(F.count("*").alias("size")).filter("size > 1").withColumn("rows", F.col("size"))
+    cand = common.stored(common.join_frequent(comps, sizes, ["comp"], "rows", comps.count()), "near-candidates")
+    wanted = cand.select(F.col("first_id").alias("_id"), F.col("text_hash").alias("_hash"), "comp", "size", "cid", "fp")
     if cand.count() <= BROADCAST_CLASSES:
         wanted = F.broadcast(wanted)
     whole = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_own_hash"))
-    found = whole.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))).select("comp", "cid", "fp", "text")
-    sets = common.stored(found.mapInArrow(_shingle_sets(n), "comp bigint, cid bigint, fp bigint, shingles array<bigint>").dropDuplicates(["cid"]), "near-sets")
+    found = whole.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))).select("comp", "size", "cid", "fp", "text")
+    sets = common.stored(found.mapInArrow(_shingle_sets(n), "comp bigint, size bigint, cid bigint, fp bigint, shingles array<bigint>").dropDuplicates(["cid"]), "near-sets")
     split = (
-        sets.join(sizes, "comp")
-        .withColumn("s", F.ceil(F.col("size") / block).cast("int"))
+        sets.withColumn("s", F.ceil(F.col("size") / block).cast("int"))
         .withColumn("c", F.pmod(F.xxhash64("cid"), F.col("s")).cast("int"))
         .withColumn("d", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
         .select(F.concat_ws(":", "comp", F.least("c", "d"), F.greatest("c", "d")).alias("block"), F.when(F.col("c") > F.col("d"), 1).otherwise(0).alias("side"), "cid", "fp", "shingles")
@@ -433,8 +433,8 @@ def near_groups(docs: DataFrame, threshold: float = NEAR, n: int = NEAR_WORDS, r
     tagged = classes.join(roots, classes.cid == roots.node).select("fp", "text_hash", "first_id", "root")
     best = tagged.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id"), F.col("text_hash"))).alias("b"))
     moved = tagged.join(best, "root").select("fp", "text_hash", F.col("b.first_id").alias("group"), F.col("b.text_hash").alias("rep"))
-    of_class = classes.join(moved, ["fp", "text_hash"], "left").select("fp", "text_hash", F.coalesce("group", "first_id").alias("group_id"), F.coalesce("rep", "text_hash").alias("rep_hash"))
-    return base.join(of_class, ["fp", "text_hash"]).select("doc_id", "text_hash", "group_id", "rep_hash")
+    of_class = classes.join(moved, ["fp", "text_hash"], "left").select("fp", "text_hash", F.coalesce("group", "first_id").alias("group_id"), F.coalesce("rep", "text_hash").alias("rep_hash"), "rows")
+    return common.join_frequent(base, of_class, ["fp", "text_hash"], "rows", base.count()).select("doc_id", "text_hash", "group_id", "rep_hash")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
