@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -92,43 +93,123 @@ class WindowDecoder:
         s["tail"] = until
 
 
-def _rows(stream_id: int, out: list[tuple]) -> pa.RecordBatch:
+#: Rows that a replay holds at once; a stream with more goes round by round.
+CHUNK_ROWS = 20_000
+
+
+def _rows(stream_id, out: list[tuple]) -> pa.RecordBatch:
     r, u, v, o = zip(*out, strict=True)
     return pa.RecordBatch.from_arrays([pa.array([stream_id] * len(out), pa.int64()), pa.array(r, pa.int64()), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(o, pa.int64())], ["stream_id", "round", "u", "v", "observable"])
 
 
+class _LongStream:
+    """One stream that goes on over many batches."""
+
+    def __init__(self, stream: int, width: int, height: int, size: int):
+        self.stream, self.decoder = stream, WindowDecoder(width, height, size)
+
+    def feed(self, round_: np.ndarray, x: np.ndarray, y: np.ndarray, on: np.ndarray, end: bool) -> Iterator[pa.RecordBatch]:
+        """Whole rounds, in order."""
+        out: list[tuple] = []
+        starts = np.flatnonzero(np.diff(round_, prepend=round_[:1] - 1)) if len(round_) else np.zeros(0, int)
+        for i, j in zip(starts, [*starts[1:], len(round_)], strict=True):
+            k = np.flatnonzero(on[i:j]) + i
+            out.extend(self.decoder.push(int(round_[i]), list(zip(x[k].tolist(), y[k].tolist(), strict=True))))
+        if end:
+            out.extend(self.decoder.flush())
+        if out:
+            yield _rows(self.stream, out)
+
+
+def _lockstep(cols: list[np.ndarray], width: int, height: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Commits of whole streams as WindowDecoder makes them, all streams at the same round in one kernel call."""
+    side, layer = next_power_of_two(max(width, height)), width * height
+    ids, idx = np.unique(cols[0], return_inverse=True)
+    last = np.zeros(len(ids), np.int64)
+    np.maximum.at(last, idx, cols[1])
+    cell = cols[3] * width + cols[2]
+    ok = cols[4].astype(bool) & (cols[2] < width) & (cols[3] < height) & (cols[1] >= 0)
+    order = np.argsort(cols[1][ok], kind="stable")
+    when, who, what = cols[1][ok][order], idx[ok][order], cell[ok][order]
+    adjacent: dict[int, Adjacency] = {}
+    window = np.zeros((len(ids), size * layer), np.uint8)
+
+    def load(r: int, at: int) -> None:
+        i, j = np.searchsorted(when, [r, r + 1])
+        np.bitwise_xor.at(window, (who[i:j], at * layer + what[i:j]), 1)
+
+    for k in range(size):
+        load(k, k)
+    tail = 0
+    while True:
+        flush = last - size + 1 <= tail
+        for depth in np.unique(np.minimum(size, last[window.any(1)] + 1)).tolist():
+            mine = np.flatnonzero(window.any(1) & (np.minimum(size, last + 1) == depth))
+            if depth not in adjacent:
+                adjacent[depth] = Adjacency(Grid(width, height, depth, "grid3d"))
+            adj = adjacent[depth]
+            shot, node = np.nonzero(window[mine, : depth * layer])
+            c_shot, edge, _, _ = kernel.decode(adj, shot, node, len(mine))
+            u, v = adj.u[edge], adj.v[edge]
+            keep = flush[mine[c_shot]] | (u < layer)
+            stream, u, v = mine[c_shot[keep]], u[keep], v[keep]
+            if not len(u):
+                continue
+            inner = v >= 0
+            np.bitwise_xor.at(window, (stream, u), 1)
+            np.bitwise_xor.at(window, (stream[inner], v[inner]), 1)
+            x, y = u % width, u // width % height
+            to_x, to_y = np.minimum(x, width - 1 - x), np.minimum(y, height - 1 - y)
+            bit = np.where(inner, 0, np.where(to_x == 0, 2, np.where(to_y == 0, 1, np.where(to_x <= to_y, 2, 1))))
+            first, second = ((tail + n // layer) * side * side + n // width % height * side + n % width for n in (u, np.maximum(v, 0)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[stream], pa.int64()), pa.array(tail + u // layer), pa.array(first), pa.array(second, mask=~inner), pa.array(bit.astype(np.int64))], ["stream_id", "round", "u", "v", "observable"])
+        window[flush] = 0  # what no correction clears stays behind, as at the end of a stream
+        tail += 1
+        window[:, :-layer] = window[:, layer:]
+        window[:, -layer:] = 0
+        load(tail + size - 1, size - 1)
+        if not window.any():  # on to the next round with a defect
+            nxt = np.searchsorted(when, tail + size)
+            if nxt == len(when):
+                return
+            target = int(when[nxt]) - size + 1
+            if target > tail:
+                tail = target
+                load(tail + size - 1, size - 1)
+
+
 def replay(rounds: DataFrame, width: int, height: int, size: int) -> DataFrame:
-    """Commits of whole streams: rounds (stream_id, round, x, y, on), decoded in round order as a stream would be."""
+    """Commits of whole streams: rounds (stream_id, round, x, y, on), decoded in round order as a stream would be.
 
-    def run(batches):
-        stream, decoder, out = None, None, []
-        now, cells = None, []
-
-        def end_round():
-            if now is not None:
-                out.extend(decoder.push(now, cells))
-
-        for batch in batches:
-            for s, r, x, y, on in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if s != stream:
-                    if decoder is not None:
-                        end_round()
-                        out.extend(decoder.flush())
-                    if out:
-                        yield _rows(stream, out)
-                    stream, decoder, out, now, cells = s, WindowDecoder(width, height, size), [], None, []
-                if r != now:
-                    end_round()
-                    now, cells = r, []
-                if on:
-                    cells.append((x, y))
-        if decoder is not None:
-            end_round()
-            out.extend(decoder.flush())
-            if out:
-                yield _rows(stream, out)
+    A task takes its streams in lockstep, CHUNK_ROWS rows at a time; a stream with more rows goes on by itself.
+    """
 
-    rows = rounds.select("stream_id", "round", "x", "y", "on").repartition("stream_id").sortWithinPartitions("stream_id", "round")
+    def run(batches):
+        held, long = None, None
+        for batch in itertools.chain(batches, [None]):
+            end = batch is None
+            if not end and batch.num_rows:
+                cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+                held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            if held is None or (not end and len(held[0]) < CHUNK_ROWS):
+                continue
+            if long is not None:
+                n = int(np.searchsorted(held[0], long.stream, "right"))
+                over = end or n < len(held[0])
+                whole = n if over else int(np.searchsorted(held[1], held[1][-1]))  # the last round may go on
+                yield from long.feed(*(c[:whole] for c in held[1:]), over)
+                held = [c[whole:] for c in held]
+                if not over:
+                    continue
+                long = None
+            cut = len(held[0]) if end else int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if cut:
+                yield from _lockstep([c[:cut] for c in held], width, height, size)
+            held = [c[cut:] for c in held]
+            if not end and len(held[0]) >= CHUNK_ROWS:
+                long = _LongStream(int(held[0][0]), width, height, size)
+
+    rows = rounds.select("stream_id", "round", "x", "y", "on").filter("stream_id IS NOT NULL AND round IS NOT NULL").repartition("stream_id").sortWithinPartitions("stream_id", "round")
     return rows.mapInArrow(run, SCHEMA)
 
 

@@ -170,6 +170,30 @@ def test_window_commits_in_order_and_clears():
         assert not list(d.push(0, [(1, 1)])) and d.state["late"] == 1
 
 
+def test_lockstep_and_long_streams_equal_one_decoder(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    rows = [(s, r, int(rng.integers(5)), int(rng.integers(4)), bool(rng.random() < 0.7)) for s in range(6) for r in sorted(rng.integers(0, 4 + 6 * s, 3 + 8 * s).tolist())]
+    cols = [np.array([r[k] for r in rows]) for k in range(5)]
+    for size in (1, 2, 3, 9):
+        want = []
+        for s in range(6):
+            d, own = window.WindowDecoder(5, 4, size), [r for r in rows if r[0] == s]
+            for t in sorted({r[1] for r in own}):
+                want += [(s, *e) for e in d.push(t, [(r[2], r[3]) for r in own if r[1] == t and r[4]])]
+            want += [(s, *e) for e in d.flush()]
+        key = lambda r: tuple(-1 if x is None else x for x in r)
+        got = [tuple(r.values()) for b in window._lockstep(cols, 5, 4, size) for r in b.to_pylist()]
+        assert sorted(got, key=key) == sorted(want, key=key)
+        long = []
+        for s in range(6):
+            own = [c[cols[0] == s] for c in cols[1:]]
+            half = int(np.searchsorted(own[0], own[0][len(own[0]) // 2]))
+            stream = window._LongStream(s, 5, 4, size)
+            for part, end in (([c[:half] for c in own], False), ([c[half:] for c in own], True)):
+                long += [tuple(r.values()) for b in stream.feed(*part, end) for r in b.to_pylist()]
+        assert sorted(long, key=key) == sorted(want, key=key)
+
+
 def test_stream_equals_replay(spark, tmp_path):
     rng = np.random.default_rng(12)
     rows = [(s, r, int(rng.integers(4)), int(rng.integers(4)), bool(rng.random() < 0.6), False) for s in range(3) for r in range(8)]
