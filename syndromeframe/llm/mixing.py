@@ -126,23 +126,29 @@ def _source() -> F.Column:
     return F.coalesce(F.col("source"), F.lit(""))
 
 
+def _slots(plan: list[Phase], source: np.ndarray, rank: np.ndarray, block_docs: int):
+    """Block, slot, release, deadline and phase of rows by their source and rank in it."""
+    block = rank // block_docs
+    slot, release, deadline, phase = (np.zeros(len(rank), np.int64) for _ in range(4))
+    for s in set(source):
+        mine = np.flatnonzero(source == s)
+        for k, p in enumerate(plan):
+            if s not in p.slots:
+                continue
+            here = mine[(block[mine] >= p.first[s]) & (block[mine] < p.last[s])]
+            i, q = block[here] - p.first[s], p.slots[s]
+            slot[here] = p.start + i // q * p.period + p.order[s][i % q]
+            release[here] = p.start + i * p.period // q
+            deadline[here] = p.start - (-(i + 1) * p.period // q)
+            phase[here] = k
+    return block, slot, release, deadline, phase
+
+
 def _place(plan: list[Phase], block_docs: int):
     def run(batches):
         for batch in batches:
             source, rank = np.array(batch.column("source").to_pylist(), object), batch.column("rank").to_numpy()
-            block = rank // block_docs
-            slot, release, deadline, phase = (np.zeros(len(rank), np.int64) for _ in range(4))
-            for s in set(source):
-                mine = np.flatnonzero(source == s)
-                for k, p in enumerate(plan):
-                    if s not in p.slots:
-                        continue
-                    here = mine[(block[mine] >= p.first[s]) & (block[mine] < p.last[s])]
-                    i, q = block[here] - p.first[s], p.slots[s]
-                    slot[here] = p.start + i // q * p.period + p.order[s][i % q]
-                    release[here] = p.start + i * p.period // q
-                    deadline[here] = p.start - (-(i + 1) * p.period // q)
-                    phase[here] = k
+            block, slot, release, deadline, phase = _slots(plan, source, rank, block_docs)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("source"), batch.column("h"), pa.array(block), pa.array(release), pa.array(deadline), pa.array(slot), pa.array(slot * block_docs + rank % block_docs), pa.array(phase == 0)],
                 ["doc_id", "source", "h", "block", "release_slot", "deadline_slot", "slot", "position", "selected"],
@@ -151,24 +157,38 @@ def _place(plan: list[Phase], block_docs: int):
     return run
 
 
-def _scheduled(docs: DataFrame, weights: dict[str, float] | None, block_docs: int) -> DataFrame:
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    rows = docs.select("doc_id", _source().alias("source"), _hash().alias("h"))
-    n = rows.count()
+def _position_udf(plan: list[Phase], block_docs: int):
+    @F.arrow_udf("bigint")
+    def position(source: pa.Array, rank: pa.Array) -> pa.Array:
+        rank = rank.to_numpy(zero_copy_only=False)
+        return pa.array(_slots(plan, np.array(source.to_pylist(), object), rank, block_docs)[1] * block_docs + rank % block_docs)
+
+    return position
+
+
+def _ranked(docs: DataFrame, weights: dict[str, float] | None, block_docs: int) -> tuple[DataFrame, list[Phase]]:
+    """docs with _source, _h and _rank (from 0, in each source by hash), and the plan of their blocks."""
+    common.small_batches(docs.sparkSession)
+    rows = docs.withColumn("_source", _source()).withColumn("_h", _hash())
+    n = docs.count()
     bits = (n // min(max(n // 2000, BUCKET_DOCS[0]), BUCKET_DOCS[1])).bit_length()
     # A source of any size is ranked over its buckets of the hash's upper bits.
-    rows = rows.withColumn("bucket", F.shiftright(F.col("h"), 63 - bits))
-    counts = common.stored(rows.groupBy("source", "bucket").agg(F.count("*").alias("n")), "mix-counts")
-    by_source = {r.source: r.n for r in counts.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    rows = rows.withColumn("_bucket", F.shiftright(F.col("_h"), 63 - bits))
+    counts = common.stored(rows.groupBy("_source", "_bucket").agg(F.count("*").alias("n")), "mix-counts")
+    by_source = {r["_source"]: r.n for r in counts.groupBy("_source").agg(F.sum("n").alias("n")).collect()}
     if weights is None:
         weights = target_weights(by_source)
     plan = phases({s: -(-c // block_docs) for s, c in by_source.items()}, weights)
-    before = counts.select("source", "bucket", (F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("before"))
-    in_bucket = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id"))
-    ranked = rows.withColumn("k", in_bucket).join(before, ["source", "bucket"]).select("doc_id", "source", "h", (F.col("before") + F.col("k") - 1).alias("rank"))
+    before = counts.select("_source", "_bucket", (F.sum("n").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("n")).alias("_before"))
+    in_bucket = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_h", "doc_id"))
+    ranked = rows.withColumn("_k", in_bucket).join(before, ["_source", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_k") - 1)
+    return ranked.select(*docs.columns, "_source", "_h", "_rank"), plan
+
+
+def _scheduled(docs: DataFrame, weights: dict[str, float] | None, block_docs: int) -> DataFrame:
+    ranked, plan = _ranked(docs.select("doc_id", "source"), weights, block_docs)
     schema = "doc_id bigint, source string, h bigint, block bigint, release_slot bigint, deadline_slot bigint, slot bigint, position bigint, selected boolean"
-    return ranked.mapInArrow(_place(plan, block_docs), schema)
+    return ranked.select("doc_id", F.col("_source").alias("source"), F.col("_h").alias("h"), F.col("_rank").alias("rank")).mapInArrow(_place(plan, block_docs), schema)
 
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -195,5 +215,15 @@ def mixture(docs: DataFrame, weights: dict[str, float] | None = None, block_docs
     return docs.filter(limit.isNull() | (_hash() < limit))
 
 
+def interleaved(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """All rows of docs in the order of their positions in the schedule, later phases included.
+
+    Partitions are ranges of positions. Whole rows are shuffled twice, by bucket for their ranks and by position.
+    """
+    ranked, plan = _ranked(docs, weights, block_docs)
+    placed = ranked.withColumn("_position", _position_udf(plan, block_docs)("_source", "_rank"))
+    return placed.repartitionByRange("_position").sortWithinPartitions("_position").select(docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return schedule(common.table(spark, sf_dir, "documents"))

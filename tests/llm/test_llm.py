@@ -548,6 +548,18 @@ def test_mixture_and_odd_rows(spark):
     assert mixing.schedule(empty_docs(spark)).count() == 0 == mixing.mixture(empty_docs(spark)).count()
 
 
+def test_interleaved_keeps_every_document(spark):
+    import corpus_pipeline
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    d = d.unionByName(d.limit(1).withColumn("source", F.lit(None).cast("string")))  # one row of a tiny source
+    for rows in (d, odd_docs(spark), empty_docs(spark)):
+        got = corpus_pipeline.source_mix(spark, rows, "")
+        assert got.columns == rows.columns and got.exceptAll(rows).isEmpty() and rows.exceptAll(got).isEmpty()
+    places = sorted(mixing.schedule(d).collect(), key=lambda r: r.position)
+    assert [r.doc_id for r in mixing.interleaved(d).collect()] == [r.doc_id for r in places]
+
+
 # --- pipeline ---
 
 
