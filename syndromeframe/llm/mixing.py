@@ -24,7 +24,7 @@ from . import common
 #: Documents in a block; slots of a period in the first phase and, ten times the sources at least, in later ones.
 BLOCK_DOCS = 16
 PERIOD, LATER_PERIOD = 10_000, 1_000
-#: Default target: each source's share of the documents, but no source above this share.
+#: Default target: each source's share of the documents, but no source above this share while others last.
 MOST_SHARE = 0.3
 SEED = 11
 #: Documents by which ranks are counted in one task: a two-thousandth of all, between these bounds.

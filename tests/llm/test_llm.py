@@ -560,6 +560,16 @@ def test_interleaved_keeps_every_document(spark):
     assert [r.doc_id for r in mixing.interleaved(d).collect()] == [r.doc_id for r in places]
 
 
+def test_hot_source_loses_nothing(spark):
+    import corpus_pipeline
+
+    d = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5 < 2, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"))
+    kept = [r.source for r in corpus_pipeline.source_mix(spark, d, "").collect()]
+    assert len(kept) == 4000 and kept.count("hot") == 1600
+    assert abs(kept[:1600].count("hot") - 0.3 * 1600) < 32  # the cap orders, the surplus comes last
+    assert set(kept[-300:]) == {"hot"}
+
+
 # --- pipeline ---
 
 
