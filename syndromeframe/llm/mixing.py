@@ -3,16 +3,18 @@
 Each source's documents, in an order by hash, are cut into blocks. With weight w, block i (from 0) of a source
 may run from its release floor(i / w) and must have run by its deadline ceil((i + 1) / w), in slots of one
 block. Earliest deadline first among the released blocks meets every window, so that in any prefix of the
-schedule a source is less than one block off its target. Weights are quotients q / Q, so the schedule repeats
-every Q slots and only one period is ever computed; rows find their slot by arithmetic. When a source runs out
-the others go on by their weights in a new phase: no document is lost, and `selected` marks the first phase,
-in which all targets hold.
+schedule a source is less than one block off its target. Weights are exact quotients, never rounded; the driver
+schedules all blocks, and rows find their slot by their rank. When a source has run out and its next block would
+be due, the others go on by their weights in a new phase: no document is lost, and `selected` marks the first
+phase, in which all targets hold.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Documents in a block; slots of a period in the first phase and, ten times the sources at least, in later ones.
+#: Documents in a block.
 BLOCK_DOCS = 16
-PERIOD, LATER_PERIOD = 10_000, 1_000
 #: Default target: each source's share of the documents, but no source above this share while others last.
 MOST_SHARE = 0.3
 SEED = 11
@@ -48,32 +49,48 @@ def quantised(weights: dict[str, float], period: int) -> dict[str, int]:
     return slots
 
 
-def edf(slots: dict[str, int]) -> dict[str, np.ndarray]:
-    """Slots of each source's blocks in one period: earliest deadline first among the released."""
-    period = sum(slots.values())
-    waiting: list[list[tuple]] = [[] for _ in range(period + 1)]
-    out: dict[str, list[int]] = {s: [] for s in slots}
-    for s, q in sorted(slots.items()):
-        waiting[0].append((-(-period // q), s, 0))
-    ready: list[tuple] = []
-    for t in range(period):
-        for x in waiting[t]:
-            heapq.heappush(ready, x)
-        _, s, i = heapq.heappop(ready)
-        out[s].append(t)
-        q = slots[s]
-        if i + 1 < q:
-            release = (i + 1) * period // q
-            entry = (-(-(i + 2) * period // q), s, i + 1)
-            if release <= t:
-                heapq.heappush(ready, entry)
-            else:
-                waiting[release].append(entry)
-    return {s: np.array(v, np.int64) for s, v in out.items()}
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """Integers in exactly the proportion of the weights (a float is the quotient that it stores)."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    found = {s: int(w * scale) for s, w in exact.items()}
+    common_part = math.gcd(*found.values())
+    return {s: w // common_part for s, w in found.items()}
+
+
+def edf(slots: dict[str, int], blocks: dict[str, int] | None = None) -> dict[str, np.ndarray]:
+    """Slots of each source's blocks: earliest deadline first among the released, by weights in proportion to slots.
+
+    It ends before the first slot that is due to a block beyond a source's `blocks` (None: those of one period).
+    """
+    names = sorted(slots)
+    weight, supply = [slots[s] for s in names], [(blocks or slots)[s] for s in names]
+    total, left = sum(weight), sum(supply)
+    out: list[list[int]] = [[] for _ in names]
+    ready = [(-(-total // q), k) for k, q in enumerate(weight)]
+    heapq.heapify(ready)
+    waiting: list[tuple[int, int, int]] = []
+    for t in range(left):
+        while waiting and waiting[0][0] <= t:
+            heapq.heappush(ready, heapq.heappop(waiting)[1:])
+        _, k = ready[0]
+        i = len(out[k]) + 1
+        if i > supply[k]:
+            break
+        out[k].append(t)
+        release, deadline = i * total // weight[k], -(-(i + 1) * total // weight[k])
+        if release <= t + 1:
+            heapq.heapreplace(ready, (deadline, k))
+        else:
+            heapq.heappop(ready)
+            heapq.heappush(waiting, (release, deadline, k))
+    return {s: np.array(v, np.int64) for s, v in zip(names, out, strict=True)}
 
 
 @dataclass
 class Phase:
+    """A phase from slot `start`: of the sources that run in it, weights (of `period` in all), slots after the start, and blocks."""
+
     start: int
     period: int
     slots: dict[str, int]
@@ -87,29 +104,27 @@ def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[Phase]:
     left, at, start = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0
     found: list[Phase] = []
     while left:
-        active = {s: weights[s] for s in left if weights.get(s, 0) > 0} or {s: float(n) for s, n in left.items()}
-        slots = quantised(active, 1 if len(active) == 1 else max(LATER_PERIOD if found else PERIOD, 10 * len(active)))
-        order, period = edf(slots), sum(slots.values())
-        ends = {s: (left[s] - 1) // q * period + int(order[s][(left[s] - 1) % q]) + 1 for s, q in slots.items()}
-        end = min(ends.values())
-        used = {s: end // period * q + int(np.searchsorted(order[s], end % period)) for s, q in slots.items()}
-        found.append(Phase(start, period, slots, order, {s: at[s] for s in slots}, {s: at[s] + used[s] for s in slots}))
-        for s in slots:
-            at[s] += used[s]
-            left[s] -= used[s]
+        slots = whole({s: weights[s] for s in left if weights.get(s, 0) > 0} or left)
+        order = edf(slots, {s: left[s] for s in slots}) if len(slots) > 1 else {s: np.arange(left[s]) for s in slots}
+        used = {s: len(x) for s, x in order.items() if len(x)}
+        found.append(Phase(start, sum(slots.values()), {s: slots[s] for s in used}, {s: order[s] for s in used}, {s: at[s] for s in used}, {s: at[s] + n for s, n in used.items()}))
+        for s, n in used.items():
+            at[s] += n
+            left[s] -= n
             if not left[s]:
                 del left[s]
-        start += end
+        start += sum(used.values())
     return found
 
 
-def target_weights(docs_by_source: dict[str, int], most: float = MOST_SHARE) -> dict[str, float]:
-    """Shares of the documents with none above `most`; the surplus goes to the others in proportion."""
-    share = {s: n / max(1, sum(docs_by_source.values())) for s, n in docs_by_source.items()}
+def target_weights(docs_by_source: dict[str, int], most: float = MOST_SHARE) -> dict[str, Fraction]:
+    """Exact shares of the documents with none above `most`; the surplus goes to the others in proportion."""
+    most = Fraction(str(most))
+    share = {s: Fraction(n, max(1, sum(docs_by_source.values()))) for s, n in docs_by_source.items()}
     capped: set[str] = set()
     while len(capped) < len(share):
         rest = sum(share[s] for s in share if s not in capped)
-        scale = (1 - most * len(capped)) / rest if rest and most * len(capped) < 1 else 1.0
+        scale = (1 - most * len(capped)) / rest if rest and most * len(capped) < 1 else 1
         over = {s for s in share if s not in capped and share[s] * scale > most}
         if not over or most * (len(capped) + len(over)) >= 1:
             break
@@ -137,9 +152,10 @@ def _slots(plan: list[Phase], source: np.ndarray, rank: np.ndarray, block_docs:
                 continue
             here = mine[(block[mine] >= p.first[s]) & (block[mine] < p.last[s])]
             i, q = block[here] - p.first[s], p.slots[s]
-            slot[here] = p.start + i // q * p.period + p.order[s][i % q]
-            release[here] = p.start + i * p.period // q
-            deadline[here] = p.start - (-(i + 1) * p.period // q)
+            slot[here] = p.start + p.order[s][i]
+            exact = i.astype(object)  # products of weights and blocks may exceed 64 bits
+            release[here] = p.start + exact * p.period // q
+            deadline[here] = p.start - (-(exact + 1) * p.period // q)
             phase[here] = k
     return block, slot, release, deadline, phase
 
@@ -194,8 +210,8 @@ def _scheduled(docs: DataFrame, weights: dict[str, float] | None, block_docs: in
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(doc_id, source, block, release_slot, deadline_slot, slot, position, selected) of every row.
 
-    weights: target by source; None: target_weights of the sources' counts. The number of sources must be
-    moderate (the plan has a few thousand entries for each). A null source counts as the empty name, rows
+    weights: target by source; None: target_weights of the sources' counts. The plan
+    holds 8 bytes for each block and is sent to every task. A null source counts as the empty name, rows
     that repeat a doc_id get places of their own, an empty table gives an empty result.
     """
     return _scheduled(docs, weights, block_docs).drop("h")

@@ -521,6 +521,22 @@ def test_pfair_windows_and_lag():
                 assert i * period // q <= t and t + 1 <= -(-(i + 1) * period // q)
 
 
+def test_lag_against_unrounded_targets():
+    for blocks in ({"a": 100_003, "b": 61_001, "c": 7, "d": 1}, {str(k): 30_000 // (k + 1) + 1 for k in range(40)}):
+        w = mixing.target_weights(blocks)
+        plan = mixing.phases(blocks, w)
+        for s in blocks:
+            slots = np.concatenate([p.start + p.order[s] for p in plan if s in p.slots])
+            assert len(slots) == blocks[s] and (np.diff(slots) > 0).all()
+        p = plan[0]
+        for s, order in p.order.items():
+            k = np.arange(len(order))
+            ahead, behind = k + 1 - (order + 1) * float(w[s]), order * float(w[s]) - k
+            assert max(ahead.max(), behind.max()) < 1
+    one = {f"s{k}": 5000 for k in range(20)} | {"": 1}
+    assert sum(map(len, mixing.phases(one, mixing.target_weights(one))[0].order.values())) > 99_980  # a tiny source ends nothing
+
+
 def test_schedule(spark):
     sf = "/root/testdata/sf0.01"
     d = spark.read.parquet(f"{sf}/documents.parquet")
