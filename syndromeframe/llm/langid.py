@@ -208,10 +208,13 @@ def with_language(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
-    """The rows of docs that read as one of the learned languages, by their corrected share of n-grams."""
+    """The rows of docs that read as one of the learned languages, by their corrected share of n-grams.
+
+    All of them if nothing can be learned (no labelled text outside the held-out fold).
+    """
     common.small_batches(docs.sparkSession)
     model = learn(docs.filter(common.crc_fold("doc_id", 5) != 0))
-    return docs.filter(predict_udf(model)(F.col("text"))["share"] >= least_share)
+    return docs.filter(predict_udf(model)(F.col("text"))["share"] >= least_share) if model.languages else docs
 
 
 def query(spark, sf_dir: str) -> DataFrame:

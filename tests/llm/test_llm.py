@@ -308,6 +308,11 @@ def test_language_odd_rows(spark):
     assert langid.known_language(odd_docs(spark)).columns == odd_docs(spark).columns
 
 
+def test_known_language_without_labels(spark):
+    d = docs(spark).withColumn("lang", F.lit(None).cast("string"))
+    assert langid.known_language(d).count() == d.count() > 0
+
+
 def test_bloom_filter_has_no_false_negative():
     rng = np.random.default_rng(1)
     sets = {k: rng.integers(0, 1 << 32, 3000, np.uint32) for k in ("a", "b", "c")}
