@@ -24,10 +24,12 @@ from .components import connected, local_roots
 BITS = 64
 #: Cost of a shuffled probe row, in units of a compared pair.
 ROW_COST = 100.0
-#: Near duplicates: similarity of word shingles, and the SimHash radius and words that find them (recall about 0.98 at 0.8).
+#: Near duplicates: similarity of word shingles, and the SimHash radius and words that find most of them; MinHash bands find the rest.
 NEAR, NEAR_WORDS, NEAR_RADIUS, NEAR_SIMHASH_WORDS = 0.8, 5, 10, 2
-#: Texts of a candidate component that a task verifies as a whole; and classes (40 bytes each) that are broadcast.
+#: Texts of a candidate component that a task verifies as a whole; and classes (300 bytes each) that are broadcast.
 VERIFY_BLOCK, BROADCAST_CLASSES = 1024, 100_000
+#: MinHash signatures of a similar pair agree by this less than its similarity at worst (over four deviations at 0.8).
+AGREE_SLACK = 0.15
 #: Entries of one bucket that a task compares as a whole; larger buckets are split into blocks.
 BLOCK = 4096
 
@@ -328,17 +330,87 @@ def components(docs: DataFrame, radius: int = 4, n: int = 4, text: str = "text",
     return common.join_frequent(base, of_class, ["fp"], "rows", base.count()).select("doc_id", "fp", "component_id")
 
 
+def signature_udf(n: int = NEAR_WORDS):
+    """Column function text -> MinHash signature (A-Z in lower case), two bytes a permutation."""
+
+    @F.arrow_udf("binary")
+    def sig(texts: pa.Array) -> pa.Array:
+        return pa.array([x.tobytes() for x in minhash.signatures(pc.ascii_lower(texts), n)], pa.binary())
+
+    return sig
+
+
+def _band_keys(batches):
+    """Arrow batches (cid, sig) -> (key, cid), one row a band."""
+    for batch in batches:
+        for part in minhash.band_keys(batch.column(1).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), batch.column(0)], ["key", "cid"])
+
+
+def _band_forest(floor: float):
+    """Rows (block, side, fp, sig) sorted by block: forests of the fingerprints whose signatures agree in `floor` or more."""
+
+    def flush(rows):
+        side, fp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
+        sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(len(rows), minhash.K)
+        left, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found = []
+        for i in left:
+            cand = other if len(other) else left[left > i]
+            hit = cand[(sig[cand] == sig[i]).mean(1) >= floor]
+            hit = hit[fp[hit] != fp[i]]
+            if len(hit):
+                found.append((np.full(len(hit), fp[i]).view(np.uint64), fp[hit].view(np.uint64)))
+            if len(found) > 256:
+                u, v = _edges(found)
+                found = [(u.view(np.uint64), v.view(np.uint64))]
+        u, v = _edges(found)
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    def run(batches):
+        block, rows = None, []
+        for batch in batches:
+            cols = [batch.column(k).to_pylist() for k in range(4)]
+            for now, *row in zip(*cols, strict=True):
+                if now != block:
+                    yield from flush(rows) if len(rows) > 1 else ()
+                    block, rows = now, []
+                rows.append(row)
+        yield from flush(rows) if len(rows) > 1 else ()
+
+    return run
+
+
+def band_links(classes: DataFrame, floor: float, block: int = VERIFY_BLOCK) -> DataFrame:
+    """(u, v): links among fingerprints of classes (cid, fp, sig) that share a band and agree in `floor` of the signature.
+
+    Buckets beyond `block` classes meet in pairs of blocks. Only classes that share a band carry their signature.
+    """
+    rows = common.stored(classes.select("cid", "sig").mapInArrow(_band_keys, "key bigint, cid bigint"), "near-bands")
+    sizes = common.stored(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").withColumn("rows", F.col("size")), "near-band-sizes")
+    shared = common.join_frequent(rows, sizes, ["key"], "rows", rows.count()).select("key", "cid", "size")
+    split = (
+        shared.join(classes.select("cid", "fp", "sig"), "cid")
+        .withColumn("s", F.ceil(F.col("size") / block).cast("int"))
+        .withColumn("c", F.pmod(F.xxhash64("cid"), F.col("s")).cast("int"))
+        .withColumn("d", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+        .select(F.concat_ws(":", "key", F.least("c", "d"), F.greatest("c", "d")).alias("block"), F.when(F.col("c") > F.col("d"), 1).otherwise(0).alias("side"), "fp", "sig")
+    )
+    return split.repartition("block").sortWithinPartitions("block").mapInArrow(_band_forest(floor), "u bigint, v bigint")
+
+
 def _shingle_sets(n: int):
-    """Arrow batches (comp, size, cid, fp, text) -> with the distinct hashes of the text's n-word shingles instead."""
+    """Arrow batches (comp, size, cid, fp, sig, text) -> with the distinct hashes of the text's n-word shingles instead."""
 
     def run(batches):
         for batch in batches:
-            lower = pc.ascii_lower(pc.fill_null(batch.column(4), ""))
+            lower = pc.ascii_lower(pc.fill_null(batch.column(5), ""))
             found: list[np.ndarray] = []
             for _, _, hashes, counts in minhash.shingle_hashes(lower, n):
                 stops = np.cumsum(counts)
                 found += [np.unique(hashes[stop - c : stop]).view(np.int64) for stop, c in zip(stops, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.list_(pa.int64()))], ["comp", "size", "cid", "fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, pa.list_(pa.int64()))], ["comp", "size", "cid", "fp", "sig", "shingles"])
 
     return run
 
@@ -352,14 +424,17 @@ def _similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
 
 
 def _verify(radius: int, threshold: float):
-    """Rows (block, side, cid, fp, shingles) sorted by block: forests of the pairs that are similar.
+    """Rows (block, side, cid, fp, sig, shingles) sorted by block: forests of the pairs that are similar.
 
-    Sides 0 and 1 meet, or 0 with itself. Pairs that earlier ones have joined aren't looked at again.
+    Sides 0 and 1 meet, or 0 with itself. Looked at are pairs in the radius or with signatures that agree enough;
+    pairs that earlier ones have joined aren't looked at again.
     """
+    floor = threshold - AGREE_SLACK
 
     def flush(rows):
         side = np.array([r[0] for r in rows])
-        cid, fp, sets = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.int64).view(np.uint64), [np.sort(np.array(r[3], np.int64)) for r in rows]
+        cid, fp, sets = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.int64).view(np.uint64), [np.sort(np.array(r[4], np.int64)) for r in rows]
+        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(len(rows), minhash.K)
         left = np.flatnonzero(side == 0)
         other = np.flatnonzero(side == 1)
         parent = list(range(len(rows)))
@@ -373,7 +448,7 @@ def _verify(radius: int, threshold: float):
         out = []
         for i in left:
             cand = other if len(other) else left[left > i]
-            near = cand[np.bitwise_count(fp[cand] ^ fp[i]) <= radius]
+            near = cand[(np.bitwise_count(fp[cand] ^ fp[i]) <= radius) | ((sig[cand] == sig[i]).mean(1) >= floor)]
             for j in near[np.argsort(np.bitwise_count(fp[near] ^ fp[i]), kind="stable")]:
                 a, b = find(i), find(j)
                 if a != b and _similar(sets[i], sets[j], threshold):
@@ -386,7 +461,7 @@ def _verify(radius: int, threshold: float):
     def run(batches):
         block, rows = None, []
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(5)]
+            cols = [batch.column(k).to_pylist() for k in range(6)]
             for now, *row in zip(*cols, strict=True):
                 if now != block:
                     yield from flush(rows) if len(rows) > 1 else ()
@@ -400,33 +475,37 @@ def _verify(radius: int, threshold: float):
 def near_groups(docs: DataFrame, threshold: float = NEAR, n: int = NEAR_WORDS, radius: int = NEAR_RADIUS, simhash_words: int = NEAR_SIMHASH_WORDS, block: int = VERIFY_BLOCK) -> DataFrame:
     """(doc_id, text_hash, group_id, rep_hash): groups of texts with similar shingle sets.
 
-    Candidates are SimHash components at `radius` over simhash_words-word shingles. Within them, pairs in the
-    radius are linked if the sets of their n-word shingles (A-Z in lower case) have a Jaccard similarity of
-    `threshold` or more, and a group is a component of such links. Equal texts are one class and one row of the
-    search. group_id is the smallest id of the group, rep_hash the hash of its text. Null and blank texts are
+    Candidates are components of SimHash links at `radius` over simhash_words-word shingles and of links by MinHash
+    bands over the sets of n-word shingles (A-Z in lower case). Within them, pairs in the radius or with agreeing
+    signatures are linked if these sets have a Jaccard similarity of `threshold` or more, and a group is a component
+    of such links. SimHash alone misses appended, cut and repeated text; the bands find any pair at 0.8 with
+    probability 0.9999. Equal texts are one class and one row of the search. group_id is the smallest id of the group, rep_hash the hash of its text. Null and blank texts are
     equal. Large candidate components are compared in pairs of blocks.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     text = F.coalesce("text", F.lit(""))
-    base = common.stored(docs.select("doc_id", simhash_udf(simhash_words)(text).alias("fp"), F.xxhash64(text).alias("text_hash")), "near")
-    classes = common.stored(base.groupBy("fp", "text_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")).withColumn("cid", F.monotonically_increasing_id()), "near-classes")
-    edges = common.stored(links(classes.select("fp").distinct(), radius, "fp"), "near-links")
-    comps = classes.join(connected(edges).withColumnRenamed("node", "fp"), "fp", "left").select("cid", "fp", "text_hash", "first_id", F.coalesce("root", "fp").alias("comp"))
+    base = common.stored(docs.select("doc_id", simhash_udf(simhash_words)(text).alias("fp"), F.xxhash64(text).alias("text_hash"), signature_udf(n)(text).alias("sig")), "near")
+    counted = base.groupBy("fp", "text_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("sig").alias("sig"))
+    signed = common.stored(counted.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
+    classes = signed.drop("sig")
+    edges = links(classes.select("fp").distinct(), radius, "fp").unionByName(band_links(signed, threshold - AGREE_SLACK, block))
+    edges = common.stored(edges, "near-links")
+    comps = signed.join(connected(edges).withColumnRenamed("node", "fp"), "fp", "left").select("cid", "fp", "sig", "text_hash", "first_id", F.coalesce("root", "fp").alias("comp"))
     comps = common.stored(comps, "near-components")
     sizes = comps.groupBy("comp").agg(F.count("*").alias("size")).filter("size > 1").withColumn("rows", F.col("size"))
     cand = common.stored(common.join_frequent(comps, sizes, ["comp"], "rows", comps.count()), "near-candidates")
-    wanted = cand.select(F.col("first_id").alias("_id"), F.col("text_hash").alias("_hash"), "comp", "size", "cid", "fp")
+    wanted = cand.select(F.col("first_id").alias("_id"), F.col("text_hash").alias("_hash"), "comp", "size", "cid", "fp", "sig")
     if cand.count() <= BROADCAST_CLASSES:
         wanted = F.broadcast(wanted)
     whole = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_own_hash"))
-    found = whole.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))).select("comp", "size", "cid", "fp", "text")
-    sets = common.stored(found.mapInArrow(_shingle_sets(n), "comp bigint, size bigint, cid bigint, fp bigint, shingles array<bigint>").dropDuplicates(["cid"]), "near-sets")
+    found = whole.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))).select("comp", "size", "cid", "fp", "sig", "text")
+    sets = common.stored(found.mapInArrow(_shingle_sets(n), "comp bigint, size bigint, cid bigint, fp bigint, sig binary, shingles array<bigint>").dropDuplicates(["cid"]), "near-sets")
     split = (
         sets.withColumn("s", F.ceil(F.col("size") / block).cast("int"))
         .withColumn("c", F.pmod(F.xxhash64("cid"), F.col("s")).cast("int"))
         .withColumn("d", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-        .select(F.concat_ws(":", "comp", F.least("c", "d"), F.greatest("c", "d")).alias("block"), F.when(F.col("c") > F.col("d"), 1).otherwise(0).alias("side"), "cid", "fp", "shingles")
+        .select(F.concat_ws(":", "comp", F.least("c", "d"), F.greatest("c", "d")).alias("block"), F.when(F.col("c") > F.col("d"), 1).otherwise(0).alias("side"), "cid", "fp", "sig", "shingles")
     )
     same = common.stored(split.repartition("block").sortWithinPartitions("block", "cid").mapInArrow(_verify(radius, threshold), "u bigint, v bigint"), "near-verified")
     roots = connected(same)

@@ -183,15 +183,20 @@ def _sets(n: int):
     return run
 
 
+def band_keys(raw: list[bytes]):
+    """64-bit keys of signatures, band by band."""
+    sig = np.frombuffer(b"".join(raw), np.uint16).reshape(len(raw), K)
+    for band in range(BANDS):
+        part = sig[:, band * ROWS : (band + 1) * ROWS].astype(np.uint64)
+        key = np.full(len(sig), band + 1, np.uint64)
+        for k in range(ROWS):
+            key = vectext.mix(key * np.uint64(0xF1357AEA2E62A9C5) + part[:, k])
+        yield key
+
+
 def _band_keys(batches):
     for batch in batches:
-        raw = batch.column(1).to_pylist()
-        sig = np.frombuffer(b"".join(raw), np.uint16).reshape(len(raw), -1)
-        for band in range(BANDS):
-            part = sig[:, band * ROWS : (band + 1) * ROWS].astype(np.uint64)
-            key = np.full(len(sig), band + 1, np.uint64)
-            for k in range(ROWS):
-                key = vectext.mix(key * np.uint64(0xF1357AEA2E62A9C5) + part[:, k])
+        for key in band_keys(batch.column(1).to_pylist()):
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), batch.column(1)], ["key", "id", "sig"])
 
 

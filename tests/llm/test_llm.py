@@ -142,6 +142,24 @@ def test_near_groups_against_all_pairs(spark):
     assert sorted(r.doc_id for r in hamming.keep_one(df).collect()) == sorted(set(got.values()))
 
 
+def test_near_groups_of_appended_cut_and_repeated_text(spark):
+    rng = np.random.default_rng(8)
+    texts_, kinds = [], []
+    for k in range(120):
+        base = [f"x{w}" for w in rng.integers(0, 5000, int(rng.integers(60, 200)))]
+        more = [f"y{w}" for w in rng.integers(0, 5000, len(base) // 5)]
+        copy = {"append": base + more, "cut": base[: len(base) - len(base) // 6], "repeat": base + base[:12] * 15}[kind := ("append", "cut", "repeat")[k % 3]]
+        texts_ += [" ".join(base), " ".join(copy)]
+        kinds.append(kind)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts_]
+    alike = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    got = {r.doc_id: r.group_id for r in hamming.near_groups(spark.createDataFrame(list(enumerate(texts_)), "doc_id bigint, text string")).collect()}
+    for kind in ("append", "cut", "repeat"):
+        mine = [k for k in range(120) if kinds[k] == kind and alike[k]]
+        assert len(mine) > 5 and all(got[2 * k + 1] == 2 * k for k in mine)
+    assert all(got[2 * k + 1] == 2 * k + 1 for k in range(120) if not alike[k])
+
+
 def test_connected_chains(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (102, 100)], "u bigint, v bigint")
     got = {r.node: r.root for r in components.connected(chain).collect()}
