@@ -50,7 +50,7 @@ def decode(adj: Adjacency, shot: np.ndarray, node: np.ndarray, shots: int, block
     """
     n_nodes, n_edges = len(adj.public), len(adj.u)
     parent = np.arange(shots * n_nodes, dtype=np.int64)
-    support = np.zeros(shots * n_edges, np.int8)
+    support = np.zeros(shots * n_edges + 1, np.int8)  # the last one stands for a place without an edge
     if blocked is not None and len(blocked[0]):
         e = adj.at[blocked[1]]
         support[(blocked[0][:, None] * n_edges + e)[e >= 0]] = -100
@@ -100,7 +100,7 @@ def decode(adj: Adjacency, shot: np.ndarray, node: np.ndarray, shots: int, block
         open_nodes, roots = open_nodes[keep], roots[keep]
         s, k = np.divmod(open_nodes, n_nodes)
         e = adj.at[k]
-        left = support[np.where(e >= 0, s[:, None] * n_edges + e, 0)]
+        left = support[np.where(e >= 0, s[:, None] * n_edges + e, -1)]
         keep = ((e >= 0) & (left >= 0) & (left < 2)).any(1)
         open_nodes = open_nodes[keep]
         growing = open_nodes[active[roots[keep]]]
@@ -113,7 +113,7 @@ def _peel(adj: Adjacency, full: np.ndarray, support: np.ndarray, parent: np.ndar
     n_nodes, n_edges = len(adj.public), len(adj.u)
     on = np.sort(full)
     roots = _find(parent, cluster)
-    s, e = np.divmod(on, n_edges)
+    s, e = np.divmod(on, max(n_edges, 1))
     outer = adj.v[e] < 0
     at = s[outer] * n_nodes + adj.u[e[outer]]
     own = _find(parent, at) if len(at) else at
@@ -130,7 +130,7 @@ def _peel(adj: Adjacency, full: np.ndarray, support: np.ndarray, parent: np.ndar
         front = levels[-1]
         s, k = np.divmod(front, n_nodes)
         e = adj.at[k]
-        key = np.where(e >= 0, s[:, None] * n_edges + e, 0)
+        key = np.where(e >= 0, s[:, None] * n_edges + e, -1)
         r, c = np.nonzero((e >= 0) & (support[key] == 2))
         e, key = e[r, c], key[r, c]
         inner = adj.v[e] >= 0
@@ -159,6 +159,6 @@ def _peel(adj: Adjacency, full: np.ndarray, support: np.ndarray, parent: np.ndar
     odd[exit_node[through]] = False
     left = inner_root[odd[inner_root]]
     picked = np.sort(np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
-    shot, edge = np.divmod(picked, n_edges)
+    shot, edge = np.divmod(picked, max(n_edges, 1))
     left_shot, left_node = np.divmod(left, n_nodes)
     return shot, edge, left_shot, left_node
