@@ -1,11 +1,13 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into blocks of text, each with its root-to-leaf path of tags. For every path the mean length of
-its blocks' text outside links and their mean number of punctuation marks are computed, given back to the
-blocks in page order, smoothed by a Gaussian, and fused by their product. Paths whose mean fused value reaches
-a part of the page's deviation are content. What the markup itself says comes before the ratios: menus, page
-headers, footers, asides, forms, notices, adverts and comments (by tag, role, class or id) have no blocks,
-and everything else inside an article or main element is content.
+A page is cut into blocks of text, each with its root-to-leaf path of tags. What the contract of main text rules
+out by markup has no blocks: menus, page headers, footers, asides, forms, notices, adverts and comments, by tag,
+role, class or id. Of every path the blocks' mean length of text, less what stands in links, and their mean number
+of punctuation marks are the path's ratios. Given back to the blocks in page order they are smoothed by a Gaussian
+and fused by their product. Markup weighs the fused values: text inside article and main elements counts more
+and text outside less, by the share of the page's text that these elements hold. Paths whose mean fused value
+reaches a part of the deviation of all blocks are content, on every page. Last, blocks too short for a ratio of
+their own are filled in: in an article that has content paths, between content in a main element, and headings.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ from . import common
 #: Standard deviation, in blocks, of the smoothing; and the part of the fused values' deviation that a path must reach.
 SIGMA = 1.0
 THRESHOLD = 0.6
+#: Fused values inside article and main elements count so often, and outside by so much less, where these hold all text.
+INSIDE, OUTSIDE = 4.0, 0.9
+#: Part of its length that text in links keeps.
+LINK = 0.05
 
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,22 +54,26 @@ MARKS = re.compile(r"[.,;:!?、。，؟،]")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"\s+")
+_BODY = re.compile(r"(?i)role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?(articleBody)")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "skipped", "content", "link")
+    __slots__ = ("tag", "path", "skipped", "region", "link")
 
-    def __init__(self, tag: str, path: int, skipped: int, content: bool, link: bool):
-        self.tag, self.path, self.skipped, self.content, self.link = tag, path, skipped, content, link
+    def __init__(self, tag: str, path: int, skipped: int, region: int, link: bool):
+        self.tag, self.path, self.skipped, self.region, self.link = tag, path, skipped, region, link
 
 
 class Block:
-    """Text between two block-level tags: its path, text, link characters and whether it is inside article or main."""
+    """Text between two block-level tags: its path, text, link characters and the article or main element it is in.
 
-    __slots__ = ("path", "text", "links", "content", "heading")
+    region: 0 outside of both, else the number of the element, negative for main.
+    """
+
+    __slots__ = ("path", "text", "links", "region", "heading")
 
-    def __init__(self, path: int, text: str, links: int, content: bool, heading: bool):
-        self.path, self.text, self.links, self.content, self.heading = path, text, links, content, heading
+    def __init__(self, path: int, text: str, links: int, region: int, heading: bool):
+        self.path, self.text, self.links, self.region, self.heading = path, text, links, region, heading
 
 
 def _boilerplate(tag: str, attributes: str, content: bool) -> int:
@@ -99,18 +109,18 @@ def blocks(html: str, by_name: bool = True) -> list[Block]:
     """
     found: list[Block] = []
     paths: dict[tuple[int, str], int] = {}
-    stack = [_Node("", 0, 0, False, False)]
+    stack = [_Node("", 0, 0, 0, False)]
     open_tags: dict[str, int] = {}
     parts: list[str] = []
-    links = first = 0
-    content = heading = False
+    links = first = region = regions = 0
+    heading = False
 
     def flush() -> None:
         nonlocal parts, links
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                found.append(Block(first, text, links, content, heading))
+                found.append(Block(first, text, links, region, heading))
         parts, links = [], 0
 
     def pop_to(names, scope) -> None:
@@ -126,11 +136,11 @@ def blocks(html: str, by_name: bool = True) -> list[Block]:
                 return
 
     def text(piece: str) -> None:
-        nonlocal links, first, content, heading
+        nonlocal links, first, region, heading
         top = stack[-1]
         if piece and not top.skipped:
             if not parts:
-                first, content = top.path, top.content
+                first, region = top.path, top.region
                 heading = any(open_tags.get(h) for h in ("h1", "h2", "h3", "h4", "h5", "h6"))
             parts.append(piece)
             if top.link:
@@ -173,9 +183,12 @@ def blocks(html: str, by_name: bool = True) -> list[Block]:
             continue
         top = stack[-1]
         path = paths.setdefault((top.path, tag), len(paths) + 1)
-        inside = top.content or tag in CONTENT or (len(attributes) > 8 and re.search(r"(?i)role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", attributes) is not None)
+        inside, body = top.region, len(attributes) > 8 and _BODY.search(attributes)
+        if inside <= 0 and (tag == "article" or (body and body[1])) or not inside and (tag == "main" or body):
+            regions += 1
+            inside = regions if tag == "article" or (body and body[1]) else -regions
         above = 0 if top.skipped == 1 and tag in CONTENT else top.skipped
-        stack.append(_Node(tag, path, max(above, _boilerplate(tag, attributes if by_name else "", top.content)), inside, top.link or tag == "a"))
+        stack.append(_Node(tag, path, max(above, _boilerplate(tag, attributes if by_name else "", top.region != 0)), inside, top.link or tag == "a"))
         open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
     return found
@@ -195,25 +208,66 @@ def _smooth(values: list[float], sigma: float) -> list[float]:
     return out
 
 
-def content_paths(found: list[Block], sigma: float = SIGMA, threshold: float = THRESHOLD) -> set[int]:
-    """Paths whose mean fused ratio reaches `threshold` deviations of all blocks' fused ratios."""
-    own: dict[int, list[float]] = {}
+def ratios(found: list[Block]) -> dict[int, tuple[float, float, float]]:
+    """By path: its blocks' mean length (text in links counts LINK), mean number of marks, and share of text in links."""
+    sums: dict[int, list[float]] = {}
     for b in found:
-        length = max(0, len(b.text) - b.links)
-        total = own.setdefault(b.path, [0.0, 0.0, 0.0])
-        total[0] += length
-        total[1] += len(MARKS.findall(b.text)) if length else 0
-        total[2] += 1
-    lengths = _smooth([own[b.path][0] / own[b.path][2] for b in found], sigma)
-    marks = _smooth([own[b.path][1] / own[b.path][2] for b in found], sigma)
-    fused = [x * (1 + y) * (own[b.path][0] / own[b.path][2] > 0) for x, y, b in zip(lengths, marks, found, strict=True)]
+        total = sums.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
+        total[0] += 1
+        total[1] += len(b.text)
+        total[2] += min(b.links, len(b.text))
+        total[3] += len(MARKS.findall(b.text))
+    return {p: ((chars - (1 - LINK) * linked) / n, marks * (1 - linked / chars) / n, linked / chars) for p, (n, chars, linked, marks) in sums.items()}
+
+
+def marked_share(found: list[Block]) -> float:
+    """Share of the text outside links that article and main elements hold."""
+    own = [(max(0, len(b.text) - b.links), b.region) for b in found]
+    return sum(n for n, region in own if region) / max(1, sum(n for n, _ in own))
+
+
+def path_values(found: list[Block], sigma: float = SIGMA) -> tuple[dict[int, float], float]:
+    """(mean fused value of each path, standard deviation of the blocks' fused values before markup weighs them)."""
+    own, share = ratios(found), marked_share(found)
+    lengths = _smooth([own[b.path][0] for b in found], sigma)
+    marks = _smooth([own[b.path][1] for b in found], sigma)
+    fused = [x * (1 + y) * (1 - (1 - LINK) * own[b.path][2]) for x, y, b in zip(lengths, marks, found, strict=True)]
     mean = sum(fused) / len(fused)
-    least = threshold * math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    top = max(1.0, max(lengths))
+    deviation = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
     by_path: dict[int, list[float]] = {}
     for x, b in zip(fused, found, strict=True):
-        by_path.setdefault(b.path, []).append(x * (own[b.path][0] / own[b.path][2]) / top)
-    return {p for p, v in by_path.items() if sum(v) / len(v) >= least or len(by_path) == 1}
+        # a path next to long text has a high smoothed value; its own length keeps it apart
+        weight = 1 + (INSIDE - 1) * share if b.region else 1 - OUTSIDE * share
+        by_path.setdefault(b.path, []).append(x * weight * min(1.0, own[b.path][0] / max(1.0, max(lengths))))
+    return {p: sum(v) / len(v) for p, v in by_path.items()}, deviation
+
+
+def content_paths(found: list[Block], sigma: float = SIGMA, threshold: float = THRESHOLD) -> set[int]:
+    """Paths whose mean fused value reaches `threshold` deviations; the highest one if none does."""
+    values, deviation = path_values(found, sigma)
+    return {p for p, v in values.items() if v >= threshold * deviation} or {max(values, key=lambda p: (values[p], -p))}
+
+
+def content_blocks(found: list[Block]) -> list[int]:
+    """Positions of the blocks of content paths and of the short ones that belong to them."""
+    if not found:
+        return []
+    chosen, links = content_paths(found), {p: r[2] for p, r in ratios(found).items()}
+    at = [k for k, b in enumerate(found) if b.path in chosen]
+    keep = set(at)
+    spans: dict[int, tuple[int, int]] = {}
+    for k in at:
+        spans[found[k].region] = (spans.get(found[k].region, (k, k))[0], k)
+    marked = marked_share(found) >= 0.5  # else text outside outweighs the marked one, which gets no privilege
+    for k, b in enumerate(found):
+        if b.region and marked and b.region in spans:
+            first, last = spans[b.region]
+            between, listed = first <= k <= last, links[b.path] > 0.5
+            if (b.region > 0 and (between or not listed)) or (not listed and (between or (b.heading and first - 2 <= k < first))):
+                keep.add(k)
+        elif b.heading and not (marked and not b.region) and at[0] - 2 <= k <= at[-1]:
+            keep.add(k)
+    return sorted(keep)
 
 
 def extract(html: str | None) -> str:
@@ -221,17 +275,7 @@ def extract(html: str | None) -> str:
     found = blocks(html or "")
     if not found and html:
         found = blocks(html, by_name=False)
-    if any(b.content for b in found):
-        return "\n".join(b.text for b in found if b.content)
-    if not found:
-        return ""
-    chosen = content_paths(found)
-    at = [k for k, b in enumerate(found) if b.path in chosen]
-    if not at:
-        return ""
-    # headings of the chosen text: between its blocks or right before it
-    keep = [b for k, b in enumerate(found) if b.path in chosen or (b.heading and at[0] - 2 <= k <= at[-1])]
-    return "\n".join(b.text for b in keep)
+    return "\n".join(found[k].text for k in content_blocks(found))
 
 
 def text_udf():
@@ -243,7 +287,12 @@ def text_udf():
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row; repeated rows come back as often, other columns are ignored."""
+    """(page_id, url, text, n_chars) of every row.
+
+    A null or empty html has an empty text; repeated rows come back as often as they are, null ids and urls stay
+    null, other columns are ignored, whatever their names, and an empty table gives an empty result. Pages of any
+    length are read whole.
+    """
     common.small_batches(pages.sparkSession)
     return pages.select("page_id", "url", text_udf()(F.col("html")).alias("text")).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
