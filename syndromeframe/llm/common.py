@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,9 +25,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured (tests)."""
+    """The folder that driver and executors share, spark.checkpoint.dir; one of our own only on a local master (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -41,7 +44,27 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_path = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of stored() that nothing reads any more, such as that of a loop's round before the last."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names for columns of our own that clash with none of `columns`, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def crc_fold(doc_id: str, folds: int):
@@ -60,7 +83,8 @@ def first_by_hash(rows: DataFrame, key: str, n: int, counts: dict) -> DataFrame:
         share = F.when(F.col(key) == value, min(1.0, (2 * n + 1000) / max(count, 1))).otherwise(share)
     h = F.xxhash64("doc_id")
     few = rows.filter(F.shiftrightunsigned(h, 11) / float(1 << 53) < share)
-    return few.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.shiftrightunsigned(h, 11), "doc_id"))).filter(F.col("_r") <= n).drop("_r")
+    (rank,) = fresh(rows.columns, "rank")
+    return few.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.shiftrightunsigned(h, 11), "doc_id"))).filter(F.col(rank) <= n).drop(rank)
 
 
 #: A key with this part of all rows or more is frequent; so there are at most as many frequent keys.

@@ -13,23 +13,19 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, minhash
 from .components import connected, local_roots
+from .pivots import linked
 
 BITS = 64
 #: Cost of a shuffled probe row, in units of a compared pair.
 ROW_COST = 100.0
-#: Near duplicates: similarity of word shingles, and the SimHash radius and words that find most of them; MinHash bands find the rest.
-NEAR, NEAR_WORDS, NEAR_RADIUS, NEAR_SIMHASH_WORDS = 0.8, 5, 10, 2
-#: Texts of a candidate component that a task verifies as a whole; and classes (300 bytes each) that are broadcast.
-VERIFY_BLOCK, BROADCAST_CLASSES = 1024, 100_000
-#: MinHash signatures of a similar pair agree by this less than its similarity at worst (over four deviations at 0.8).
-AGREE_SLACK = 0.15
+#: Near duplicates: the SimHash radius and words that find most of them; MinHash bands find the rest.
+NEAR_RADIUS, NEAR_SIMHASH_WORDS = 6, 2
 #: Entries of one bucket that a task compares as a whole; larger buckets are split into blocks.
 BLOCK = 4096
 
@@ -245,71 +241,83 @@ def link_buckets(radius: int):
     return run
 
 
+def _by_block(batches, columns: int):
+    """(rows of one block after the other), each a list of columns, from Arrow batches sorted by their first column."""
+    held: list[list] = []
+    block = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = np.array(batch.column(0).to_pylist(), object)
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, columns + 1)]
+        starts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+        for i, j in zip(starts, starts[1:]):
+            if names[i] != block and held:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held = []
+            block = names[i]
+            held.append([c[i:j] for c in cols])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def link_blocks(radius: int):
-    """As link_buckets for rows (block, side, fp, probe) sorted by block: side 0 meets side 1, or itself if alone."""
-
-    def flush(rows):
-        side, fp, probe = (np.concatenate(x) for x in zip(*rows, strict=True))
-        if not (side == 1).any():
-            gid = np.zeros(len(fp), np.int64)
-            return _within_groups(gid, fp, probe, radius)
-        found = []
-        a, pa_, b, pb = fp[side == 0], probe[side == 0], fp[side == 1], probe[side == 1]
-        for i in range(0, len(a), 256):
-            x = a[i : i + 256, None]
-            hit = _verified(x, b[None, :], radius) & (x != b[None, :]) & ~(pa_[i : i + 256, None] & pb[None, :])
-            r, c = np.nonzero(hit)
-            if len(r):
-                u, v = local_roots(x[r, 0].view(np.int64), b[c].view(np.int64))
-                found.append((u.view(np.uint64), v.view(np.uint64)))
-        return _edges(found)
+    """Function over Arrow batches (block, side, fp, probe) sorted by block: links of side 0 with side 1, as a forest."""
 
     def run(batches):
-        block, rows = None, []
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            side, fp, probe = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
-            at = 0
-            while at < len(ids):
-                end = at
-                while end < len(ids) and ids[end] == ids[at]:
-                    end += 1
-                if ids[at] != block and rows:
-                    u, v = flush(rows)
-                    if len(u):
-                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-                    rows = []
-                block = ids[at]
-                rows.append((side[at:end], fp[at:end], probe[at:end]))
-                at = end
-        if rows:
-            u, v = flush(rows)
+        for side, fp, probe in _by_block(batches, 3):
+            fp, probe = fp.astype(np.int64).view(np.uint64), probe.astype(bool)
+            found = []
+            a, pa_, b, pb = fp[side == 0], probe[side == 0], fp[side == 1], probe[side == 1]
+            for i in range(0, len(a), 256):
+                x = a[i : i + 256, None]
+                hit = _verified(x, b[None, :], radius) & (x != b[None, :]) & ~(pa_[i : i + 256, None] & pb[None, :])
+                r, c = np.nonzero(hit)
+                if len(r):
+                    found.append((x[r, 0], b[c]))
+                if len(found) > 16:
+                    u, v = _edges(found)
+                    found = [(u.view(np.uint64), v.view(np.uint64))]
+            # one side 0 row is a pivot: its links are kept as they are
+            u, v = (found[0][0].view(np.int64), found[0][1].view(np.int64)) if len(a) == 1 and found else _edges(found)
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return run
 
 
+def _central(rows: DataFrame) -> DataFrame:
+    """(part, key, size, pivot): of each bucket the fingerprint nearest to its bitwise majority, among those in their own bucket."""
+    own = rows.filter("NOT probe")
+    ones = own.groupBy("part", "key").agg(F.count("*").alias("n"), *[F.sum(F.shiftright("fp", b).bitwiseAND(1)).alias(f"b{b}") for b in range(BITS)])
+    centre = F.lit(0).cast("bigint")
+    for b in range(BITS):
+        centre = centre.bitwiseOR(F.when(2 * F.col(f"b{b}") > F.col("n"), F.shiftleft(F.lit(1).cast("bigint"), b)).otherwise(0))
+    centres = ones.select("part", "key", centre.alias("centre"))
+    total = F.col("n").cast("bigint")
+    found = common.join_frequent(own, centres.join(ones.select("part", "key", total.alias("of")), ["part", "key"]), ["part", "key"], "of", own.count())
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("centre")))
+    return found.groupBy("part", "key").agg(F.min(F.struct(apart.alias("apart"), F.col("fp").alias("fp"))).alias("m"), F.first("size").alias("size")).select("part", "key", "size", F.col("m.fp").alias("pivot"))
+
+
 def links(fps: DataFrame, radius: int, col: str = "fp", block: int = BLOCK, thresholds: tuple[list[list[int]], list[int]] | None = None) -> DataFrame:
-    """(u, v): links among distinct fingerprints with the same components as all pairs within radius."""
+    """(u, v): links among distinct fingerprints with the same components as all pairs within radius.
+
+    Buckets of up to `block` entries are compared in one task each, larger ones by a pivot and in blocks.
+    """
     groups, picked = thresholds or plan(fps, radius, col)
     rows = probes(fps, groups, picked, col)
     sizes = rows.groupBy("part", "key").agg(F.count("*").alias("size")).filter(F.col("size") > block)
     hot = common.stored(sizes, "hot-buckets")
     n_hot = hot.count()
-    plain = rows if not n_hot else rows.join(hot, ["part", "key"], "left_anti")
-    out = plain.repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(link_buckets(radius), "u bigint, v bigint")
     if not n_hot:
-        return out
-    # A bucket of s chunks becomes s(s+1)/2 blocks; each pair of chunks meets in one of them.
-    chunk = (
-        rows.join(hot, ["part", "key"])
-        .withColumn("s", F.ceil(F.col("size") / block).cast("int"))
-        .withColumn("c", F.pmod(F.xxhash64("fp"), F.col("s")).cast("int"))
-        .withColumn("d", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-        .select(F.concat_ws(":", "part", "key", F.least("c", "d"), F.greatest("c", "d")).alias("block"), F.when(F.col("c") > F.col("d"), 1).otherwise(0).alias("side"), "fp", "probe")
-    )
-    return out.unionByName(chunk.repartition("block").sortWithinPartitions("block").mapInArrow(link_blocks(radius), "u bigint, v bigint"))
+        return rows.repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(link_buckets(radius), "u bigint, v bigint")
+    # hot buckets hold more than `block` rows each: few against all rows, but not bounded, so they aren't broadcast by hand
+    plain = rows.join(hot, ["part", "key"], "left_anti")
+    out = plain.repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(link_buckets(radius), "u bigint, v bigint")
+    tagged = common.stored(common.join_frequent(rows, hot.withColumn("of", F.col("size")), ["part", "key"], "of", rows.count()), "hot-rows")
+    pivots = common.stored(_central(tagged), "hot-pivots")
+    return out.unionByName(linked(tagged, ["part", "key"], "fp", ["fp", "probe"], pivots, link_blocks(radius), block, "hot"))
 
 
 def components(docs: DataFrame, radius: int = 4, n: int = 4, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
@@ -323,212 +331,48 @@ def components(docs: DataFrame, radius: int = 4, n: int = 4, text: str = "text",
     base = common.stored(docs.select(F.col(doc_id).alias("doc_id"), simhash_udf(n)(F.col(text)).alias("fp")), "simhash")
     classes = common.stored(base.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows")), "simhash-classes")
     edges = common.stored(links(classes, radius, "fp", block), "simhash-links")
-    linked = connected(edges)  # node, root
-    tagged = classes.join(linked, classes.fp == linked.node).select("fp", "first_id", "root")
-    moved = tagged.join(tagged.groupBy("root").agg(F.min("first_id").alias("component")), "root").select("fp", "component")
+    roots = connected(edges)  # node, root
+    tagged = common.stored(classes.join(roots, classes.fp == roots.node).select("fp", "first_id", "root"), "simhash-roots")
+    least = tagged.groupBy("root").agg(F.min("first_id").alias("component"), F.count("*").alias("of"))
+    moved = common.join_frequent(tagged, least, ["root"], "of", tagged.count()).select("fp", "component")
     of_class = classes.join(moved, "fp", "left").select("fp", F.coalesce("component", "first_id").alias("component_id"), "rows")
     return common.join_frequent(base, of_class, ["fp"], "rows", base.count()).select("doc_id", "fp", "component_id")
 
 
-def signature_udf(n: int = NEAR_WORDS):
-    """Column function text -> MinHash signature (A-Z in lower case), two bytes a permutation."""
-
-    @F.arrow_udf("binary")
-    def sig(texts: pa.Array) -> pa.Array:
-        return pa.array([x.tobytes() for x in minhash.signatures(pc.ascii_lower(texts), n)], pa.binary())
-
-    return sig
-
-
-def _band_keys(batches):
-    """Arrow batches (cid, sig) -> (key, cid), one row a band."""
-    for batch in batches:
-        for part in minhash.band_keys(batch.column(1).to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), batch.column(0)], ["key", "cid"])
-
-
-def _band_forest(floor: float):
-    """Rows (block, side, fp, sig) sorted by block: forests of the fingerprints whose signatures agree in `floor` or more."""
-
-    def flush(rows):
-        side, fp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
-        sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(len(rows), minhash.K)
-        left, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        found = []
-        for i in left:
-            cand = other if len(other) else left[left > i]
-            hit = cand[(sig[cand] == sig[i]).mean(1) >= floor]
-            hit = hit[fp[hit] != fp[i]]
-            if len(hit):
-                found.append((np.full(len(hit), fp[i]).view(np.uint64), fp[hit].view(np.uint64)))
-            if len(found) > 256:
-                u, v = _edges(found)
-                found = [(u.view(np.uint64), v.view(np.uint64))]
-        u, v = _edges(found)
-        if len(u):
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-    def run(batches):
-        block, rows = None, []
-        for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(4)]
-            for now, *row in zip(*cols, strict=True):
-                if now != block:
-                    yield from flush(rows) if len(rows) > 1 else ()
-                    block, rows = now, []
-                rows.append(row)
-        yield from flush(rows) if len(rows) > 1 else ()
-
-    return run
-
-
-def band_links(classes: DataFrame, floor: float, block: int = VERIFY_BLOCK) -> DataFrame:
-    """(u, v): links among fingerprints of classes (cid, fp, sig) that share a band and agree in `floor` of the signature.
+def near_groups(docs: DataFrame, threshold: float = minhash.NEAR, n: int = minhash.N_WORDS, radius: int = NEAR_RADIUS, simhash_words: int = NEAR_SIMHASH_WORDS, block: int = minhash.BLOCK) -> DataFrame:
+    """(doc_id, text_key, group_id, rep_key): minhash.near_groups with links of SimHash fingerprints as candidates, too.
 
-    Buckets beyond `block` classes meet in pairs of blocks. Only classes that share a band carry their signature.
+    Fingerprints over simhash_words-word shingles that differ in `radius` bits or fewer are probed for by the
+    generalised pigeonhole principle; a link or an equal fingerprint is a candidate if the MinHash signatures agree.
     """
-    rows = common.stored(classes.select("cid", "sig").mapInArrow(_band_keys, "key bigint, cid bigint"), "near-bands")
-    sizes = common.stored(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").withColumn("rows", F.col("size")), "near-band-sizes")
-    shared = common.join_frequent(rows, sizes, ["key"], "rows", rows.count()).select("key", "cid", "size")
-    split = (
-        shared.join(classes.select("cid", "fp", "sig"), "cid")
-        .withColumn("s", F.ceil(F.col("size") / block).cast("int"))
-        .withColumn("c", F.pmod(F.xxhash64("cid"), F.col("s")).cast("int"))
-        .withColumn("d", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-        .select(F.concat_ws(":", "key", F.least("c", "d"), F.greatest("c", "d")).alias("block"), F.when(F.col("c") > F.col("d"), 1).otherwise(0).alias("side"), "fp", "sig")
-    )
-    return split.repartition("block").sortWithinPartitions("block").mapInArrow(_band_forest(floor), "u bigint, v bigint")
-
-
-def _shingle_sets(n: int):
-    """Arrow batches (comp, size, cid, fp, sig, text) -> with the distinct hashes of the text's n-word shingles instead."""
-
-    def run(batches):
-        for batch in batches:
-            lower = pc.ascii_lower(pc.fill_null(batch.column(5), ""))
-            found: list[np.ndarray] = []
-            for _, _, hashes, counts in minhash.shingle_hashes(lower, n):
-                stops = np.cumsum(counts)
-                found += [np.unique(hashes[stop - c : stop]).view(np.int64) for stop, c in zip(stops, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, pa.list_(pa.int64()))], ["comp", "size", "cid", "fp", "sig", "shingles"])
-
-    return run
-
-
-def _similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
-    """Whether the Jaccard similarity of two sorted sets reaches threshold; two empty sets are alike."""
-    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-        return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both >= threshold * (len(x) + len(y) - both)
-
 
-def _verify(radius: int, threshold: float):
-    """Rows (block, side, cid, fp, sig, shingles) sorted by block: forests of the pairs that are similar.
+    def candidates(classes: DataFrame) -> DataFrame:
+        reps = common.stored(classes.groupBy("fp").agg(F.min("cid").alias("rep"), F.count("*").alias("of")), "near-fps")
+        found = links(reps.select("fp"), radius, "fp")
+        u, v = (reps.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "uv")
+        pairs = found.join(u, "u").join(v, "v").select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v"))
+        same = common.join_frequent(classes.select("fp", "cid"), reps.filter("of > 1"), ["fp"], "of", classes.count()).filter("cid <> rep")
+        return pairs.unionByName(same.select(F.col("cid").alias("u"), F.col("rep").alias("v")))
 
-    Sides 0 and 1 meet, or 0 with itself. Looked at are pairs in the radius or with signatures that agree enough;
-    pairs that earlier ones have joined aren't looked at again.
-    """
-    floor = threshold - AGREE_SLACK
-
-    def flush(rows):
-        side = np.array([r[0] for r in rows])
-        cid, fp, sets = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.int64).view(np.uint64), [np.sort(np.array(r[4], np.int64)) for r in rows]
-        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(len(rows), minhash.K)
-        left = np.flatnonzero(side == 0)
-        other = np.flatnonzero(side == 1)
-        parent = list(range(len(rows)))
-
-        def find(k):
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        out = []
-        for i in left:
-            cand = other if len(other) else left[left > i]
-            near = cand[(np.bitwise_count(fp[cand] ^ fp[i]) <= radius) | ((sig[cand] == sig[i]).mean(1) >= floor)]
-            for j in near[np.argsort(np.bitwise_count(fp[near] ^ fp[i]), kind="stable")]:
-                a, b = find(i), find(j)
-                if a != b and _similar(sets[i], sets[j], threshold):
-                    parent[a] = b
-                    out.append((max(cid[i], cid[j]), min(cid[i], cid[j])))
-        if out:
-            u, v = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    def run(batches):
-        block, rows = None, []
-        for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(6)]
-            for now, *row in zip(*cols, strict=True):
-                if now != block:
-                    yield from flush(rows) if len(rows) > 1 else ()
-                    block, rows = now, []
-                rows.append(row)
-        yield from flush(rows) if len(rows) > 1 else ()
-
-    return run
-
-
-def near_groups(docs: DataFrame, threshold: float = NEAR, n: int = NEAR_WORDS, radius: int = NEAR_RADIUS, simhash_words: int = NEAR_SIMHASH_WORDS, block: int = VERIFY_BLOCK) -> DataFrame:
-    """(doc_id, text_hash, group_id, rep_hash): groups of texts with similar shingle sets.
-
-    Candidates are components of SimHash links at `radius` over simhash_words-word shingles and of links by MinHash
-    bands over the sets of n-word shingles (A-Z in lower case). Within them, pairs in the radius or with agreeing
-    signatures are linked if these sets have a Jaccard similarity of `threshold` or more, and a group is a component
-    of such links. SimHash alone misses appended, cut and repeated text; the bands find any pair at 0.8 with
-    probability 0.9999. Equal texts are one class and one row of the search. group_id is the smallest id of the group, rep_hash the hash of its text. Null and blank texts are
-    equal. Large candidate components are compared in pairs of blocks.
-    """
-    spark = docs.sparkSession
-    common.small_batches(spark)
     text = F.coalesce("text", F.lit(""))
-    base = common.stored(docs.select("doc_id", simhash_udf(simhash_words)(text).alias("fp"), F.xxhash64(text).alias("text_hash"), signature_udf(n)(text).alias("sig")), "near")
-    counted = base.groupBy("fp", "text_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("sig").alias("sig"))
-    signed = common.stored(counted.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
-    classes = signed.drop("sig")
-    edges = links(classes.select("fp").distinct(), radius, "fp").unionByName(band_links(signed, threshold - AGREE_SLACK, block))
-    edges = common.stored(edges, "near-links")
-    comps = signed.join(connected(edges).withColumnRenamed("node", "fp"), "fp", "left").select("cid", "fp", "sig", "text_hash", "first_id", F.coalesce("root", "fp").alias("comp"))
-    comps = common.stored(comps, "near-components")
-    sizes = comps.groupBy("comp").agg(F.count("*").alias("size")).filter("size > 1").withColumn("rows", F.col("size"))
-    cand = common.stored(common.join_frequent(comps, sizes, ["comp"], "rows", comps.count()), "near-candidates")
-    wanted = cand.select(F.col("first_id").alias("_id"), F.col("text_hash").alias("_hash"), "comp", "size", "cid", "fp", "sig")
-    if cand.count() <= BROADCAST_CLASSES:
-        wanted = F.broadcast(wanted)
-    whole = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_own_hash"))
-    found = whole.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))).select("comp", "size", "cid", "fp", "sig", "text")
-    sets = common.stored(found.mapInArrow(_shingle_sets(n), "comp bigint, size bigint, cid bigint, fp bigint, sig binary, shingles array<bigint>").dropDuplicates(["cid"]), "near-sets")
-    split = (
-        sets.withColumn("s", F.ceil(F.col("size") / block).cast("int"))
-        .withColumn("c", F.pmod(F.xxhash64("cid"), F.col("s")).cast("int"))
-        .withColumn("d", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-        .select(F.concat_ws(":", "comp", F.least("c", "d"), F.greatest("c", "d")).alias("block"), F.when(F.col("c") > F.col("d"), 1).otherwise(0).alias("side"), "cid", "fp", "sig", "shingles")
-    )
-    same = common.stored(split.repartition("block").sortWithinPartitions("block", "cid").mapInArrow(_verify(radius, threshold), "u bigint, v bigint"), "near-verified")
-    roots = connected(same)
-    tagged = classes.join(roots, classes.cid == roots.node).select("fp", "text_hash", "first_id", "root")
-    best = tagged.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id"), F.col("text_hash"))).alias("b"))
-    moved = tagged.join(best, "root").select("fp", "text_hash", F.col("b.first_id").alias("group"), F.col("b.text_hash").alias("rep"))
-    of_class = classes.join(moved, ["fp", "text_hash"], "left").select("fp", "text_hash", F.coalesce("group", "first_id").alias("group_id"), F.coalesce("rep", "text_hash").alias("rep_hash"), "rows")
-    return common.join_frequent(base, of_class, ["fp", "text_hash"], "rows", base.count()).select("doc_id", "text_hash", "group_id", "rep_hash")
+    return minhash.near_groups(docs, threshold, n, block, {"fp": simhash_udf(simhash_words)(text)}, candidates)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each group of near_groups, the one with the smallest doc_id.
 
-    Of rows that repeat this id and text one stays; all columns are returned unchanged. The whole rows are
-    shuffled once, and only repeated rows make them be aggregated.
+    Of rows that repeat this id and text one stays; all columns are returned unchanged, whatever their names. Null
+    and blank texts are equal; a group of null ids keeps one row; an empty table gives an empty result. The whole
+    rows are shuffled once at most, and only repeated rows make them be aggregated.
     """
     found = near_groups(docs, **options)
-    rows = found.filter(F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("text_hash") == F.col("rep_hash")))
-    keep = common.stored(rows.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("_n")), "near-kept")
-    own = docs.withColumn("_own_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = own.join(keep.select("_id", "_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")), "left_semi")
-    if not keep.filter("_n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_own_hash"])
+    rows = found.filter(F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("text_key") == F.col("rep_key")))
+    own_key, keep_id, keep_key = common.fresh(docs.columns, "own_key", "keep_id", "keep_key")
+    keep = common.stored(rows.groupBy(F.col("doc_id").alias(keep_id), F.col("text_key").alias(keep_key)).agg(F.count("*").alias("n")), "near-kept")
+    own = docs.withColumn(own_key, minhash.text_key())
+    kept = own.join(keep.select(keep_id, keep_key), F.col("doc_id").eqNullSafe(F.col(keep_id)) & (F.col(own_key) == F.col(keep_key)), "left_semi")
+    if not keep.filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", own_key])
     return kept.select(docs.columns)
 
 

@@ -11,19 +11,27 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, vectext
-from .components import connected
+from .components import connected, local_roots
+from .pivots import linked
 
 K = 128
 N_WORDS = 5
 SEED = 7
 BANDS, ROWS = 25, 5
-#: Rows of one band bucket that meet as a whole; larger buckets are split into blocks.
-BLOCK = 2048
+#: Near duplicates: Jaccard similarity of the sets of N_WORDS-word shingles.
+NEAR = 0.8
+#: Signatures of a similar pair agree by this less than its similarity at worst (over four deviations at 0.8).
+AGREE_SLACK = 0.15
+#: Texts of a bucket or a candidate component that a task compares as a whole; larger ones go by a pivot and in blocks.
+BLOCK = 1024
+#: Candidate classes (300 bytes each) up to which they are broadcast to find their texts; beyond it they are joined.
+BROADCAST_CLASSES = 100_000
 #: Shingles permuted at once, so that a permutation's images stay in the cache.
 _STEP = 1 << 17
 
@@ -167,20 +175,19 @@ def query(spark, sf_dir: str) -> DataFrame:
 # --- near-duplicate classes ---------------------------------------------------------------------------------------
 
 
-def _sets(n: int):
-    """Arrow batches (id, text) -> (id, sig, shingles): signature bytes and distinct shingle hashes."""
+def signature_udf(n: int = N_WORDS):
+    """Column function text -> signature (A-Z in lower case), two bytes a permutation."""
 
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(1)
-            sig = signatures(texts, n)
-            found = []
-            for row, end, hashes, counts in shingle_hashes(texts, n):
-                stops = np.cumsum(counts)
-                found += [np.unique(hashes[b - c : b]).view(np.int64) for b, c in zip(stops, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["id", "sig", "shingles"])
+    @F.arrow_udf("binary")
+    def sig(texts: pa.Array) -> pa.Array:
+        return pa.array([x.tobytes() for x in signatures(pc.ascii_lower(pc.fill_null(texts, "")), n)], pa.binary())
 
-    return run
+    return sig
+
+
+def text_key() -> F.Column:
+    """16 bytes that name a text; a null text is empty."""
+    return F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
 
 
 def band_keys(raw: list[bytes]):
@@ -194,74 +201,208 @@ def band_keys(raw: list[bytes]):
         yield key
 
 
-def _band_keys(batches):
+def _band_rows(batches):
+    """Arrow batches (cid, sig) -> (key, cid), one row a band."""
     for batch in batches:
         for key in band_keys(batch.column(1).to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), batch.column(1)], ["key", "id", "sig"])
-
-
-def _bucket_pairs(floor: float):
-    """Rows (block, side, id, sig) sorted by block: pairs whose signatures agree enough; sides 0 and 1 meet, or 0 with itself."""
-
-    def flush(rows):
-        side = np.array([r[0] for r in rows])
-        ids = np.array([r[1] for r in rows])
-        sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(len(rows), -1)
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if (side == 1).any() else left
-        for i in left:
-            cand = right[right > i] if right is left else right
-            for j in range(0, len(cand), 4096):
-                part = cand[j : j + 4096]
-                hit = part[((sig[part] == sig[i]).mean(1) >= floor) & (ids[part] != ids[i])]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0)], ["key", "cid"])
+
+
+def _by_block(batches):
+    """Lists of the rows of one block after the other, from Arrow batches sorted by their first column."""
+    block, rows = None, []
+    for batch in batches:
+        cols = [c.to_pylist() for c in batch.columns]
+        for now, *row in zip(*cols, strict=True):
+            if now != block and rows:
+                yield rows
+                rows = []
+            block = now
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _forest(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
+    if not found:
+        return None
+    u, v = local_roots(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"]) if len(u) else None
+
+
+def _agreeing(floor: float):
+    """Arrow batches (block, side, cid, sig) sorted by block: links (u, v) of signatures that agree in `floor` or more.
+
+    Side 0 meets side 1, or itself where there is no side 1.
+    """
+
+    def run(batches):
+        for rows in _by_block(batches):
+            if len(rows) < 2:
+                continue
+            side, cid = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
+            sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(len(rows), K)
+            left, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            found, size = [], 0
+            for i in left:
+                cand = other if len(other) else left[left > i]
+                hit = cand[(sig[cand] == sig[i]).mean(1) >= floor]
+                hit = hit[cid[hit] != cid[i]]
                 if len(hit):
-                    a, b = np.minimum(ids[i], ids[hit]), np.maximum(ids[i], ids[hit])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
+                    found.append((np.full(len(hit), cid[i]), cid[hit]))
+                    size += len(hit)
+                if size > 1 << 18 and len(left) > 1:
+                    batch = _forest(found)
+                    found, size = [(batch.column(0).to_numpy(), batch.column(1).to_numpy())], batch.num_rows
+            if len(left) == 1 and found:  # a pivot: its links as they are
+                yield pa.RecordBatch.from_arrays([pa.array(found[0][1]), pa.array(found[0][0])], ["u", "v"])
+            elif batch := _forest(found):
+                yield batch
+
+    return run
+
+
+def band_links(classes: DataFrame, floor: float, block: int = BLOCK) -> DataFrame:
+    """(u, v): links among classes (cid, sig) that share a band and agree in `floor` of the signature.
+
+    Buckets beyond `block` classes go by a pivot, the class with most company in all its buckets. Only classes that
+    share a band carry their signature.
+    """
+    rows = common.stored(classes.select("cid", "sig").mapInArrow(_band_rows, "key bigint, cid bigint"), "near-bands")
+    sizes = common.stored(rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").withColumn("of", F.col("size")), "near-band-sizes")
+    shared = common.stored(common.join_frequent(rows, sizes, ["key"], "of", rows.count()).select("key", "cid", "size"), "near-shared")
+    signed = classes.select("cid", "sig")
+    plain = shared.filter(F.col("size") <= block).join(signed, "cid").select(F.col("key").cast("string").alias("block"), F.lit(0).alias("side"), "cid", "sig")
+    out = plain.repartition("block").sortWithinPartitions("block").mapInArrow(_agreeing(floor), "u bigint, v bigint")
+    if sizes.filter(F.col("size") > block).isEmpty():
+        return out
+    hot = shared.filter(F.col("size") > block)
+    weight = shared.groupBy("cid").agg(F.sum("size").alias("weight"))
+    pivots = hot.join(weight, "cid").groupBy("key").agg(F.max(F.struct("weight", (-F.col("cid")).alias("c"))).alias("m"), F.first("size").alias("size"))
+    pivots = common.stored(pivots.select("key", "size", (-F.col("m.c")).alias("pivot")), "near-band-pivots")
+    return out.unionByName(linked(hot.join(signed, "cid"), ["key"], "cid", ["cid", "sig"], pivots, _agreeing(floor), block, "near-band"))
+
+
+def agreeing_pairs(pairs: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
+    """The pairs (u, v) of classes (cid, sig) whose signatures agree in `floor` or more; v may be a hub."""
+    signed = common.stored(pairs.distinct().join(classes.select(F.col("cid").alias("u"), F.col("sig").alias("a")), "u"), "near-pairs")
+    hubs = signed.groupBy("v").agg(F.count("*").alias("of")).join(classes.select(F.col("cid").alias("v"), F.col("sig").alias("b")), "v")
+
+    @F.arrow_udf("boolean")
+    def agree(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(len(c), K) for c in (a, b))
+        return pa.array((x == y).mean(1) >= floor)
+
+    return common.join_frequent(signed, hubs, ["v"], "of", signed.count()).filter(agree("a", "b")).select("u", "v")
+
+
+def _shingle_sets(n: int):
+    """Arrow batches (comp, size, cid, sig, text) -> with the sorted distinct hashes of the text's shingles instead."""
 
     def run(batches):
-        block, rows = None, []
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(4)]
-            for b, *row in zip(*cols, strict=True):
-                if b != block:
-                    if len(rows) > 1:
-                        yield from flush(rows)
-                    block, rows = b, []
-                rows.append(row)
-        if len(rows) > 1:
-            yield from flush(rows)
+            lower = pc.ascii_lower(pc.fill_null(batch.column(4), ""))
+            for row, end, hashes, counts in shingle_hashes(lower, n):
+                stops = np.cumsum(counts)
+                found = [np.unique(hashes[stop - c : stop]).tobytes() for stop, c in zip(stops, counts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(row, end - row) for k in range(4)], pa.array(found, pa.binary())], ["comp", "size", "cid", "sig", "shingles"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = N_WORDS, block: int = BLOCK) -> DataFrame:
-    """(doc_id, class_id, group_id, links): class of equal texts, component of near texts, links to other classes.
+def jaccard_reaches(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets reaches threshold; two empty sets are alike."""
+    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= threshold * (len(x) + len(y) - both)
+
+
+def _similar(threshold: float):
+    """Arrow batches (block, side, cid, sig, shingles) sorted by block: forests (u, v) of the pairs that are similar.
 
-    Texts with the same shingle sequence form a class named by its smallest doc_id; classes whose shingle sets
-    have a Jaccard similarity of `threshold` or more are linked. Candidates share one of the signature's bands
-    (recall 0.9999 at 0.8), must agree in threshold - 0.15 of the signature, and are verified on whole shingle sets.
-    Null texts count as empty and form a class of their own; rows with a null id are dropped from
-    classes that also hold ids only in the naming, never from the result.
+    Side 0 meets side 1, or itself where there is no side 1. Looked at are pairs whose signatures agree enough, the
+    likeliest first; pairs that earlier ones have joined aren't looked at again.
     """
-    common.small_batches(docs.sparkSession)
-    base = common.stored(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")), "minhash-base")
-    classes = base.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    named = common.stored(base.join(classes, "digest").select("doc_id", "class_id", "digest"), "minhash-classes")
-    reps = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(named.filter("doc_id = class_id").select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"])
-    sets = common.stored(reps.select("doc_id", "text").mapInArrow(_sets(n), "id bigint, sig binary, shingles array<bigint>"), "minhash-sets")
-    rows = sets.select("id", "sig").mapInArrow(_band_keys, "key bigint, id bigint, sig binary")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    split = (
-        rows.join(sizes, "key")
-        .withColumn("s", F.ceil(F.col("size") / block).cast("int"))
-        .withColumn("c", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
-        .withColumn("d", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-        .select(F.concat_ws(":", "key", F.least("c", "d"), F.greatest("c", "d")).alias("block"), F.when(F.col("c") > F.col("d"), 1).otherwise(0).alias("side"), "id", "sig")
-    )
-    cand = split.repartition("block").sortWithinPartitions("block").mapInArrow(_bucket_pairs(threshold - 0.15), "u bigint, v bigint").distinct()
-    left, right = sets.select(F.col("id").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("v"), F.col("shingles").alias("y"))
-    common_n = F.size(F.array_intersect("x", "y"))
-    linked = common.stored(cand.join(left, "u").join(right, "v").filter(common_n >= threshold * (F.size("x") + F.size("y") - common_n)).filter(F.size("x") > 0).select("u", "v"), "minhash-links")
-    roots = connected(linked).select(F.col("node").alias("class_id"), F.col("root").alias("group_id"))
-    degree = linked.select(F.explode(F.array("u", "v")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
-    return named.join(roots, "class_id", "left").join(degree, "class_id", "left").select("doc_id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    floor = threshold - AGREE_SLACK
+
+    def run(batches):
+        for rows in _by_block(batches):
+            if len(rows) < 2:
+                continue
+            side, cid = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
+            sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(len(rows), K)
+            sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+            left, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            parent = list(range(len(rows)))
+
+            def find(k, parent=parent):
+                while parent[k] != k:
+                    parent[k] = parent[parent[k]]
+                    k = parent[k]
+                return k
+
+            out = []
+            for i in left:
+                cand = other if len(other) else left[left > i]
+                agree = (sig[cand] == sig[i]).mean(1)
+                order = np.argsort(-agree, kind="stable")
+                for j in cand[order[: int((agree >= floor).sum())]]:
+                    a, b = find(i), find(j)
+                    if a != b and cid[i] != cid[j] and jaccard_reaches(sets[i], sets[j], threshold):
+                        parent[a] = b
+                        out.append((cid[i], cid[j]))
+            if out:
+                u, v = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def near_groups(docs: DataFrame, threshold: float = NEAR, n: int = N_WORDS, block: int = BLOCK, more: dict | None = None, candidates=None) -> DataFrame:
+    """(doc_id, text_key, group_id, rep_key) of every row: groups of texts with similar shingle sets.
+
+    Equal texts are one class and one row of the search. Candidates are classes that share one of the signature's
+    bands (any pair at 0.8 with probability 0.9999) and agree in threshold - AGREE_SLACK of it; `candidates`, a
+    function of the classes (cid, sig and the columns that `more` adds), may give further pairs, which must agree
+    likewise. Within components of candidates, classes are linked if the Jaccard similarity of their whole shingle
+    sets (A-Z in lower case) is `threshold` or more, and a group is a component of links. group_id is the smallest
+    doc_id of the group, rep_key names its text. Null and blank texts are equal; rows that repeat an id belong to
+    the groups of their texts; a null id is no smallest id, a group of null ids has a null group_id. Other columns
+    are ignored, whatever their names. An empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    floor, more = threshold - AGREE_SLACK, more or {}
+    base = common.stored(docs.select("doc_id", text_key().alias("text_key"), signature_udf(n)(F.col("text")).alias("sig"), *[c.alias(name) for name, c in more.items()]), "near")
+    counted = base.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), *[F.first(c).alias(c) for c in ("sig", *more)])
+    classes = common.stored(counted.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
+    edges = band_links(classes, floor, block)
+    if candidates is not None:
+        edges = edges.unionByName(agreeing_pairs(candidates(classes), classes, floor))
+    edges = common.stored(edges, "near-links")
+    roots = connected(edges)
+    comps = common.stored(classes.join(roots.withColumnRenamed("node", "cid"), "cid").select("cid", "sig", "text_key", "first_id", F.col("root").alias("comp")), "near-components")
+    sizes = comps.groupBy("comp").agg(F.count("*").alias("size")).withColumn("of", F.col("size"))
+    wanted = common.stored(common.join_frequent(comps, sizes, ["comp"], "of", comps.count()), "near-candidates")
+    named = wanted.withColumnsRenamed({"first_id": "id", "text_key": "key"})
+    if wanted.count() <= BROADCAST_CLASSES:
+        named = F.broadcast(named)
+    whole = docs.select("doc_id", "text", text_key().alias("own_key"))
+    found = whole.join(named, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key"))).select("comp", "size", "cid", "sig", "text")
+    sets = common.stored(found.mapInArrow(_shingle_sets(n), "comp bigint, size bigint, cid bigint, sig binary, shingles binary"), "near-sets")
+    # rows that repeat an id and text come more than once; one stays
+    small = sets.filter(F.col("size") <= block).select(F.col("comp").cast("string").alias("block"), F.lit(0).alias("side"), "cid", "sig", "shingles")
+    same = small.repartition("block").sortWithinPartitions("block", "cid").mapInArrow(_similar(threshold), "u bigint, v bigint")
+    if not sets.filter(F.col("size") > block).isEmpty():
+        large = sets.filter(F.col("size") > block).dropDuplicates(["cid"])
+        degree = edges.select(F.explode(F.array("u", "v")).alias("cid")).groupBy("cid").agg(F.count("*").alias("weight"))
+        pivots = wanted.filter(F.col("size") > block).join(degree, "cid").groupBy("comp").agg(F.max(F.struct("weight", (-F.col("cid")).alias("c"))).alias("m"), F.first("size").alias("size"))
+        pivots = common.stored(pivots.select("comp", "size", (-F.col("m.c")).alias("pivot")), "near-pivots")
+        same = same.unionByName(linked(large, ["comp"], "cid", ["cid", "sig", "shingles"], pivots, _similar(threshold), block, "near-large"))
+    roots = connected(common.stored(same, "near-verified"))
+    tagged = common.stored(classes.join(roots, classes.cid == roots.node).select("text_key", "first_id", "root"), "near-roots")
+    best = tagged.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id"), F.col("text_key"))).alias("b"), F.count("*").alias("of"))
+    moved = common.join_frequent(tagged, best, ["root"], "of", tagged.count()).select("text_key", F.col("b.first_id").alias("group"), F.col("b.text_key").alias("rep"))
+    of_class = classes.select("text_key", "first_id", "rows").join(moved, "text_key", "left").select("text_key", F.coalesce("group", "first_id").alias("group_id"), F.coalesce("rep", "text_key").alias("rep_key"), "rows")
+    return common.join_frequent(base.select("doc_id", "text_key"), of_class, ["text_key"], "rows", base.count())

@@ -7,13 +7,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Text bytes handled at once; a single longer text forms a chunk of its own.
 CHUNK_BYTES = 1 << 19
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: (modulus, base): primes just below 2^31 and arbitrary bases of the two polynomials of span_hashes.
+_FIELDS = ((2147483647, 1103515245), (2147483629, 747796405))
+#: Spans of more bytes are hashed by XXH64.
+LONG_SPAN = 4096
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -54,14 +57,18 @@ def spans(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def _grow(n: int) -> None:
-    if _powers["n"] < n:
-        n = max(n, CHUNK_BYTES + 1)
-        for key, base in (("up", _BASE), ("down", _INVERSE)):
-            out = np.full(n, base, np.uint64)
-            out[0] = 1
-            _powers[key] = np.cumprod(out)
-        _powers["n"] = n
+def _field_powers() -> list[tuple[np.ndarray, np.ndarray]]:
+    """By modulus the base's powers and those of its inverse, for CHUNK_BYTES + LONG_SPAN places."""
+    if not _powers:
+        for p, base in _FIELDS:
+            both = []
+            for x in (base, pow(base, -1, p)):
+                out = np.ones(1, np.uint64)
+                while len(out) < CHUNK_BYTES + LONG_SPAN + 1:  # doubles
+                    out = np.concatenate([out, out * np.uint64(pow(x, len(out), p)) % np.uint64(p)])
+                both.append(out)
+            _powers.append(tuple(both))
+    return _powers
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,13 +82,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans from one prefix sum of a polynomial: equal bytes, equal hashes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    _grow(len(buf) + 1)
-    prefix = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers["up"][: len(buf)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * _powers["down"][starts])
+    """64-bit hashes of byte spans (by ascending starts): equal bytes, equal hashes.
+
+    Two polynomials modulo primes from prefix sums over the bytes; spans beyond LONG_SPAN by XXH64.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    lengths = ends - starts
+    for k in np.flatnonzero(lengths > LONG_SPAN):
+        out[k] = xxhash.xxh64_intdigest(buf[starts[k] : ends[k]].tobytes(), 7)
+    short = np.flatnonzero(lengths <= LONG_SPAN)
+    while len(short):
+        low = int(starts[short[0]])
+        n = int(np.searchsorted(starts[short], low + CHUNK_BYTES))
+        now, short = short[:n], short[n:]
+        a, b = starts[now] - low, ends[now] - low
+        part = buf[low : low + int(b.max())].astype(np.uint64) + np.uint64(1)
+        prefix, found = np.zeros(len(part) + 1, np.uint64), np.zeros(n, np.uint64)
+        for (p, _), (up, down) in zip(_FIELDS, _field_powers(), strict=True):
+            # terms stay below 2^39 and their sums below 2^59
+            np.cumsum(part * up[: len(part)], out=prefix[1:])
+            found = (found << np.uint64(32)) | ((prefix[b] - prefix[a]) % np.uint64(p) * down[a] % np.uint64(p))
+        out[now] = found
+    return mix(out)
 
 
 def shingles(words: np.ndarray, per_doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -114,6 +114,17 @@ def test_keep_one_and_odd_rows(spark):
     assert hamming.keep_one(empty_docs(spark)).count() == 0 == hamming.components(empty_docs(spark)).count()
 
 
+def test_own_names_as_extra_columns(spark):
+    names = ["own_key", "keep_id", "keep_key", "text_key", "sig", "fp", "cid", "rank", "rep", "comp", "size", "of", "n", "key", "id", "held_out", "lang_pred", "score", "share", "predicted", "position", "bucket", "h", "_p", "_id", "_own_hash", "_source", "row", "length", "low", "kept"]
+    odd = odd_docs(spark).select("doc_id", "text", "lang", "source", *[F.concat(F.lit(f"{name}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(name) for name in names])
+    labels = spark.createDataFrame([(3, 1, 0), (9, 0, 0), (6, 1, 0)], "doc_id bigint, quality int, toxic int").withColumn("rank", F.lit(1)).withColumn("n", F.lit(1))
+    for got in (hamming.keep_one(odd), langid.known_language(odd), quality.good(odd, labels), mixing.interleaved(odd)):
+        assert got.columns == odd.columns
+        assert got.exceptAll(odd).isEmpty() and not got.isEmpty()
+    assert len(packing.pack_documents(odd).collect()) >= odd.count() == len(licenses.scan(odd).collect()) == len(minhash.neighbour_digests(odd).collect()) == len(hamming.components(odd).collect()) == len(mixing.schedule(odd).collect())
+    assert len(langid.with_language(odd).collect()) == odd.count() == len(quality.with_quality(odd, labels).collect())
+
+
 def test_near_groups_against_all_pairs(spark):
     rng = np.random.default_rng(21)
     words = [f"w{k}" for k in range(400)]
@@ -202,14 +213,47 @@ def test_minhash_odd_rows(spark):
     assert one[0].near_next == 1.0
 
 
-def test_near_duplicates_by_bands(spark):
+def test_near_groups_by_bands(spark):
     base = " ".join(f"w{i}" for i in range(300))
     near = base.replace("w150 ", "changed ")
-    rows = [(1, base), (2, base), (3, near), (4, " ".join(f"v{i}" for i in range(300))), (5, None), (6, "")]
-    for block in (2, 2048):
-        got = {r.doc_id: r for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), block=block).collect()}
-        assert [got[i].group_id for i in (1, 2, 3, 4, 5, 6)] == [1, 1, 1, 4, 5, 5]
-        assert got[3].links == 1 and got[4].links == 0
+    rows = [(1, base), (2, base), (3, near), (4, " ".join(f"v{i}" for i in range(300))), (5, None), (6, ""), (3, base), (None, near), (None, "alone")]
+    for block in (1, 2, 2048):
+        got = minhash.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), block=block).collect()
+        assert len(got) == len(rows)
+        groups = sorted(((r.doc_id, r.group_id) for r in got), key=repr)
+        assert groups == sorted([(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5), (3, 1), (None, 1), (None, None)], key=repr)
+    assert minhash.near_groups(empty_docs(spark)).count() == 0
+
+
+def test_pivots_lose_no_link(spark):
+    """Stars, chains and strangers in one bucket: blocks of every size give the components of all pairs."""
+    rng = np.random.default_rng(31)
+    words = [f"w{k}" for k in range(3000)]
+    texts_ = []
+    for _ in range(3):
+        base = [str(w) for w in rng.choice(words, 200)]
+        texts_.append(" ".join(base))
+        for _ in range(25):  # copies of the original, each edited elsewhere
+            copy = list(base)
+            for k in rng.integers(0, 200, 3):
+                copy[k] = str(rng.choice(words))
+            texts_.append(" ".join(copy))
+        for _ in range(12):  # a chain: each one is near the one before only
+            for k in rng.integers(0, 200, 3):
+                base[k] = str(rng.choice(words))
+            texts_.append(" ".join(base))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for t in texts_]
+    rows = list(enumerate(texts_))
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                lo, hi = sorted((group[i], group[j]))
+                group = [lo if g == hi else g for g in group]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for block in (2, 8, 1024):
+        got = {r.doc_id: r.group_id for r in minhash.near_groups(df, block=block).collect()}
+        assert [got[i] for i in range(len(rows))] == group
 
 
 def test_shingles_are_equal_for_equal_words():
