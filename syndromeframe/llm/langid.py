@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,9 @@ UNKNOWN = "und"
 #: Texts below this corrected share of n-grams of any language are in none of them.
 LEAST_SHARE = 0.25
 
+#: A letter by its Unicode category.
+_ANY_LETTER = regex.compile(r"\p{L}")
+# Bytes of n-grams: signs beyond Latin-1 count as parts of words, which costs a few n-grams and decides nothing alone.
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -40,8 +44,13 @@ _C2_LETTERS = np.array([0xAA, 0xB5, 0xBA], np.uint8)
 _C3_SIGNS = np.array([0x97, 0xB7], np.uint8)
 
 
-def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n-grams as uint32, n-grams of each document, letters bytes of each document)."""
+def has_letter(texts: list[str | None]) -> np.ndarray:
+    """Whether a text holds a letter of any script."""
+    return np.fromiter((t is not None and _ANY_LETTER.search(t) is not None for t in texts), bool, len(texts))
+
+
+def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams as uint32, n-grams of each document)."""
     low = _LOWER[buf]
     lead = np.flatnonzero((buf == 0xC2) | (buf == 0xC3))
     lead = lead[lead + 1 < len(buf)]
@@ -59,7 +68,6 @@ def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         other = other[buf[other + 1] < 0xB0]
         for k in range(3):
             low[other + k] = 32
-    letters = np.add.reduceat(np.append(low != 32, False).astype(np.int64), offs[:-1]) * (np.diff(offs) > 0) if len(offs) > 1 else np.zeros(0, np.int64)
     # a run of spaces is one
     first = np.zeros(len(low) + 1, bool)
     first[offs] = True
@@ -76,12 +84,12 @@ def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     text, owner = np.insert(text, at[order], 32), np.insert(owner, at[order], whose[order])
     n = len(text) - N + 1
     if n <= 0:
-        return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64), letters
+        return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
     out = np.zeros(n, np.uint32)
     for k in range(N):
         out = (out << np.uint32(8)) | text[k : k + n]
     whole = owner[:n] == owner[N - 1 :]
-    return out[whole], np.bincount(owner[:n][whole], minlength=len(offs) - 1), letters
+    return out[whole], np.bincount(owner[:n][whole], minlength=len(offs) - 1)
 
 
 @dataclass
@@ -133,7 +141,7 @@ def _count(batches):
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
         for row, end, buf, offs in vectext.chunks(batch.column(1)):
-            found, per_doc, _ = grams(buf, offs)
+            found, per_doc = grams(buf, offs)
             owner = np.repeat(np.arange(row, end), per_doc)
             for name in set(langs[row:end]):
                 values, n = np.unique(found[(langs == name)[owner]], return_counts=True)
@@ -162,7 +170,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, keep: int = KEEP) ->
     share = counts.join(F.broadcast(total), "lang").select("lang", "gram", "n", (F.col("n") / F.col("total")).alias("share"))
     most = share.groupBy("gram").agg(F.max("share").alias("most"))
     own = share.join(most, "gram").filter(F.col("share") >= RATIO * F.col("most"))
-    top = own.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= keep)
+    top = own.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= keep)  # of a bounded sample
     found: dict[str, list[int]] = {r.lang: [] for r in total.select("lang").collect()}
     for r in top.select("lang", "gram").collect():
         found[r.lang].append(r.gram)
@@ -173,20 +181,20 @@ def predict_udf(model: Model):
     """Column function text -> struct(lang_pred, score, share).
 
     score is the best language's part of all languages' corrected shares, share its corrected share itself.
-    A null text or one without letters is `und` with score 0; so is every text if nothing was learned.
+    A null text or one without a letter (Unicode category L) is `und` with score 0; so is every text if nothing was
+    learned. A text with letters whose n-grams are in no language has the first language and score 0.
     """
 
     @F.arrow_udf("lang_pred string, score double, share double")
     def predict(texts: pa.Array) -> pa.Array:
         names, score, share = [], [], []
-        for _, _, buf, offs in vectext.chunks(texts):
-            found, per_doc, letters = grams(buf, offs)
-            if not model.languages:
-                letters = letters * 0
+        letter = has_letter(texts.to_pylist()) if model.languages else np.zeros(len(texts), bool)
+        for row, end, buf, offs in vectext.chunks(texts):
+            found, per_doc = grams(buf, offs)
             s = model.scores(found, per_doc) if model.languages and len(found) else np.zeros((len(per_doc), max(1, len(model.languages))))
             best = s.argmax(1)
             top, total = s.max(1), s.sum(1)
-            for b, t, all_, n in zip(best.tolist(), top.tolist(), total.tolist(), letters.tolist(), strict=True):
+            for b, t, all_, n in zip(best.tolist(), top.tolist(), total.tolist(), letter[row:end].tolist(), strict=True):
                 names.append(model.languages[b] if n else UNKNOWN)
                 score.append(min(1.0, t / all_) if n and all_ > 0 else 0.0)
                 share.append(t if n else 0.0)
@@ -198,19 +206,23 @@ def predict_udf(model: Model):
 def with_language(docs: DataFrame) -> DataFrame:
     """docs with held_out (crc32 of doc_id modulo 5 is 0), lang_pred, score and share, learned from the other rows.
 
-    Columns that already have these names are replaced. An empty table gives an empty result.
+    Columns that already have these names are replaced, all others stay. Null and empty texts are `und`; rows that
+    repeat a doc_id get a prediction each. An empty table gives an empty result.
     """
     common.small_batches(docs.sparkSession)
-    docs = docs.drop("held_out", "lang_pred", "score", "share", "_p")
+    docs = docs.drop("held_out", "lang_pred", "score", "share")
     held_out = common.crc_fold("doc_id", 5) == 0
     model = learn(docs.filter(~held_out))
-    return docs.withColumn("held_out", held_out).withColumn("_p", predict_udf(model)(F.col("text"))).select(*docs.columns, "held_out", "_p.lang_pred", "_p.score", "_p.share")
+    (found,) = common.fresh([*docs.columns, "held_out", "lang_pred", "score", "share"], "found")
+    return docs.withColumn("held_out", held_out).withColumn(found, predict_udf(model)(F.col("text"))).select(*docs.columns, "held_out", *[F.col(found)[c].alias(c) for c in ("lang_pred", "score", "share")])
 
 
 def known_language(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
     """The rows of docs that read as one of the learned languages, by their corrected share of n-grams.
 
-    All of them if nothing can be learned (no labelled text outside the held-out fold).
+    Null and empty texts, texts without a letter and texts in none of the languages go; repeated rows stay as often as
+    they are; columns stay unchanged. All rows stay if nothing can be learned (no labelled text outside the held-out
+    fold). An empty table gives an empty result.
     """
     common.small_batches(docs.sparkSession)
     model = learn(docs.filter(common.crc_fold("doc_id", 5) != 0))

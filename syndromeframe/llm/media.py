@@ -4,9 +4,10 @@ Writing: each task streams its payloads into archives (ZIP files whose members a
 shared folder; a member is an 8-bit grey PNG, 576 samples wide. The driver's commit writes a manifest of the
 archives of successful tasks only, so what a lost task attempt wrote is never read.
 
-Reading: the source named `media_archive` reads every archive's directory, plans partitions of neighbouring
-members with about `range_bytes` each, and streams their payloads as Arrow batches. A member that fails its
-size or checksum is read again by its own offset, up to `retries` times, without touching its neighbours.
+Reading: the source named `media_archive` plans partitions of about `range_bytes` bytes over the archives' sizes,
+which is all that the driver sees of them. A task reads its archive's directory, takes the members that begin in its
+range and streams their payloads as Arrow batches. A member that fails its size or checksum is read again by its
+own offset, up to `retries` times, without touching its neighbours.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ ARCHIVE_BYTES = 64 << 20
 ARCHIVE_MEMBERS = 60_000
 #: Payload bytes in one Arrow batch; one larger payload is a batch of its own.
 BATCH_BYTES = 4 << 20
+#: Partitions that a scan is planned in at most; beyond it ranges grow, up to whole archives.
+MOST_RANGES = 100_000
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -149,14 +152,14 @@ class ArchiveWriter(DataSourceArrowWriter):
 
 
 class Range(InputPartition):
-    """Neighbouring members of an archive: (doc_id, offset of the header, length and crc of the body)."""
+    """The members of an archive of `size` bytes whose headers begin in [start, stop)."""
 
-    def __init__(self, path: str, members: list[tuple]):
-        self.path, self.members = path, members
+    def __init__(self, path: str, size: int, start: int, stop: int):
+        self.path, self.size, self.start, self.stop = path, size, start, stop
 
 
 def directory(path: str, size: int) -> list[tuple]:
-    """Members from a ZIP file's directory."""
+    """(doc_id, offset of the header, its length, length and crc of the body) of each member, from a ZIP file's directory."""
     fs, inner = _open(path)
     with fs.open_input_file(inner) as f:
         _, _, _, n, _, length, start, _ = struct.unpack("<IHHHHIIH", f.read_at(22, size - 22))
@@ -178,23 +181,24 @@ class ArchiveReader(DataSourceReader):
         fs, inner = _open(f"{self.folder}/_manifest.json")
         with fs.open_input_stream(inner) as f:
             archives = json.loads(f.read())
-        found = []
-        for a in archives:
-            part, size = [], 0
-            for m in directory(a["path"], a["bytes"]):
-                part.append(m)
-                size += m[3]
-                if size >= self.range_bytes:
-                    found.append(Range(a["path"], part))
-                    part, size = [], 0
-            if part:
-                found.append(Range(a["path"], part))
-        return found or [Range("", [])]
+        step = max(self.range_bytes, -(-sum(a["bytes"] for a in archives) // MOST_RANGES))
+        found = [Range(a["path"], a["bytes"], at, min(at + step, a["bytes"])) for a in archives for at in range(0, a["bytes"], step)]
+        return found or [Range("", 0, 0, 0)]
+
+    def _members(self, partition: Range) -> list[tuple]:
+        """Directory entries in the partition's range; the directory is read again, too, if that fails."""
+        for attempt in range(self.retries + 1):
+            try:
+                return [m for m in directory(partition.path, partition.size) if partition.start <= m[1] < partition.stop] if partition.size else []
+            except (OSError, ValueError, struct.error):
+                if attempt == self.retries:
+                    raise
+                time.sleep(0.1 * 2**attempt)
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         handle = None
-        for doc_id, offset, skip, length, crc in partition.members:
+        for doc_id, offset, skip, length, crc in self._members(partition):
             for attempt in range(self.retries + 1):
                 try:
                     if handle is None:
@@ -252,6 +256,8 @@ def payloads(docs: DataFrame) -> DataFrame:
 
 
 def store(docs: DataFrame, folder: str) -> None:
+    """Write every row's payload into archives of a folder. Null and empty texts are one padded line; null ids stay
+    null, repeated rows are members each, other columns are ignored; an empty table writes an empty manifest."""
     spark = docs.sparkSession
     common.small_batches(spark)
     spark.dataSource.register(MediaArchive)

@@ -30,8 +30,8 @@ NEAR = 0.8
 AGREE_SLACK = 0.15
 #: Texts of a bucket or a candidate component that a task compares as a whole; larger ones go by a pivot and in blocks.
 BLOCK = 1024
-#: Candidate classes (300 bytes each) up to which they are broadcast to find their texts; beyond it they are joined.
-BROADCAST_CLASSES = 100_000
+#: Candidate classes (400 bytes each) up to which they are broadcast to find their texts; beyond it they are joined.
+BROADCAST_CLASSES = 20_000
 #: Shingles permuted at once, so that a permutation's images stay in the cache.
 _STEP = 1 << 17
 

@@ -32,23 +32,6 @@ SEED = 11
 BUCKET_DOCS = (500, 20_000)
 
 
-def quantised(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots of a period by largest remainders, one at least."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    slots = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (slots[s] - exact[s], s))
-    left = period - sum(slots.values())
-    while left:
-        for s in order if left > 0 else sorted(slots, key=lambda s: (-slots[s], s)):
-            if not left:
-                break
-            if left > 0 or slots[s] > 1:
-                slots[s] += 1 if left > 0 else -1
-                left -= 1 if left > 0 else -1
-    return slots
-
-
 def whole(weights: dict[str, float]) -> dict[str, int]:
     """Integers in exactly the proportion of the weights (a float is the quotient that it stores)."""
     exact = {s: Fraction(w) for s, w in weights.items()}
@@ -137,8 +120,13 @@ def _hash() -> F.Column:
     return F.xxhash64(F.lit(SEED), F.col("doc_id"))
 
 
-def _source() -> F.Column:
-    return F.coalesce(F.col("source"), F.lit(""))
+def _key(source: F.Column) -> F.Column:
+    """What stands for a source: a null one is no name's equal, not even the empty name's."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
+def _of_key(key: str) -> str | None:
+    return key[1:] if key else None
 
 
 def _slots(plan: list[Phase], source: np.ndarray, rank: np.ndarray, block_docs: int):
@@ -163,10 +151,10 @@ def _slots(plan: list[Phase], source: np.ndarray, rank: np.ndarray, block_docs:
 def _place(plan: list[Phase], block_docs: int):
     def run(batches):
         for batch in batches:
-            source, rank = np.array(batch.column("source").to_pylist(), object), batch.column("rank").to_numpy()
-            block, slot, release, deadline, phase = _slots(plan, source, rank, block_docs)
+            key, rank = np.array(batch.column("key").to_pylist(), object), batch.column("rank").to_numpy()
+            block, slot, release, deadline, phase = _slots(plan, key, rank, block_docs)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("source"), batch.column("h"), pa.array(block), pa.array(release), pa.array(deadline), pa.array(slot), pa.array(slot * block_docs + rank % block_docs), pa.array(phase == 0)],
+                [batch.column("doc_id"), pa.array([_of_key(k) for k in key], pa.string()), batch.column("h"), pa.array(block), pa.array(release), pa.array(deadline), pa.array(slot), pa.array(slot * block_docs + rank % block_docs), pa.array(phase == 0)],
                 ["doc_id", "source", "h", "block", "release_slot", "deadline_slot", "slot", "position", "selected"],
             )
 
@@ -175,70 +163,91 @@ def _place(plan: list[Phase], block_docs: int):
 
 def _position_udf(plan: list[Phase], block_docs: int):
     @F.arrow_udf("bigint")
-    def position(source: pa.Array, rank: pa.Array) -> pa.Array:
+    def position(key: pa.Array, rank: pa.Array) -> pa.Array:
         rank = rank.to_numpy(zero_copy_only=False)
-        return pa.array(_slots(plan, np.array(source.to_pylist(), object), rank, block_docs)[1] * block_docs + rank % block_docs)
+        return pa.array(_slots(plan, np.array(key.to_pylist(), object), rank, block_docs)[1] * block_docs + rank % block_docs)
 
     return position
 
 
-def _ranked(docs: DataFrame, weights: dict[str, float] | None, block_docs: int) -> tuple[DataFrame, list[Phase]]:
-    """docs with _source, _h and _rank (from 0, in each source by hash), and the plan of their blocks."""
-    common.small_batches(docs.sparkSession)
-    rows = docs.withColumn("_source", _source()).withColumn("_h", _hash())
-    n = docs.count()
+def _ranked(rows: DataFrame, weights: dict | None, block_docs: int, key: str, h: str, rank: str, copies: str | None = None) -> tuple[DataFrame, list[Phase]]:
+    """rows with the columns key, h and rank (from 0, in each source by hash), and the plan of their blocks.
+
+    copies: a column that says for how many documents a row stands; its rank is the first one's.
+    """
+    common.small_batches(rows.sparkSession)
+    size = F.col(copies) if copies else F.lit(1)
+    bucket, before, k = common.fresh([*rows.columns, key, h, rank], "bucket", "before", "k")
+    rows = rows.withColumn(key, _key(F.col("source"))).withColumn(h, _hash())
+    n = rows.count()
     bits = (n // min(max(n // 2000, BUCKET_DOCS[0]), BUCKET_DOCS[1])).bit_length()
     # A source of any size is ranked over its buckets of the hash's upper bits.
-    rows = rows.withColumn("_bucket", F.shiftright(F.col("_h"), 63 - bits))
-    counts = common.stored(rows.groupBy("_source", "_bucket").agg(F.count("*").alias("n")), "mix-counts")
-    by_source = {r["_source"]: r.n for r in counts.groupBy("_source").agg(F.sum("n").alias("n")).collect()}
-    if weights is None:
-        weights = target_weights(by_source)
+    rows = rows.withColumn(bucket, F.shiftright(F.col(h), 63 - bits))
+    counts = common.stored(rows.groupBy(key, bucket).agg(F.sum(size).alias("n")), "mix-counts")
+    by_source = {r[key]: r.n for r in counts.groupBy(key).agg(F.sum("n").alias("n")).collect()}
+    weights = target_weights(by_source) if weights is None else {"" if s is None else f"={s}": w for s, w in weights.items()}
     plan = phases({s: -(-c // block_docs) for s, c in by_source.items()}, weights)
-    before = counts.select("_source", "_bucket", (F.sum("n").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("n")).alias("_before"))
-    in_bucket = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_h", "doc_id"))
-    ranked = rows.withColumn("_k", in_bucket).join(before, ["_source", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_k") - 1)
-    return ranked.select(*docs.columns, "_source", "_h", "_rank"), plan
-
-
-def _scheduled(docs: DataFrame, weights: dict[str, float] | None, block_docs: int) -> DataFrame:
-    ranked, plan = _ranked(docs.select("doc_id", "source"), weights, block_docs)
+    first = counts.select(key, bucket, (F.sum("n").over(Window.partitionBy(key).orderBy(bucket)) - F.col("n")).alias(before))
+    own = Window.partitionBy(key, bucket).orderBy(h, "doc_id")
+    inside = F.sum(size).over(own.rowsBetween(Window.unboundedPreceding, -1)) if copies else F.row_number().over(own) - 1
+    # both sides are dealt by source and bucket already; the table of counts grows with the rows and is not broadcast
+    ranked = rows.withColumn(k, F.coalesce(inside, F.lit(0))).join(first.hint("merge"), [key, bucket]).withColumn(rank, F.col(before) + F.col(k))
+    return ranked.drop(bucket, before, k), plan
+
+
+#: Equal rows that one row stands for up to here are written out by the task that has it.
+COPIES = 100_000
+
+
+def _scheduled(docs: DataFrame, weights: dict | None, block_docs: int) -> DataFrame:
+    # equal rows are one row with a count until they have their places
+    rows = common.stored(docs.groupBy("doc_id", "source").agg(F.count("*").alias("copies")), "mix-rows")
+    ranked, plan = _ranked(rows, weights, block_docs, "key", "h", "rank", "copies")
+    parts = ranked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / COPIES))))
+    if (rows.agg(F.max("copies")).first()[0] or 0) > COPIES:
+        parts = parts.repartition("doc_id", "source", "part")
+    last = F.least(F.lit(COPIES).cast("bigint"), F.col("copies") - F.col("part") * COPIES) - 1
+    each = parts.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     schema = "doc_id bigint, source string, h bigint, block bigint, release_slot bigint, deadline_slot bigint, slot bigint, position bigint, selected boolean"
-    return ranked.select("doc_id", F.col("_source").alias("source"), F.col("_h").alias("h"), F.col("_rank").alias("rank")).mapInArrow(_place(plan, block_docs), schema)
+    return each.select("doc_id", "key", "h", (F.col("rank") + F.col("part") * COPIES + F.col("copy")).alias("rank")).mapInArrow(_place(plan, block_docs), schema)
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(doc_id, source, block, release_slot, deadline_slot, slot, position, selected) of every row.
 
-    weights: target by source; None: target_weights of the sources' counts. The plan
-    holds 8 bytes for each block and is sent to every task. A null source counts as the empty name, rows
-    that repeat a doc_id get places of their own, an empty table gives an empty result.
+    weights: target by source (None: the null source); None: target_weights of the sources' counts. The plan
+    holds 8 bytes for each block and is sent to every task. A null source is a source of its own; rows that repeat a
+    doc_id, null ids, too, get places of their own; columns other than doc_id and source are ignored; an empty table
+    gives an empty result.
     """
     return _scheduled(docs, weights, block_docs).drop("h")
 
 
-def mixture(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def mixture(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """The rows of docs in the first phase, that is as long as every source keeps to its target weight.
 
-    A source's order is by hash, so its rows before the first unselected one are a filter by source and hash.
+    A source's order is by hash, so its rows before the first unselected one are a filter by source and hash. Nulls,
+    repeated rows and an empty table as in schedule; columns stay unchanged.
     """
     found = common.stored(_scheduled(docs, weights, block_docs), "mixture")
-    cut = {r.source: r.h for r in found.filter("NOT selected").groupBy("source").agg(F.min("h").alias("h")).collect()}
+    cut = {r.key: r.h for r in found.filter("NOT selected").groupBy(_key(F.col("source")).alias("key")).agg(F.min("h").alias("h")).collect()}
     if not cut:
         return docs
     limits = F.create_map(*[F.lit(x) for pair in cut.items() for x in pair])
-    limit = F.try_element_at(limits, _source())
+    limit = F.try_element_at(limits, _key(F.col("source")))
     return docs.filter(limit.isNull() | (_hash() < limit))
 
 
-def interleaved(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def interleaved(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """All rows of docs in the order of their positions in the schedule, later phases included.
 
-    Partitions are ranges of positions. Whole rows are shuffled twice, by bucket for their ranks and by position.
+    Partitions are ranges of positions. Whole rows are shuffled twice, by bucket for their ranks and by position. All
+    columns stay unchanged, whatever their names; null sources, repeated rows and an empty table as in schedule.
     """
-    ranked, plan = _ranked(docs, weights, block_docs)
-    placed = ranked.withColumn("_position", _position_udf(plan, block_docs)("_source", "_rank"))
-    return placed.repartitionByRange("_position").sortWithinPartitions("_position").select(docs.columns)
+    key, h, rank, position = common.fresh(docs.columns, "key", "h", "rank", "position")
+    ranked, plan = _ranked(docs, weights, block_docs, key, h, rank)
+    placed = ranked.withColumn(position, _position_udf(plan, block_docs)(key, rank))
+    return placed.repartitionByRange(position).sortWithinPartitions(position).select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

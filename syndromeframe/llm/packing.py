@@ -2,8 +2,9 @@
 
 A document's ids are cut only beyond the capacity; full pieces are sequences of their own. The others are dealt
 to shards of bounded size. Each shard starts from best-fit decreasing and then raises the sum of squared fill:
-documents move into, or are exchanged one for one or two for one with, fuller bins until the least filled
-bins are empty. Bins that stay underfull are dealt anew to fewer shards until one shard holds them all.
+documents move into, or are exchanged one for one or two for one with, fuller bins, from the least filled bin on,
+until no bin can be emptied any more. What lies in underfull bins, the least filled ones first, is dealt anew to half
+as many shards or fewer until one shard holds the rest.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Expected pieces of one shard.
 SHARD = 5000
-#: Least-filled bins of a shard that the local search tries to empty.
-VICTIMS = 64
+#: Bins with less room than this part of the capacity count as full; the others are dealt anew.
+FULL = 64
 #: Words whose ids a worker keeps in memory.
 CACHE_WORDS = 200_000
 
@@ -47,13 +48,13 @@ def _tokenizer(name: str):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
 
 
 class WordIds:
-    """Ids of texts through remembered ids of their words; texts beyond Latin-1 go through the tokenizer whole.
+    """Ids of texts through remembered ids of their words.
+
+    Texts beyond Latin-1 and texts that hold one of the tokenizer's special strings go through it whole.
 
     Each word of the pattern is encoded on its own by the tokenizer, so the ids are the same. The first
     CACHE_WORDS words stay remembered (frequent ones come early), later ones only while their texts are encoded.
@@ -61,6 +62,8 @@ class WordIds:
 
     def __init__(self, name: str = TOKENIZER):
         self.tokenizer = _tokenizer(name)
+        special = sorted({x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()}, key=len)
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.clear()
 
     def clear(self) -> None:
@@ -98,8 +101,12 @@ class WordIds:
         for k, text in enumerate(texts):
             try:
                 text.encode("latin-1")
-                found = WORDS.findall(text.lower())
+                low = text.lower()
             except UnicodeEncodeError:
+                low = None
+            if low is not None and not self.special.search(low):
+                found = WORDS.findall(low)
+            else:
                 slow[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                 found = []
             words += found
@@ -186,50 +193,116 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, victims: int = VICTIMS) -> list[list[int]]:
-    """Local search: empties the least filled bins by moves and swaps that raise the sum of squared fill.
-
-    From the least filled bin a document d goes to a bin with enough room, or to a fuller bin that gives a
-    smaller one (one for one) or two that are smaller together (two for one) in return.
-    """
-    fill = [sum(lengths[k] for k in b) for b in bins]
-    least_bins = -(-sum(fill) // capacity)
-    alive = sum(1 for f in fill if f)
-    order = sorted((i for i in range(len(bins)) if fill[i] < capacity), key=lambda i: fill[i])
-    for v in order[:victims]:
-        if alive <= least_bins:
-            break
+class _Search:
+    """Underfull bins of a shard: rooms, members and what a document can be exchanged for."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.lengths, self.capacity = np.array(lengths, np.int64), capacity
+        self.bins, self.changes = [list(b) for b in bins], 0
+        self.room = np.array([capacity - sum(lengths[k] for k in b) for b in bins], np.int64)
+        self.at = np.full(len(lengths), -1)
+        # pairs of members: sum, bin and both documents; those of a bin that has changed are no longer valid
+        self.pairs, self.valid, self.n_pairs = np.zeros((4, 1 << 12), np.int64), np.zeros(1 << 12, bool), 0
+        self.of_bin: dict[int, slice] = {}
+        for i, b in enumerate(self.bins):
+            if self.room[i]:
+                self.at[b] = i
+                self._pair(i)
+        self.docs = np.flatnonzero(self.at >= 0)
+
+    def open_bins(self) -> np.ndarray:
+        """Underfull bins that hold something, the least filled first."""
+        i = np.flatnonzero((self.room > 0) & (self.room < self.capacity))
+        return i[np.argsort(-self.room[i], kind="stable")]
+
+    def _pair(self, i: int) -> None:
+        """Lists the pairs of bin i anew."""
+        if i in self.of_bin:
+            self.valid[self.of_bin.pop(i)] = False
+        members = np.array(self.bins[i], np.int64)
+        if not self.room[i] or len(members) < 2:
+            return
+        a, b = (members[k] for k in np.triu_indices(len(members), 1))
+        if self.n_pairs + len(a) > self.pairs.shape[1]:  # make room: drop what isn't valid, then grow
+            keep = np.flatnonzero(self.valid[: self.n_pairs])
+            kept = self.pairs[:, keep]
+            size = max(1 << 12, 2 * (len(keep) + len(a)))
+            self.pairs, self.valid, self.n_pairs = np.zeros((4, size), np.int64), np.zeros(size, bool), len(keep)
+            self.pairs[:, : len(keep)], self.valid[: len(keep)] = kept, True
+            starts = np.flatnonzero(np.diff(kept[1], prepend=-1))
+            self.of_bin = {int(kept[1, x]): slice(int(x), int(y)) for x, y in zip(starts, np.append(starts[1:], len(keep)))}
+        at = slice(self.n_pairs, self.n_pairs + len(a))
+        self.pairs[:, at] = np.stack([self.lengths[a] + self.lengths[b], np.full(len(a), i), a, b])
+        self.valid[at], self.of_bin[i] = True, at
+        self.n_pairs += len(a)
+
+    def exchange(self, v: int, d: int, others: np.ndarray) -> tuple[int, int, tuple[int, ...]] | None:
+        """(gain, bin, documents in return) of the best exchange of document d of bin v; None if there is none."""
+        need = int(self.lengths[d])
+        fits = others[self.room[others] >= need]
+        if len(fits):  # a move, into the fullest such bin
+            return need, int(fits[-1]), ()
+        best = None
+        docs = self.docs
+        home, own = self.at[docs], self.lengths[docs]
+        ok = (home != v) & (self.room[home] <= self.room[v]) & (own < need) & (own + self.room[home] >= need)
+        if ok.any():
+            e = docs[ok][np.argmin(own[ok])]
+            best = need - int(self.lengths[e]), int(self.at[e]), (int(e),)
+        sums, home = self.pairs[0, : self.n_pairs], self.pairs[1, : self.n_pairs]
+        ok = np.flatnonzero(self.valid[: self.n_pairs] & (sums < need) & (sums + self.room[home] >= need) & (home != v) & (self.room[home] <= self.room[v]))
+        if len(ok):
+            k = ok[np.argmin(sums[ok])]
+            if best is None or need - sums[k] > best[0]:
+                best = need - int(sums[k]), int(home[k]), (int(self.pairs[2, k]), int(self.pairs[3, k]))
+        return best
+
+    def apply(self, v: int, d: int, gain: int, i: int, back: tuple[int, ...]) -> None:
+        self.changes += 1
+        self.bins[v] = [k for k in self.bins[v] if k != d] + list(back)
+        self.bins[i] = [k for k in self.bins[i] if k not in back] + [d]
+        self.at[d], self.room[v], self.room[i] = i, self.room[v] + gain, self.room[i] - gain
+        self.at[list(back)] = v
+        for k in (v, i):
+            self._pair(k)
+        if not self.room[i]:
+            self.at[self.bins[i]] = -1
+            self.docs = np.flatnonzero(self.at >= 0)
+
+    def empty(self, v: int) -> None:
+        """Exchanges bin v's documents as long as some exchange makes a fuller bin still fuller."""
         changed = True
-        while changed and bins[v]:
+        while changed and self.bins[v]:
             changed = False
-            others = sorted((i for i in order if i != v and bins[i] and fill[v] <= fill[i] < capacity), key=lambda i: fill[i])
-            if sum(capacity - fill[i] for i in others) < fill[v]:
-                break
-            for d in sorted(bins[v], key=lambda k: -lengths[k]):
-                best = None
-                for i in others:
-                    room, need = capacity - fill[i], lengths[d]
-                    if room >= need:
-                        options = [(need, ())]
-                    else:
-                        inside = sorted(bins[i], key=lambda k: lengths[k])
-                        options = [(need - lengths[e], (e,)) for e in inside if need - room <= lengths[e] < need][:1]
-                        options += [(need - lengths[e] - lengths[g], (e, g)) for x, e in enumerate(inside) for g in inside[x + 1 :] if need - room <= lengths[e] + lengths[g] < need][:1]
-                    for gain, back in options:
-                        if best is None or gain > best[0]:
-                            best = (gain, i, back)
-                    if best and best[0] == need:
-                        break
-                if best:
-                    gain, i, back = best
-                    bins[v] = [k for k in bins[v] if k != d] + list(back)
-                    bins[i] = [k for k in bins[i] if k not in back] + [d]
-                    fill[v] -= gain
-                    fill[i] += gain
+            others = self.open_bins()
+            others = others[(others != v) & (self.room[others] <= self.room[v])]
+            if self.room[others].sum() < self.capacity - self.room[v]:
+                return
+            for d in sorted(self.bins[v], key=lambda k: -self.lengths[k]):
+                if found := self.exchange(v, d, others):
+                    self.apply(v, d, *found)
                     changed = True
                     break
-        alive -= not bins[v]
-    return [b for b in bins if b]
+
+
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Local search: empties bins, the least filled first, by moves and swaps that raise the sum of squared fill.
+
+    From a bin a document d goes to a bin with enough room, or to one as full or fuller that gives a smaller document
+    (one for one) or two that are smaller together (two for one) in return. Every underfull bin is tried; it ends
+    when a pass over all of them changes nothing, or at the least number of bins for so many tokens.
+    """
+    search, least_bins = _Search(bins, lengths, capacity), -(-sum(lengths) // capacity)
+    alive, before = len(bins), -1
+    while alive > least_bins and search.changes != before:
+        before = search.changes
+        for v in search.open_bins().tolist():
+            if alive <= least_bins:
+                break
+            if 0 < search.room[v] < capacity:
+                search.empty(v)
+                alive -= not search.bins[v]
+    return [b for b in search.bins if b]
 
 
 def _pack(capacity: int):
@@ -249,10 +322,24 @@ def _pack(capacity: int):
     return run
 
 
+def _least_filled(by_fill: dict[int, int], most: int, level: int) -> F.Column:
+    """Condition of the rows in underfull bins, the least filled ones with about `most` rows in all (by_fill: rows by fill)."""
+    found = F.lit(False)
+    for fill in sorted(by_fill):
+        if by_fill[fill] > most:  # of equally filled bins a part, by hash
+            part = F.pmod(F.xxhash64("sequence_id", F.lit(level)), F.lit(1 << 20)) < (most << 20) // by_fill[fill]
+            return (F.col("fill") < fill) & found | (F.col("fill") == fill) & part
+        found, most = F.col("fill") <= fill, most - by_fill[fill]
+    return found
+
+
 def pack(lengths: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """(row, sequence_id, offset) for rows (row bigint, unique; length 1 to capacity); gapless from 0 in each sequence.
 
-    A sequence is named by its least row. An empty table gives an empty result.
+    A sequence is named by its least row. Each round deals rows of underfull bins, the least filled ones with at most
+    half of the round's rows, to shards of about `shard` rows, so that bins of different shards meet; it ends with
+    one shard or without underfull bins. All rounds together handle at most twice the rows. An empty table
+    gives an empty result.
     """
     left = lengths.filter(F.col("length") < capacity).select("row", "length")
     done = [lengths.filter(F.col("length") == capacity).select("row", F.col("row").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
@@ -260,13 +347,15 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Da
     while n:
         shards = max(1, -(-n // shard))
         packed = common.stored(left.groupBy(F.pmod(F.xxhash64("row", F.lit(level)), F.lit(shards)).alias("shard")).applyInArrow(_pack(capacity), "row bigint, length bigint, sequence_id bigint, offset bigint, fill bigint"), f"packed-{level}")
-        again = packed.filter(F.col("fill") < capacity - capacity // 64)
-        more = again.count() if shards > 1 else 0
-        if not more or more > n // 2:  # one shard, or documents that don't fit together anywhere
+        if shards == 1:
             done.append(packed.select("row", "sequence_id", "offset"))
             break
-        done.append(packed.filter(F.col("fill") >= capacity - capacity // 64).select("row", "sequence_id", "offset"))
-        left, n, level = again.select("row", "length"), more, level + 1
+        # at most `capacity` rows
+        by_fill = {r.fill: r.n for r in packed.filter(F.col("fill") < capacity - capacity // FULL).groupBy("fill").agg(F.count("*").alias("n")).collect()}
+        again = _least_filled(by_fill, n // 2, level)
+        done.append(packed.filter(~again).select("row", "sequence_id", "offset"))
+        left = packed.filter(again).select("row", "length")
+        n, level = left.count(), level + 1
     found = done[0]
     for part in done[1:]:
         found = found.unionByName(part)
@@ -276,7 +365,8 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Da
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset) of every piece of every document.
 
-    Null texts count as empty (one piece with END_ID alone); rows that repeat a doc_id are packed each by itself.
+    Null and empty texts are one piece with END_ID alone; rows that repeat a doc_id are packed each by itself, null
+    ids stay null; columns other than doc_id and text are ignored. An empty table gives an empty result.
     """
     cut = common.stored(pieces(docs, capacity, tokenizer, with_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
     return cut.join(pack(cut.select("row", "length"), capacity), "row").drop("row")
