@@ -18,6 +18,8 @@ from . import common, vectext
 
 #: Labelled documents of each label that the model is fitted on, the first ones by a hash of doc_id.
 SAMPLE_DOCS = 1500
+#: Lines of each of these documents that it is fitted on: the middle ones of longer texts. Scores read all lines.
+SAMPLE_LINES = 2000
 THRESHOLD = 0.7
 
 _KINDS = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "space": (9, 11, 12, 13, 32), "other": range(128, 256), "stop": b".", "comma": b",", "shout": b"!?", "bar": b"|", "mark": b"-'\"():;", "symbol": b"#$%&*+/<=>@[\\]^_`{}~"}
@@ -204,14 +206,16 @@ def _features(batches):
         for row, end, buf, offs in vectext.chunks(batch.column(0)):
             x, lengths, per_doc = line_features(buf, offs)
             stops = np.cumsum(per_doc)
-            rows = [(x[b - c : b].astype(np.float32).tobytes(), lengths[b - c : b].tobytes()) for b, c in zip(stops, per_doc, strict=True)]
+            first = stops - per_doc + np.maximum(per_doc - SAMPLE_LINES, 0) // 2
+            rows = [(x[a:b].astype(np.float32).tobytes(), lengths[a:b].tobytes()) for a, b in zip(first, np.minimum(first + SAMPLE_LINES, stops), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array(quality[row:end].astype(np.int32))], ["x", "lengths", "quality"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """A model from the labelled rows of `docs` outside the held-out fold; None without both labels.
 
-    At most sample_docs documents of each label are read; the final curve weighs them by the labels' full counts.
+    At most sample_docs documents of each label with at most SAMPLE_LINES lines each are read; the final curve weighs
+    them by the labels' full counts. Of labels that repeat a doc_id the least counts; null ids and labels teach nothing.
     """
     common.small_batches(docs.sparkSession)
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -258,7 +262,11 @@ def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score THRESHOLD or more; all of them if no model can be learned."""
+    """The rows of docs that score THRESHOLD or more; all of them if no model can be learned.
+
+    Null and empty texts have the prior's score; rows that repeat a doc_id are scored each by itself; columns stay
+    unchanged, whatever their names. An empty table gives an empty result.
+    """
     common.small_batches(docs.sparkSession)
     model = learn(docs, labels)
     return docs if model is None else docs.filter(score_udf(model)(F.col("text")) >= THRESHOLD)

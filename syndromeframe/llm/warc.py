@@ -88,32 +88,49 @@ def blocks(spark, folder: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return files.select("path", "size", starts.alias("start")).select("path", "start", F.least(F.col("start") + block_bytes, "size").alias("stop"), "size")
 
 
-def parse_header(data: bytes, at: int) -> tuple[int, int] | None:
-    """(start of the block, its length) of the header at `at`; None if it isn't one; (-1, -1) if data ends within it."""
-    if not _MAGIC.match(data, at):
-        return None
-    end = data.find(_END, at)
-    if end < 0:
-        return -1, -1
-    m = _LENGTH.search(data, at, end + 2)
-    return (end + 4, int(m[1])) if m else None
+class Headers:
+    """Record headers at ascending places of some bytes: what a search has passed is never searched again.
+
+    Magic inside a payload may be followed by no blank line and no length for long; their next places are kept.
+    """
+
+    def __init__(self, data: bytes):
+        self.grow(data)
+
+    def grow(self, data: bytes) -> None:
+        """Goes on with more bytes behind the same ones."""
+        self.data, self.end, self.length = data, None, None
+
+    def at(self, at: int) -> tuple[int, int] | None:
+        """(start of the block, its length) of the header at `at`; None if it isn't one; (-1, -1) if data ends within it."""
+        if not _MAGIC.match(self.data, at):
+            return None
+        if self.end is None or 0 <= self.end < at:
+            self.end = self.data.find(_END, at)
+        if self.end < 0:
+            return -1, -1
+        if self.length is None or (self.length and self.length.start() < at):
+            self.length = _LENGTH.search(self.data, at) or False
+        m = self.length
+        return (self.end + 4, int(m[1])) if m and m.end() <= self.end + 2 else None
 
 
 def candidates(f, start: int, stop: int, size: int) -> list[tuple[int, int]]:
     """(offset, successor) of every parsable header that begins in the block [start, stop)."""
     data = f.read_at(min(stop + (64 << 10), size) - start, start)
-    found = []
+    headers, found = Headers(data), []
     for m in _MAGIC.finditer(data):
         at = m.start()
         if start + at >= stop:
             break
-        got = parse_header(data, at)
+        got = headers.at(at)
         if got == (-1, -1) and start + len(data) < size:  # a header that goes on: read further
             extra = 1 << 20
             while got == (-1, -1) and start + len(data) < size:
                 data += f.read_at(min(extra, size - start - len(data)), start + len(data))
                 extra *= 2
-                got = parse_header(data, at)
+                headers.grow(data)
+                got = headers.at(at)
         if got and got != (-1, -1) and (after := start + got[0] + got[1] + len(_END)) <= size:
             found.append((start + at, after))
     # finditer has walked the data as first read; magic across its end belongs to the next block
@@ -164,23 +181,25 @@ def _read(batches):
             with _open(path) as f:
                 at, rows, held = offset, [], 0
                 data, base = f.read_at(min(stop + (64 << 10), size) - at, at), at
+                headers = Headers(data)
                 while at < stop:
-                    got = parse_header(data, at - base)
+                    got = headers.at(at - base)
                     while got == (-1, -1) or (got and base + got[0] + got[1] > base + len(data)):
                         if base + len(data) >= size:
                             got = None
                             break
                         need = got[0] + got[1] - len(data) if got[0] > 0 else 1 << 20
                         data += f.read_at(min(max(need, 1 << 16), size - base - len(data)), base + len(data))
-                        got = parse_header(data, at - base)
+                        headers.grow(data)
+                        got = headers.at(at - base)
                     if not got:
                         break  # the chain ends in a truncated record
                     lines = data[at - base : got[0] - 4].decode("utf-8", "replace").split("\r\n")[1:]
-                    headers = [tuple(x.strip() for x in line.split(":", 1)) for line in lines if ":" in line]
+                    pairs = [tuple(x.strip() for x in line.split(":", 1)) for line in lines if ":" in line]
                     body = data[got[0] : got[0] + got[1]]
-                    if dict(headers).get("Content-Type", "").startswith("application/http"):
+                    if dict(pairs).get("Content-Type", "").startswith("application/http"):
                         body = body.partition(_END)[2]
-                    rows.append((path, at, headers, body))
+                    rows.append((path, at, pairs, body))
                     held += len(body)
                     if held > 4 << 20:
                         yield _batch(rows)
