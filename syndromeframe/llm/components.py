@@ -40,18 +40,14 @@ def _signature(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
 
 
-def _with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """rows (u, v) joined with least (u, m, degree); the edges of hubs stay where they are."""
-    return common.join_frequent(rows, least, ["u"], "degree", total)
-
-
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node in an edge (u, v); root is the least node of its component.
 
     Large-star links each node's larger neighbours to its least neighbour, small-star its smaller ones; both
-    keep connectivity and end in stars after about log(n) rounds. Minima are pre-aggregated before shuffles, and
-    nodes with a common.FREQUENT-th of all edges or more, at most so many, are broadcast. Nulls are no nodes;
-    loops and repeated edges change nothing; no edge gives no row. Tables of earlier rounds are deleted.
+    keep connectivity and end in stars after about log(n) rounds. Minima are pre-aggregated before they are shuffled
+    and stored before they are joined, so that both sides of a join are plain shuffles, in which Spark splits the
+    partitions that hubs swell. Nulls are no nodes; loops and repeated edges change nothing; no edge gives no row.
+    Tables of earlier rounds are deleted.
     """
     e = common.stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _signature(e)
@@ -59,14 +55,13 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         sym = _both_ways(e)
-        least = sym.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
-        large = common.stored(_with_least(sym.filter("v > u"), least, 2 * before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "stars")
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
-        small = _with_least(large, least, before[0])
-        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        new = common.stored(small, "edges")
+        least = common.stored(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = common.stored(sym.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "stars")
+        lower = common.stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(lower, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = common.stored(small.union(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
         after = _signature(new)
-        for old in (e, large):
+        for old in (e, least, large, lower):
             common.discard(old)
         e = new
         if after == before:

@@ -333,8 +333,8 @@ def components(docs: DataFrame, radius: int = 4, n: int = 4, text: str = "text",
     edges = common.stored(links(classes, radius, "fp", block), "simhash-links")
     roots = connected(edges)  # node, root
     tagged = common.stored(classes.join(roots, classes.fp == roots.node).select("fp", "first_id", "root"), "simhash-roots")
-    least = tagged.groupBy("root").agg(F.min("first_id").alias("component"), F.count("*").alias("of"))
-    moved = common.join_frequent(tagged, least, ["root"], "of", tagged.count()).select("fp", "component")
+    least = common.stored(tagged.groupBy("root").agg(F.min("first_id").alias("component")), "simhash-least")
+    moved = tagged.join(least, "root").select("fp", "component")
     of_class = classes.join(moved, "fp", "left").select("fp", F.coalesce("component", "first_id").alias("component_id"), "rows")
     return common.join_frequent(base, of_class, ["fp"], "rows", base.count()).select("doc_id", "fp", "component_id")
 
@@ -351,7 +351,7 @@ def near_groups(docs: DataFrame, threshold: float = minhash.NEAR, n: int = minha
         found = links(reps.select("fp"), radius, "fp")
         u, v = (reps.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "uv")
         pairs = found.join(u, "u").join(v, "v").select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v"))
-        same = common.join_frequent(classes.select("fp", "cid"), reps.filter("of > 1"), ["fp"], "of", classes.count()).filter("cid <> rep")
+        same = classes.select("fp", "cid").join(reps.filter("of > 1"), "fp").filter("cid <> rep")
         return pairs.unionByName(same.select(F.col("cid").alias("u"), F.col("rep").alias("v")))
 
     text = F.coalesce("text", F.lit(""))

@@ -29,7 +29,7 @@ NEAR = 0.8
 #: Signatures of a similar pair agree by this less than its similarity at worst (over four deviations at 0.8).
 AGREE_SLACK = 0.15
 #: Texts of a bucket or a candidate component that a task compares as a whole; larger ones go by a pivot and in blocks.
-BLOCK = 1024
+BLOCK = 512
 #: Candidate classes (400 bytes each) up to which they are broadcast to find their texts; beyond it they are joined.
 BROADCAST_CLASSES = 20_000
 #: Shingles permuted at once, so that a permutation's images stay in the cache.
@@ -286,14 +286,14 @@ def band_links(classes: DataFrame, floor: float, block: int = BLOCK) -> DataFram
 def agreeing_pairs(pairs: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
     """The pairs (u, v) of classes (cid, sig) whose signatures agree in `floor` or more; v may be a hub."""
     signed = common.stored(pairs.distinct().join(classes.select(F.col("cid").alias("u"), F.col("sig").alias("a")), "u"), "near-pairs")
-    hubs = signed.groupBy("v").agg(F.count("*").alias("of")).join(classes.select(F.col("cid").alias("v"), F.col("sig").alias("b")), "v")
 
     @F.arrow_udf("boolean")
     def agree(a: pa.Array, b: pa.Array) -> pa.Array:
         x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(len(c), K) for c in (a, b))
         return pa.array((x == y).mean(1) >= floor)
 
-    return common.join_frequent(signed, hubs, ["v"], "of", signed.count()).filter(agree("a", "b")).select("u", "v")
+    # two plain shuffles: Spark splits what a hub swells
+    return signed.join(classes.select(F.col("cid").alias("v"), F.col("sig").alias("b")), "v").filter(agree("a", "b")).select("u", "v")
 
 
 def _shingle_sets(n: int):
@@ -402,7 +402,7 @@ def near_groups(docs: DataFrame, threshold: float = NEAR, n: int = N_WORDS, bloc
         same = same.unionByName(linked(large, ["comp"], "cid", ["cid", "sig", "shingles"], pivots, _similar(threshold), block, "near-large"))
     roots = connected(common.stored(same, "near-verified"))
     tagged = common.stored(classes.join(roots, classes.cid == roots.node).select("text_key", "first_id", "root"), "near-roots")
-    best = tagged.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id"), F.col("text_key"))).alias("b"), F.count("*").alias("of"))
-    moved = common.join_frequent(tagged, best, ["root"], "of", tagged.count()).select("text_key", F.col("b.first_id").alias("group"), F.col("b.text_key").alias("rep"))
+    best = common.stored(tagged.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id"), F.col("text_key"))).alias("b")), "near-best")
+    moved = tagged.join(best, "root").select("text_key", F.col("b.first_id").alias("group"), F.col("b.text_key").alias("rep"))
     of_class = classes.select("text_key", "first_id", "rows").join(moved, "text_key", "left").select("text_key", F.coalesce("group", "first_id").alias("group_id"), F.coalesce("rep", "text_key").alias("rep_key"), "rows")
     return common.join_frequent(base.select("doc_id", "text_key"), of_class, ["text_key"], "rows", base.count())

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Text bytes handled at once; a single longer text forms a chunk of its own.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 
 #: (modulus, base): primes just below 2^31 and arbitrary bases of the two polynomials of span_hashes.
 _FIELDS = ((2147483647, 1103515245), (2147483629, 747796405))
