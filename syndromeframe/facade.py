@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import kernel
-from .operators.decode import _by_shot
+from .operators.decode import decode_packed
 from .operators.lattice import Adjacency
 from .plans.grids import Boundary, Grid, required_buffer_size, topology_name
 
@@ -54,12 +52,12 @@ class Decoder:
     Bits outside the lattice are dropped, missing words are empty. Nothing is kept between calls but erasures.
     """
 
-    def __init__(self, width: int, height: int, topology: str | TopologyType = "square", depth: int = 1, boundary: Boundary = Boundary()):
+    def __init__(self, width: int, height: int, topology: str | TopologyType = "square", depth: int = 1, boundary: Boundary = Boundary(), stride: int | None = None):
         for name, n in (("width", width), ("height", height), ("depth", depth)):
             if n < 1:
                 raise ValueError(f"{name} must be greater than 0")
         kind = str(topology) if isinstance(topology, TopologyType) else topology_name(topology)
-        self.grid = Grid(width, height, depth, kind, boundary)
+        self.grid = Grid(width, height, depth, kind, boundary, stride)
         self._adjacency = Adjacency(self.grid)
         self._erased = frozenset()
 
@@ -84,14 +82,14 @@ class Decoder:
 
     def decode_frame(self, packed: DataFrame) -> DataFrame:
         """decode for each shot of (shot_id, word_idx, word): the DataFrame form."""
-        from .functions import bits
-
-        rows = bits.unpack(packed).withColumn("gone", F.lit(False))
-        return _by_shot(rows, partial(Adjacency, self.grid, self._erased))
+        return decode_packed(packed, self.grid, self._erased)
 
 
 class DecoderBuilder:
-    """Collects dimensions and builds a Decoder; ValueError without dimensions or with a stride that is too small."""
+    """Collects dimensions and builds a Decoder.
+
+    ValueError without dimensions, or with a stride that is no power of two or less than the largest dimension.
+    """
 
     def __init__(self, topology: str = "square"):
         self._topology, self._shape, self._stride = topology, None, None
@@ -112,10 +110,7 @@ class DecoderBuilder:
         if self._shape is None:
             raise ValueError("dimensions must be set")
         width, height, depth = self._shape
-        found = Decoder(width, height, self._topology, depth)
-        if self._stride not in (None, found.grid.stride_y):
-            raise ValueError(f"stride must be {found.grid.stride_y}")
-        return found
+        return Decoder(width, height, self._topology, depth, stride=self._stride)
 
 
 class QecEngine:

@@ -13,15 +13,19 @@ def signed(word: int) -> int:
 
 
 def pack(defects: DataFrame, key: str = "shot_id", node: str = "node") -> DataFrame:
-    """(key, word_idx, word): the bits of all nodes of a shot, word by word."""
+    """(key, word_idx, word): the bits of all nodes of a shot, word by word.
+
+    Rows that are dealt by key already, as parity leaves them, stay where they are.
+    """
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col(node), F.lit(64)).cast("int"))
     return defects.groupBy(key, F.floor(F.col(node) / 64).cast("bigint").alias("word_idx")).agg(F.bit_or(bit).alias("word"))
 
 
 def unpack(packed: DataFrame, key: str = "shot_id") -> DataFrame:
     """(key, node) of every set bit; only words with a bit make rows."""
-    bits = packed.filter("word <> 0").select(key, "word_idx", "word", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
-    return bits.filter(F.getbit("word", F.col("bit")) == 1).select(key, (F.col("word_idx") * 64 + F.col("bit")).cast("bigint").alias("node"))
+    on = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit("word", b) == 1)
+    bits = packed.filter("word <> 0").select(key, "word_idx", F.explode(on).alias("bit"))
+    return bits.select(key, (F.col("word_idx") * 64 + F.col("bit")).cast("bigint").alias("node"))
 
 
 def popcounts(packed: DataFrame, key: str = "shot_id") -> DataFrame:

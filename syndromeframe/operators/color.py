@@ -43,26 +43,22 @@ def _phantoms(grid: Grid, color: int) -> frozenset[int]:
 
 
 def decode(toggles: DataFrame, grid: Grid) -> DataFrame:
-    """(shot_id, color, n_defects, n_unresolved, u, v): one decode for each shot and colour, by restriction to one colour.
+    """(shot_id, color, n_defects, n_unresolved, u, v, defects): each colour restricted to its lattice, all decoded as one graph.
 
     Faces of a colour are neighbours if they follow each other in a row (columns 3 apart), stand above each
-    other by their place in the row, or in time; top and bottom rows carry the boundary. u and v are nodes of
-    the full lattice.
+    other by their place in the row, or in time; top and bottom rows carry the boundary. u, v and defects are
+    nodes of the full lattice.
     """
     small = restricted(grid)
     x, y, t = ids.coord(grid, "node")
-    out = None
-    for c in range(3):
-        own = toggles.filter(ids.color(x, y) == c).select("shot_id", ids.node(small, F.floor(x / 3), y, t).alias("node"))
-        found = decoding.decode(own, small, _phantoms(grid, c))
-
-        def full(n, c=c):
-            cx, cy, ct = ids.coord(small, n)
-            return F.when(n.isNotNull(), ids.node(grid, F.pmod(F.lit(c) - cy, F.lit(3)) + 3 * cx, cy, ct))
-
-        rows = found.select("shot_id", F.lit(c).alias("color"), "n_defects", "n_unresolved", F.transform("u", full).alias("u"), F.transform("v", full).alias("v"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rows = toggles.select("shot_id", ids.color(x, y).cast("int").alias("part"), ids.node(small, F.floor(x / 3), y, t).alias("node"))
+    found = decoding.decode_parts(rows, [(small, _phantoms(grid, c)) for c in range(3)])
+
+    def full(n):
+        cx, cy, ct = ids.coord(small, n)
+        return F.when(n.isNotNull(), ids.node(grid, F.pmod(F.col("part") - cy, F.lit(3)) + 3 * cx, cy, ct))
+
+    return found.select("shot_id", F.col("part").alias("color"), "n_defects", "n_unresolved", *[F.transform(c, full).alias(c) for c in ("u", "v", "defects")])
 
 
 def frames(decoded: DataFrame, grid: Grid) -> DataFrame:

@@ -9,11 +9,33 @@ part of the tree behind it holds an odd number of defects. Work follows the clus
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 from .lattice import Adjacency
 
 
+@dataclass(frozen=True)
+class Rules:
+    """Exchangeable parts of the decoder.
+
+    growth: what an active cluster adds to each of its edges in a round, "half" an edge or a "whole" one. start: where
+    the tree of a cluster at the boundary starts, at its least "boundary" edge or at its "root", the largest node;
+    a cluster of odd parity then leaves by that edge all the same.
+    """
+
+    growth: str = "half"
+    start: str = "boundary"
+
+    def __post_init__(self):
+        if self.growth not in ("half", "whole") or self.start not in ("boundary", "root"):
+            raise ValueError(f"unknown rules {self}")
+
+
+RULES = Rules()
+
+
 def _find(parent: np.ndarray, a: np.ndarray) -> np.ndarray:
     r = parent[a]
     while True:
@@ -43,7 +65,7 @@ def _once(a: np.ndarray, scratch: np.ndarray) -> np.ndarray:
     return a[scratch[a] == at]
 
 
-def decode(adj: Adjacency, shot: np.ndarray, node: np.ndarray, shots: int, blocked: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def decode(adj: Adjacency, shot: np.ndarray, node: np.ndarray, shots: int, blocked: tuple[np.ndarray, np.ndarray] | None = None, rules: Rules = RULES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(shot, edge) of the correction, sorted, and the (shot, node) defects that stay unresolved.
 
     shot, node: distinct defects, dense nodes; blocked: (shot, node) that are erased in that shot only.
@@ -72,7 +94,7 @@ def decode(adj: Adjacency, shot: np.ndarray, node: np.ndarray, shots: int, block
         keys = keys[(grown >= 0) & (grown < 2)]
         if not len(keys):
             break
-        np.add.at(support, keys, 1)
+        np.add.at(support, keys, 1 if rules.growth == "half" else 2)
         new = _once(keys[support[keys] >= 2], scratch)
         support[new] = 2
         full.append(new)
@@ -105,10 +127,10 @@ def decode(adj: Adjacency, shot: np.ndarray, node: np.ndarray, shots: int, block
         open_nodes = open_nodes[keep]
         growing = open_nodes[active[roots[keep]]]
     cluster = np.concatenate(cluster)
-    return _peel(adj, np.concatenate(full) if full else np.zeros(0, np.int64), support, parent, cluster, defects)
+    return _peel(adj, np.concatenate(full) if full else np.zeros(0, np.int64), support, parent, cluster, defects, rules)
 
 
-def _peel(adj: Adjacency, full: np.ndarray, support: np.ndarray, parent: np.ndarray, cluster: np.ndarray, defects: np.ndarray):
+def _peel(adj: Adjacency, full: np.ndarray, support: np.ndarray, parent: np.ndarray, cluster: np.ndarray, defects: np.ndarray, rules: Rules = RULES):
     """decode's result from the full edges (those with support 2) and the clusters' roots."""
     n_nodes, n_edges = len(adj.public), len(adj.u)
     on = np.sort(full)
@@ -120,6 +142,12 @@ def _peel(adj: Adjacency, full: np.ndarray, support: np.ndarray, parent: np.ndar
     # the least boundary edge of each cluster, which is sorted by shot and edge already
     exit_root, first = np.unique(own, return_index=True)
     exit_node, exit_edge = at[first], on[outer][first]
+    out_node = out_edge = np.zeros(0, np.int64)
+    if rules.start == "root" and len(exit_root):  # odd clusters leave by their exit, whose parity changes for it
+        own, n = np.unique(_find(parent, defects), return_counts=True)
+        leave = np.isin(exit_root, own[n % 2 == 1])
+        out_node, out_edge = exit_node[leave], exit_edge[leave]
+        exit_root = exit_node = exit_edge = np.zeros(0, np.int64)
     inner_root = np.setdiff1d(np.unique(roots), exit_root)
     start = np.concatenate([exit_node, inner_root])
     up_edge, up_node = np.empty(len(parent), np.int64), np.empty(len(parent), np.int64)  # set where a node is reached
@@ -146,7 +174,8 @@ def _peel(adj: Adjacency, full: np.ndarray, support: np.ndarray, parent: np.ndar
         levels.append(node)
     odd = np.zeros(len(parent), bool)
     odd[defects] = True
-    chosen = []
+    odd[out_node] ^= True
+    chosen = [out_edge]
     for level in reversed(levels[1:]):
         hot = level[odd[level]]
         if len(hot):

@@ -45,7 +45,7 @@ def detector_layout(spark: SparkSession, d: int, rounds: int, code: str = "rotat
         w, h = (d - 1, d) if basis == "Z" else (d, d - 1)
         keep = lambda s: F.lit(True)
     n = nodes(spark, Grid(w, h, rounds, "grid3d" if rounds > 1 else "square")).filter(keep(F.col("x") + F.col("y")))
-    return n.select((F.row_number().over(Window.orderBy("t", "y", "x")) - 1).cast("bigint").alias("det_id"), "x", "y", "t")
+    return numbered(n, ["t", "y"], ["x"], "det_id").select("det_id", "x", "y", "t")
 
 
 def word_neighbours(spark: SparkSession, three_d: bool = False) -> DataFrame:
@@ -91,14 +91,39 @@ def edges(spark: SparkSession, grid: Grid) -> DataFrame:
     rows = interior.select("u", "v", F.lit(-1).alias("side"))
     for _, k, c in sides:
         rows = rows.unionByName(nodes(spark, grid).filter(c).select(F.col("node").alias("u"), F.lit(None).cast("bigint").alias("v"), F.lit(k).alias("side")))
-    order = Window.orderBy(F.col("v").isNull(), "u", F.coalesce("v", F.lit(0)), "side")
-    # The relation has a row per lattice edge, a fixed size that no data enters.
-    return rows.select((F.row_number().over(order) - 1).cast("bigint").alias("edge_id"), "u", "v")
+    rows = rows.withColumn("outer", F.col("v").isNull()).withColumn("line", F.shiftright("u", grid.stride_y.bit_length() - 1))
+    return numbered(rows, ["outer", "line"], ["u", F.coalesce("v", F.lit(0)), "side"], "edge_id").select("edge_id", "u", "v")
+
+
+def numbered(rows: DataFrame, blocks: list[str], order: list, name: str) -> DataFrame:
+    """rows with a dense number from 0 in the order of blocks and, in a block, of `order`.
+
+    Rows are numbered block by block; only the blocks' sizes, one row for each line of a lattice, are added up in one task.
+    """
+    sizes = rows.groupBy(*blocks).agg(F.count("*").alias("n"))
+    before = sizes.select(*blocks, (F.sum("n").over(Window.orderBy(*blocks)) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*blocks).orderBy(*order)) - 1
+    return rows.withColumn("inside", inside).join(before, blocks).withColumn(name, (F.col("before") + F.col("inside")).cast("bigint"))
+
+
+#: Ids of one lattice alone: all.
+_ALL = ((-(1 << 62), 1 << 62),)
+
+
+def spans(parts: list[Grid]) -> list[tuple[int, int]]:
+    """[low, high) of the ids that each of several lattices has side by side."""
+    out, at = [], 0
+    for g in parts:
+        out.append((at, at + g.stride_z * g.depth))
+        at = out[-1][1]
+    return out
 
 
 class GraphAdjacency:
     """As Adjacency for any edges (u, v; v = -1 at the boundary) in the order of their ids; nodes are those they name."""
 
+    spans = _ALL
+
     def __init__(self, u: np.ndarray, v: np.ndarray):
         self.public = np.unique(np.concatenate([u, v[v >= 0]]))
         self.u = np.searchsorted(self.public, u)
@@ -113,6 +138,8 @@ class GraphAdjacency:
 class Adjacency:
     """The edges of a lattice as arrays for the decoding kernel: nodes are numbered densely in (t, y, x) order."""
 
+    spans = _ALL
+
     def __init__(self, grid: Grid, erased: frozenset[int] = frozenset()):
         self.grid = grid
         w, h, d = grid.width, grid.height, grid.depth
@@ -161,3 +188,26 @@ class Adjacency:
         x, y, t = public % g.stride_y, public // g.stride_y % g.stride_y, public // g.stride_z
         ok = (public >= 0) & (x < g.width) & (y < g.height) & (t < g.depth)
         return np.where(ok, (t * g.height + y) * g.width + x, -1)
+
+
+class UnionAdjacency:
+    """Several lattices side by side as one graph: each one's ids, nodes and edges follow those of the one before."""
+
+    def __init__(self, parts: tuple[tuple[Grid, frozenset[int]], ...]):
+        self.parts = [Adjacency(g, erased) for g, erased in parts]
+        self.spans = spans([g for g, _ in parts])
+        self.first = np.cumsum([0] + [len(a.public) for a in self.parts])
+        edges = np.cumsum([0] + [len(a.u) for a in self.parts])
+        self.public = np.concatenate([a.public + low for a, (low, _) in zip(self.parts, self.spans, strict=True)])
+        self.u = np.concatenate([a.u + n for a, n in zip(self.parts, self.first, strict=False)])
+        self.v = np.concatenate([np.where(a.v >= 0, a.v + n, -1) for a, n in zip(self.parts, self.first, strict=False)])
+        width = max(a.at.shape[1] for a in self.parts)
+        self.at = np.concatenate([np.pad(np.where(a.at >= 0, a.at + e, -1), ((0, 0), (0, width - a.at.shape[1])), constant_values=-1) for a, e in zip(self.parts, edges, strict=False)])
+
+    def to_dense(self, public: np.ndarray) -> np.ndarray:
+        out = np.full(len(public), -1, np.int64)
+        for a, (low, high), n in zip(self.parts, self.spans, self.first, strict=False):
+            mine = np.flatnonzero((public >= low) & (public < high))
+            dense = a.to_dense(public[mine] - low)
+            out[mine] = np.where(dense >= 0, dense + n, -1)
+        return out

@@ -35,6 +35,12 @@ def resolved(defects: DataFrame, corrections: DataFrame, grid: Grid | None = Non
     return shots.filter("own > 0").select("shot_id", "n_defects", "remaining", (F.col("remaining") == 0).alias("resolved"))
 
 
+def carried(decoded: DataFrame) -> DataFrame:
+    """(.., n_defects, remaining, resolved) of rows that decoding with carry=True has left with their defects: no shuffle."""
+    found = packed_remaining(decoded)
+    return found.withColumn("resolved", F.col("remaining") == 0)
+
+
 def packed_remaining(decoded: DataFrame, defects: str = "defects") -> DataFrame:
     """decoded rows that carry their defects as an array: number of nodes still set, without a shuffle."""
     ends = F.concat(F.col(defects), F.col("u"), F.filter("v", lambda x: x.isNotNull()))

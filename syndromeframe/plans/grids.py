@@ -45,13 +45,17 @@ def topology_name(name: str) -> str:
 
 @dataclass(frozen=True)
 class Grid:
-    """A lattice of width x height x depth nodes with row-major ids over power-of-two strides."""
+    """A lattice of width x height x depth nodes with row-major ids over power-of-two strides.
+
+    stride: that of a row, the least one that holds the largest dimension unless a larger one is asked for.
+    """
 
     width: int
     height: int
     depth: int = 1
     topology: str = "square"
     boundary: Boundary = Boundary()
+    stride: int | None = None
 
     def __post_init__(self):
         if min(self.width, self.height, self.depth) < 1:
@@ -59,10 +63,13 @@ class Grid:
         object.__setattr__(self, "topology", topology_name(self.topology))
         if self.depth > 1 and self.topology in ("triangular", "honeycomb"):
             raise ValueError(f"{self.topology} lattices have depth 1")
+        least = next_power_of_two(max(self.width, self.height, self.depth))
+        if self.stride is not None and (self.stride < least or self.stride & (self.stride - 1)):
+            raise ValueError(f"stride must be a power of two, {least} or more")
 
     @property
     def stride_y(self) -> int:
-        return next_power_of_two(max(self.width, self.height, self.depth))
+        return self.stride or next_power_of_two(max(self.width, self.height, self.depth))
 
     @property
     def stride_z(self) -> int:
@@ -163,6 +170,7 @@ def required_buffer_size(width: int, height: int, depth: int = 1) -> int:
     blocks = -(-nodes // 64)
     edge_words = -(-nodes * 4 // 64)
     flags = -(-blocks // 64) * 8
+    # Bytes of each array by node, block and edge word, which callers allocate to the byte.
     arrays = [128, *(nodes * k for k in (4, 2, 2)), *(blocks * k for k in (64, 8, 8, 8, 4, 32)), edge_words * 8, edge_words * 32, *[flags] * 4, -(-edge_words // 64) * 8]
     return sum(arrays) + _PAD * len(arrays)
 

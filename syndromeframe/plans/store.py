@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,26 @@ from pyspark.sql import DataFrame
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder in spark.checkpoint.dir and read back.
 
-    Cuts the lineage like checkpoint() and also the plan's inferred constraints, which grow with every round.
+    Cuts the lineage like checkpoint() and also the plan's inferred constraints, which grow with every round. Only a
+    local master may do without the setting.
     """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/loop-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of stored() that nothing reads any more, such as those of a loop's earlier rounds."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

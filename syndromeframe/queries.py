@@ -211,10 +211,10 @@ def defect_popcount(spark, sf_dir):
     return bits.popcounts(bits.pack(tables.parity(tables.cube_toggles(spark, sf_dir))))
 
 
-@query(f"SELECT shot_id, n AS n_defects, nodes FROM (SELECT shot_id, count(*) AS n, string_agg(node::VARCHAR, ',' ORDER BY node) AS nodes FROM ({SQUARE_D}) GROUP BY ALL) WHERE n <= 4")
+@query(f"SELECT shot_id, n AS n_defects, nodes FROM (SELECT shot_id, count(*) AS n, string_agg(node::VARCHAR, ',' ORDER BY node) AS nodes FROM ({SQUARE_D}) GROUP BY ALL) WHERE n <= 32")
 def sparse_shots(spark, sf_dir):
     d = tables.parity(tables.square_toggles(spark, sf_dir))
-    s = d.groupBy("shot_id").agg(F.count("*").alias("n_defects"), F.array_sort(F.collect_list("node")).alias("nodes")).filter("n_defects <= 4")
+    s = d.groupBy("shot_id").agg(F.count("*").alias("n_defects"), F.array_sort(F.collect_list("node")).alias("nodes")).filter(F.col("n_defects") <= decode.SPARSE_DEFECTS)
     return s.select("shot_id", "n_defects", F.concat_ws(",", F.col("nodes").cast("array<string>")).alias("nodes"))
 
 
@@ -393,13 +393,10 @@ def _by_defects(sql: str, toggles: str) -> str:
     return f"SELECT n AS n_defects, count(*) AS shots, count(*) AS resolved, 0::BIGINT AS remaining FROM (SELECT t.shot_id, count(d.node) AS n FROM (SELECT DISTINCT shot_id FROM ({toggles})) t LEFT JOIN ({sql}) d USING (shot_id) GROUP BY ALL) GROUP BY ALL"
 
 
-def _summary(toggles: DataFrame, corrections: DataFrame, grid: Grid | None) -> DataFrame:
-    r = verify.resolved(toggles, corrections, grid)
-    return r.groupBy("n_defects").agg(F.count("*").alias("shots"), F.count_if(F.col("resolved")).alias("resolved"), F.sum("remaining").cast("bigint").alias("remaining"))
-
-
 def _decoded(toggles: DataFrame, grid: Grid, **more) -> DataFrame:
-    return _summary(toggles, decode.corrections(decode.decode(toggles, grid, **more)), grid)
+    """Shots are dealt once: the rows that come out of decoding carry what verifying them needs."""
+    r = verify.carried(decode.decode(toggles, grid, carry=True, **more))
+    return r.groupBy("n_defects").agg(F.count("*").alias("shots"), F.count_if(F.col("resolved")).alias("resolved"), F.sum("remaining").cast("bigint").alias("remaining")).withColumn("n_defects", F.col("n_defects").cast("bigint"))
 
 
 @query(_by_defects(CUBE_D, CUBE_T))
@@ -433,35 +430,19 @@ def decode_verify_erasure(spark, sf_dir):
 
 @query(f"SELECT basis, count(*) AS shots, count(*) AS resolved FROM (SELECT DISTINCT shot_id, CASE WHEN (node % 8 + node // 8 % 8) % 2 = 0 THEN 'X' ELSE 'Z' END AS basis FROM ({CUBE_T})) GROUP BY ALL")
 def decode_verify_xz(spark, sf_dir):
-    t = tables.cube_toggles(spark, sf_dir)
-    out, parts, found = None, dual.split(t, tables.CUBE), dual.decode(t, tables.CUBE)
-    for basis in dual.BASES:
-        g = dual.compact(tables.CUBE, basis)
-        own = parts.filter(F.col("basis") == basis).select("shot_id", ids.node(g, "cx", "cy", "t").alias("node"))
-        r = verify.resolved(own, decode.corrections(found.filter(F.col("basis") == basis)), g).agg(F.count("*").alias("shots"), F.count_if(F.col("resolved")).alias("resolved")).select(F.lit(basis).alias("basis"), "shots", "resolved")
-        out = r if out is None else out.unionByName(r)
-    return out
+    r = verify.carried(dual.decode(tables.cube_toggles(spark, sf_dir), tables.CUBE))
+    return r.groupBy("basis").agg(F.count("*").alias("shots"), F.count_if(F.col("resolved")).alias("resolved"))
 
 
 @query(f"SELECT (node % 16 + node // 16) % 3 AS color, count(DISTINCT shot_id) AS shots, count(DISTINCT shot_id) AS resolved FROM ({FACE_T}) GROUP BY ALL")
 def decode_verify_color(spark, sf_dir):
-    t = tables.face_toggles(spark, sf_dir)
-    g, small = tables.FACES, grids.restricted(tables.FACES)
-    x, y, _ = ids.coord(g, "node")
-
-    def shrink(n):
-        nx, ny, nt = ids.coord(g, n)
-        return ids.node(small, F.floor(nx / 3), ny, nt)
-
-    keyed = t.select((F.col("shot_id") * 3 + ids.color(x, y)).alias("shot_id"), shrink(F.col("node")).alias("node"))
-    edges = color.decode(t, g).select((F.col("shot_id") * 3 + F.col("color")).alias("shot_id"), F.explode(F.arrays_zip("u", "v")).alias("e")).select("shot_id", shrink(F.col("e.u")).alias("u"), F.when(F.col("e.v").isNotNull(), shrink(F.col("e.v"))).alias("v"))
-    r = verify.resolved(keyed, edges, small)
-    return r.groupBy((F.col("shot_id") % 3).alias("color")).agg(F.count("*").alias("shots"), F.count_if(F.col("resolved")).alias("resolved"))
+    r = verify.carried(color.decode(tables.face_toggles(spark, sf_dir), tables.FACES))
+    return r.groupBy(F.col("color").cast("bigint").alias("color")).agg(F.count("*").alias("shots"), F.count_if(F.col("resolved")).alias("resolved"))
 
 
-@query(f"SELECT count(*) AS shots, sum(n)::BIGINT AS defects, count(*) AS resolved FROM (SELECT shot_id, count(*) AS n FROM ({SQUARE_D}) GROUP BY ALL HAVING count(*) <= 3)")
+@query(f"SELECT count(*) AS shots, sum(n)::BIGINT AS defects, count(*) AS resolved FROM (SELECT shot_id, count(*) AS n FROM ({SQUARE_D}) GROUP BY ALL HAVING count(*) <= 32)")
 def decode_sparse(spark, sf_dir):
-    rows = decode.decode_sparse(tables.square_toggles(spark, sf_dir), tables.SQUARE, 3).filter("n_defects > 0")
+    rows = decode.decode_sparse(tables.square_toggles(spark, sf_dir), tables.SQUARE).filter("n_defects > 0")
     return rows.agg(F.count("*").alias("shots"), F.sum("n_defects").cast("bigint").alias("defects"), F.count_if(F.col("n_unresolved") == 0).alias("resolved"))
 
 

@@ -35,8 +35,8 @@ def face_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parity(toggles: DataFrame) -> DataFrame:
-    """(shot_id, node) of the nodes toggled an odd number of times."""
-    return toggles.groupBy("shot_id", "node").agg(F.count("*").alias("n")).filter("n % 2 = 1").select("shot_id", "node")
+    """(shot_id, node) of the nodes toggled an odd number of times, dealt by shot for what follows."""
+    return toggles.repartition("shot_id").groupBy("shot_id", "node").agg(F.count("*").alias("n")).filter("n % 2 = 1").select("shot_id", "node")
 
 
 def with_coord(defects: DataFrame, grid: Grid) -> DataFrame:
