@@ -164,6 +164,15 @@ def color(x, y) -> Column:
     return F.pmod(lng(x) + lng(y), F.lit(3))
 
 
+def next_color(c) -> Column:
+    """Red, green, blue and red again."""
+    return F.pmod(lng(c) + 1, F.lit(3))
+
+
+def previous_color(c) -> Column:
+    return F.pmod(lng(c) + 2, F.lit(3))
+
+
 def observable_mask(k) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), col(k).cast("int"))
 

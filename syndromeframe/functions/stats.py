@@ -33,30 +33,43 @@ def threshold_points(rows: DataFrame) -> DataFrame:
         rate(F.col("errors"), F.col("shots"), F.col("rounds")).alias("ler"),
         low.alias("ci_low"),
         high.alias("ci_high"),
-        F.when(F.col("rounds") > 0, F.col("decode_us") / F.col("rounds")).otherwise(F.col("decode_us")).alias("round_us"),
+        F.when(F.col("rounds") > 0, F.col("decode_us") / F.col("rounds")).otherwise(F.col("decode_us")).alias("round_us"),  # null where nothing was timed
     )
 
 
-def nearest_rank(values: str, rank: str, q: float) -> Column:
-    """Percentile q (0 to 100) of an aggregation group by one of three index rules on the n sorted values.
+#: Ranges of values that a key's rows are ranked in.
+RANGES = 1024
 
-    round: q/100 (n - 1), half away from zero; trunc: n q/100; integer: n q div 100; at most the last.
+
+def _index(rank: str, q: float, n: Column) -> Column:
+    """Position of percentile q among n sorted values by one of three rules, at most the last.
+
+    round: q/100 (n - 1), half away from zero; trunc: n q/100; integer: n q div 100.
     """
-    ordered = F.array_sort(F.collect_list(values))
-    n = F.size(ordered)
     at = {"round": F.floor(F.lit(q / 100.0) * (n - 1) + 0.5), "trunc": F.floor(n * F.lit(q / 100.0)), "integer": F.floor(n * F.lit(int(q)) / 100)}[rank]
-    return F.get(ordered, F.least(at, n - 1).cast("int"))
+    return F.least(at, n - 1)
 
 
-def percentiles(rows: DataFrame, key: list[str], value: str, qs=(50, 95, 99), rank: str = "round") -> DataFrame:
-    """Nearest-rank percentiles of groups of any size: rows are numbered by a window, no group is gathered in a list."""
-    w = Window.partitionBy(*key)
-    at = rows.select(*key, F.col(value).alias("value"), (F.row_number().over(w.orderBy(value)) - 1).alias("k"), F.count("*").over(w).alias("n"))
+def percentiles(rows: DataFrame, key: list[str], value: str, qs=(50, 95, 99), ranks=("round",)) -> DataFrame:
+    """(key.., n, mean, low, high, <rank>_p<q>..): nearest-rank percentiles of numbers, of all rules in one pass.
+
+    Equal values are counted first; a key's values are then ranked in RANGES ranges of their own, so that no task holds
+    a whole key. Null values are left out.
+    """
+    each = rows.filter(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("value")).agg(F.count("*").alias("c"))
+    ends = each.groupBy(*key).agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("value")) / F.sum("c")).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+    width = F.when(F.col("high") > F.col("low"), (F.col("value") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
+    dealt = each.join(ends, key).withColumn("range", F.least(F.floor(width * RANGES), F.lit(RANGES - 1)).cast("int"))
+    sizes = dealt.groupBy(*key, "range").agg(F.sum("c").alias("size"))
+    before = sizes.select(*key, "range", (F.sum("size").over(Window.partitionBy(*key).orderBy("range")) - F.col("size")).alias("before"))  # RANGES rows a key
+    inside = F.sum("c").over(Window.partitionBy(*key, "range").orderBy("value")) - F.col("c")
+    at = dealt.withColumn("inside", inside).join(before, [*key, "range"]).withColumn("first", F.col("before") + F.col("inside"))
     picks = []
-    for q in qs:
-        idx = {"round": F.floor(F.lit(q / 100.0) * (F.col("n") - 1) + 0.5), "trunc": F.floor(F.col("n") * F.lit(q / 100.0)), "integer": F.floor(F.col("n") * q / 100)}[rank]
-        picks.append(F.max(F.when(F.col("k") == F.least(idx, F.col("n") - 1), F.col("value"))).alias(f"p{q}"))
-    return at.groupBy(*key).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), *picks)
+    for rank in ranks:
+        for q in qs:
+            idx = _index(rank, q, F.col("n"))
+            picks.append(F.max(F.when((F.col("first") <= idx) & (idx < F.col("first") + F.col("c")), F.col("value"))).alias(f"{rank}_p{q}"))
+    return at.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("n", "mean", "low", "high")], *picks)
 
 
 def suppression(points: DataFrame, p: str = "p") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.grids import Grid
-from ..plans.store import stored
+from ..plans.store import discard, stored
 from .kernel import _find, _union
 
 
@@ -57,12 +57,16 @@ def largest_labels(edges: DataFrame, keys: list[str], rounds: int = 64) -> DataF
     """
     sym = stored(edges.select(*keys, "u", "v").unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = sym.groupBy(*keys, F.col("u").alias("node")).agg(F.greatest(F.max("v"), F.first("u")).alias("label"))
+    last = None
     for _ in range(rounds):
         near = sym.join(labels.select(*keys, F.col("node").alias("v"), "label"), [*keys, "v"]).groupBy(*keys, F.col("u").alias("node")).agg(F.max("label").alias("far"))
         up = labels.join(near, [*keys, "node"]).select(*keys, "node", "label", F.greatest("label", "far").alias("up"))
         jump = up.select(*keys, F.col("node").alias("up"), F.col("up").alias("top"))
         new = stored(up.join(jump, [*keys, "up"], "left").select(*keys, "node", "label", F.greatest("up", F.coalesce("top", "up")).alias("new")))
         labels = new.select(*keys, "node", F.col("new").alias("label"))
+        if last is not None:
+            discard(last)
+        last = new
         if new.filter("new <> label").isEmpty():
             return labels
     raise RuntimeError("labels did not settle")

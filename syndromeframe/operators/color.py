@@ -43,7 +43,7 @@ def _phantoms(grid: Grid, color: int) -> frozenset[int]:
 
 
 def decode(toggles: DataFrame, grid: Grid) -> DataFrame:
-    """(shot_id, color, n_defects, n_unresolved, u, v, defects): each colour restricted to its lattice, all decoded as one graph.
+    """(shot_id, color, n_defects, n_unresolved, u, v, defects, decode_us): each colour restricted to its lattice, all decoded as one graph.
 
     Faces of a colour are neighbours if they follow each other in a row (columns 3 apart), stand above each
     other by their place in the row, or in time; top and bottom rows carry the boundary. u, v and defects are
@@ -58,7 +58,7 @@ def decode(toggles: DataFrame, grid: Grid) -> DataFrame:
         cx, cy, ct = ids.coord(small, n)
         return F.when(n.isNotNull(), ids.node(grid, F.pmod(F.col("part") - cy, F.lit(3)) + 3 * cx, cy, ct))
 
-    return found.select("shot_id", F.col("part").alias("color"), "n_defects", "n_unresolved", *[F.transform(c, full).alias(c) for c in ("u", "v", "defects")])
+    return found.select("shot_id", F.col("part").alias("color"), "n_defects", "n_unresolved", *[F.transform(c, full).alias(c) for c in ("u", "v", "defects")], "decode_us")
 
 
 def frames(decoded: DataFrame, grid: Grid) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import time
 from collections.abc import Callable, Iterable
 from functools import partial
 
@@ -24,8 +25,9 @@ SPARSE_DEFECTS = 32
 FOLD_ROWS = 1 << 20
 
 SCHEMA = "shot_id bigint, n_defects int, n_outside int, n_unresolved int, u array<bigint>, v array<bigint>"
-#: Columns that `carry` adds: the defects, those that stay open, and a bit for each part of the lattice with a toggle.
-CARRIED = ", defects array<bigint>, open array<bigint>, parts int"
+#: Columns that `carry` adds: the defects, those that stay open, a bit for each part of the lattice with a toggle, and
+#: microseconds of the kernel for a shot of its chunk.
+CARRIED = ", defects array<bigint>, open array<bigint>, parts int, decode_us double"
 
 
 def _lists(shot: np.ndarray, values: pa.Array, shots: int) -> pa.ListArray:
@@ -63,7 +65,9 @@ def _chunk(adj: Adjacency | GraphAdjacency, keys: np.ndarray, shot: np.ndarray,
             mine = sparse[holes[0]]
             holes = renumber[holes[0][mine]], holes[1][mine]
         keys, outside, count, shots = keys[kept], outside[kept], count[kept], len(kept)
+    began = time.perf_counter()
     c_shot, c_edge, l_shot, l_node = kernel.decode(adj, s, k, shots, holes, rules)
+    took = 1e6 * (time.perf_counter() - began) / max(shots, 1)
     v = adj.v[c_edge]
     u = adj.public[adj.u[c_edge]]
     order = np.lexsort((np.where(v < 0, np.iinfo(np.int64).max, adj.public[np.maximum(v, 0)]), u, c_shot))
@@ -72,8 +76,8 @@ def _chunk(adj: Adjacency | GraphAdjacency, keys: np.ndarray, shot: np.ndarray,
     cols = [pa.array(keys), pa.array(count.astype(np.int32)), pa.array(outside.astype(np.int32)), pa.array(np.bincount(l_shot, minlength=shots).astype(np.int32)), _lists(c_shot, pa.array(u), shots), _lists(c_shot, far, shots)]
     names = ["shot_id", "n_defects", "n_outside", "n_unresolved", "u", "v"]
     if carry:
-        cols += [_lists(s, pa.array(adj.public[k]), shots), _lists(l_shot, pa.array(adj.public[l_node]), shots), pa.array(touched[kept])]
-        names += ["defects", "open", "parts"]
+        cols += [_lists(s, pa.array(adj.public[k]), shots), _lists(l_shot, pa.array(adj.public[l_node]), shots), pa.array(touched[kept]), pa.array(np.full(shots, took))]
+        names += ["defects", "open", "parts", "decode_us"]
     return pa.RecordBatch.from_arrays(cols, names)
 
 
@@ -108,13 +112,12 @@ def _run(adjacency: Callable[[], Adjacency | GraphAdjacency], with_gone: bool, c
                 rows = slice(starts[i], ends[j - 1])
                 folded = np.zeros(j - i, np.int64)
                 folded[0], extra = (extra, 0) if i == 0 else (0, extra)
-                yield _chunk(adj, held[0][starts[i:j]], np.repeat(np.arange(j - i), ends[i:j] - starts[i:j]), held[1][rows], held[2][rows] if with_gone else None, carry, most, rules_, folded)
+                yield _chunk(adj, held[0][starts[i:j]], np.repeat(np.arange(j - i), ends[i:j] - starts[i:j]), held[1][rows], held[2][rows] if with_gone else None, carry, most, rules, folded)
             held = [x[ends[whole - 1] if whole else 0 :] for x in held]
             if len(held[0]) > FOLD_ROWS and held[0][0] == held[0][-1]:
                 keep, lost = _fold(adj, held[1], held[2] if with_gone else None)
                 held, extra = [x[keep] for x in held], extra + lost
 
-    rules_ = rules
     return run
 
 
@@ -174,7 +177,7 @@ def decode_packed(packed: DataFrame, grid: Grid, erased: Iterable[int] = (), car
 
 
 def decode_parts(toggles: DataFrame, parts: list[tuple[Grid, frozenset[int]]]) -> DataFrame:
-    """(shot_id, part, n_defects, n_unresolved, u, v, defects) for toggles (shot_id, part, node) on several small lattices.
+    """(shot_id, part, n_defects, n_unresolved, u, v, defects, decode_us) for toggles (shot_id, part, node) on several small lattices.
 
     parts: each one's lattice and the nodes that it lacks. All parts of a shot are one disjoint graph, so that one
     shuffle and one decoding serve them all; a part without a toggle has no row.
@@ -184,7 +187,7 @@ def decode_parts(toggles: DataFrame, parts: list[tuple[Grid, frozenset[int]]]) -
     nodes = toggles.filter((F.col("node") >= 0) & (F.col("part") >= 0) & (F.col("part") < len(parts))).select("shot_id", (F.col("node") + low).alias("node"))
     found = _by_shot(_rows(nodes, "shot_id", "node"), partial(lattice.UnionAdjacency, tuple(parts)), True)
     rows = [F.when(F.getbit("parts", F.lit(k)) == 1, _part(k, a, b)) for k, (a, b) in enumerate(spans)]
-    return found.select("shot_id", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("shot_id", "r.*")
+    return found.select("shot_id", "decode_us", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("shot_id", "r.*", "decode_us")
 
 
 def _part(k: int, low: int, high: int) -> F.Column:
@@ -234,6 +237,13 @@ def corrections(decoded: DataFrame) -> DataFrame:
     return decoded.select("shot_id", F.explode(F.arrays_zip("u", "v")).alias("e")).select("shot_id", "e.u", "e.v")
 
 
+def frames(decoded: DataFrame, edges: DataFrame) -> DataFrame:
+    """(shot_id, predicted) of decoded rows: the XOR of the frames of their edges (u, v, frame), a fixed relation of the model."""
+    lut = edges.select("u", "v", "frame")
+    chosen = corrections(decoded).alias("c").join(F.broadcast(lut).alias("l"), (F.col("c.u") == F.col("l.u")) & F.col("c.v").eqNullSafe(F.col("l.v")))
+    return chosen.select("c.shot_id", "l.frame").groupBy("shot_id").agg(F.bit_xor("frame").alias("predicted"))
+
+
 def flat_export(decoded: DataFrame) -> DataFrame:
     """(shot_id, edges): u0, v0, u1, v1, .. with 4294967295 for the boundary, as the packed interfaces expect."""
     pair = F.transform(F.arrays_zip("u", "v"), lambda e: F.array(e["u"], F.coalesce(e["v"], F.lit(4294967295))))

@@ -32,13 +32,13 @@ def _phantoms(grid: Grid, basis: str) -> frozenset[int]:
 
 
 def decode(toggles: DataFrame, grid: Grid) -> DataFrame:
-    """(shot_id, basis, n_defects, n_unresolved, u, v, defects) on the compact lattices of both bases, decoded as one graph."""
+    """(shot_id, basis, n_defects, n_unresolved, u, v, defects, decode_us) on the compact lattices of both bases, decoded as one graph."""
     small = [compact(grid, basis) for basis in BASES]
     own = split(toggles, grid)
     z = F.col("basis") == "Z"
     rows = own.select("shot_id", z.cast("int").alias("part"), F.when(z, ids.node(small[1], "cx", "cy", "t")).otherwise(ids.node(small[0], "cx", "cy", "t")).alias("node"))
     found = decoding.decode_parts(rows, [(g, _phantoms(grid, basis)) for g, basis in zip(small, BASES, strict=True)])
-    return found.select("shot_id", F.when(F.col("part") == 0, "X").otherwise("Z").alias("basis"), "n_defects", "n_unresolved", "u", "v", "defects")
+    return found.select("shot_id", F.when(F.col("part") == 0, "X").otherwise("Z").alias("basis"), "n_defects", "n_unresolved", "u", "v", "defects", "decode_us")
 
 
 def predicted(decoded: DataFrame) -> DataFrame:

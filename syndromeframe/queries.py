@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import bits, ids, stats
-from .operators import clusters, color, decode, dual, lattice, observables, verify
+from .operators import clusters, color, decode, dual, kernel, lattice, matching, observables, verify
 from .plans import grids
 from .plans.grids import Grid
-from .plans.store import stored
+from .plans.store import new_path, stored, write_file
 from .sources import dem, noise, tables
 from .streaming import window
 
@@ -452,11 +452,46 @@ def decode_without_boundary(spark, sf_dir):
     return rows.agg(F.count("*").alias("shots"), F.sum("n_defects").cast("bigint").alias("defects"), F.sum("n_unresolved").cast("bigint").alias("unresolved"))
 
 
-@query(f"SELECT shot_id, edges_even, ends FROM (SELECT t.shot_id, true AS edges_even, true AS ends FROM (SELECT DISTINCT shot_id FROM ({CUBE_T})) t)")
+@query(f"SELECT t.shot_id, coalesce(string_agg(d.node::VARCHAR, ',' ORDER BY d.node), '') AS odd_ends, true AS edges_even, true AS in_range FROM (SELECT DISTINCT shot_id FROM ({CUBE_T})) t LEFT JOIN ({CUBE_D}) d USING (shot_id) GROUP BY t.shot_id")
 def flat_correction_export(spark, sf_dir):
+    """The nodes that occur an odd number of times in a flat correction are the shot's defects."""
     flat = decode.flat_export(decode.decode(tables.cube_toggles(spark, sf_dir), tables.CUBE))
+    ends = F.filter("edges", lambda n: n != 4294967295)
+    odd_ends = F.array_sort(F.filter(F.array_distinct(ends), lambda n: F.size(F.filter(ends, lambda m: m == n)) % 2 == 1))
     inside = F.forall("edges", lambda n: ((n >= 0) & (n < 448)) | (n == 4294967295))
-    return flat.select("shot_id", (F.size("edges") % 2 == 0).alias("edges_even"), inside.alias("ends"))
+    return flat.select("shot_id", F.concat_ws(",", odd_ends.cast("array<string>")).alias("odd_ends"), (F.size("edges") % 2 == 0).alias("edges_even"), inside.alias("in_range"))
+
+
+@query(f"SELECT count(DISTINCT shot_id) AS shots, sum(n % 2)::BIGINT AS defects, sum(n % 2)::BIGINT AS unresolved FROM (SELECT shot_id, count(*) AS n FROM ({CUBE_T}) GROUP BY ALL)")
+def decode_single_node(spark, sf_dir):
+    """A lattice of one node without a boundary has no edge: every defect stays open."""
+    t = tables.cube_toggles(spark, sf_dir).select("shot_id", F.lit(0).alias("node"))
+    found = decode.decode(t, Grid(1, 1).with_boundary("none"))
+    return found.agg(F.count("*").alias("shots"), F.sum("n_defects").cast("bigint").alias("defects"), F.sum("n_unresolved").cast("bigint").alias("unresolved"))
+
+
+_RULES = [kernel.Rules(growth, start) for growth in ("half", "whole") for start in ("boundary", "root")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{r.growth}' AS growth, '{r.start}' AS start, count(*) AS shots, count(*) AS resolved FROM (SELECT DISTINCT shot_id FROM ({SQUARE_T}))" for r in _RULES))
+def decode_rules(spark, sf_dir):
+    """Every way to grow clusters and to root their trees clears every shot."""
+    out = None
+    for r in _RULES:
+        v = verify.carried(decode.decode(tables.square_toggles(spark, sf_dir), tables.SQUARE, carry=True, rules=r))
+        row = v.agg(F.count("*").alias("shots"), F.count_if(F.col("resolved")).alias("resolved")).select(F.lit(r.growth).alias("growth"), F.lit(r.start).alias("start"), "shots", "resolved")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(
+    f"WITH d AS (SELECT *, least(x, 7 - x, y, 7 - y) + 1 AS o FROM ({CUBE_XYT})), n AS (SELECT shot_id, count(*) AS n FROM d GROUP BY ALL HAVING count(*) <= 2) "
+    "SELECT shot_id, 1 AS n_defects, o::BIGINT AS weight FROM d JOIN n USING (shot_id) WHERE n = 1 UNION ALL "
+    "SELECT a.shot_id, 2, least(abs(a.x - b.x) + abs(a.y - b.y) + abs(a.t - b.t), a.o + b.o)::BIGINT FROM d a JOIN d b ON a.shot_id = b.shot_id AND a.node < b.node JOIN n ON n.shot_id = a.shot_id WHERE n = 2"
+)
+def matching_least_weight(spark, sf_dir):
+    m = matching.decode(tables.cube_toggles(spark, sf_dir), tables.CUBE, 2).filter("n_defects > 0")
+    return m.select("shot_id", "n_defects", F.col("weight").cast("bigint").alias("weight"))
 
 
 # --- observables --------------------------------------------------------------------------------------------------
@@ -510,11 +545,8 @@ def _rank_sql(name: str, idx: str) -> str:
 
 @query("SELECT * FROM (" + _rank_sql("round", "floor({q} / 100.0 * (n - 1) + 0.5)") + ") JOIN (" + _rank_sql("trunc", "floor(n * ({q} / 100.0::DOUBLE))") + ") USING (l_returnflag) JOIN (" + _rank_sql("integer", "n * {q} // 100") + ") USING (l_returnflag)")
 def latency_nearest_rank(spark, sf_dir):
-    rows, out = tables.load(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice"), None
-    for rank in ("round", "trunc", "integer"):
-        p = stats.percentiles(rows, ["l_returnflag"], "l_extendedprice", rank=rank).select("l_returnflag", *[F.col(f"p{q}").alias(f"{rank}_p{q}") for q in (50, 95, 99)])
-        out = p if out is None else out.join(p, "l_returnflag")
-    return out
+    p = stats.percentiles(tables.load(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice"), ["l_returnflag"], "l_extendedprice", ranks=("round", "trunc", "integer"))
+    return p.select("l_returnflag", *[f"{rank}_p{q}" for rank in ("round", "trunc", "integer") for q in (50, 95, 99)])
 
 
 _LAMBDA = f"SELECT p_milli, distance AS d_low, d_high, CASE WHEN ler > 0 AND ler_high > 0 THEN ler / ler_high END AS lam, CASE WHEN ler > 0 AND ler_high > 0 THEN ler / ler_high * sqrt((width / (2 * ler)) ** 2 + (width_high / (2 * ler_high)) ** 2) END AS err FROM (SELECT *, ci_high - ci_low AS width, lead(distance) OVER w AS d_high, lead(ler) OVER w AS ler_high, lead(ci_high - ci_low) OVER w AS width_high FROM ({RATED}) WINDOW w AS (PARTITION BY p_milli ORDER BY distance)) WHERE d_high IS NOT NULL"
@@ -614,9 +646,9 @@ def dem_counts(spark, sf_dir):
     return dem.counts(dem.of_text(spark, MODEL)).select("detectors", "observables")
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 'syntax'), (1, 'probability'), (2, 'detector'), (3, 'detector'), (4, 'observable')) e(line, kind)")
+@query("SELECT * FROM (VALUES (0::BIGINT, 'syntax'), (1, 'probability'), (2, 'detector'), (3, 'detector'), (4, 'observable'), (6, 'unexpected_end'), (9, 'unexpected_end')) e(line, kind)")
 def dem_errors(spark, sf_dir):
-    bad = "error 0.1 D0\nerror(x) D0\ndetector(0,0)\nerror(0.1) Dx\nerror(0.1) D0 Lx\nerror(0.1) D0"
+    bad = "error 0.1 D0\nerror(x) D0\ndetector(0,0)\nerror(0.1) Dx\nerror(0.1) D0 Lx\nerror(0.1) D0\nerror(0.1\nrepeat 2 {\nerror(0.1) D0\nerror(0.1) D1"
     return dem.errors(dem.of_text(spark, bad)).select(F.col("line").cast("bigint").alias("line"), "kind")
 
 
@@ -812,9 +844,7 @@ def packed_decode(spark, sf_dir):
 
 @query(f"SELECT count(DISTINCT shot_id) AS shots, 0::BIGINT AS remaining FROM ({CUBE_T})")
 def packed_verify(spark, sf_dir):
-    t = tables.cube_toggles(spark, sf_dir)
-    d = t.groupBy("shot_id").agg(F.collect_list("node").alias("defects"))
-    r = verify.packed_remaining(decode.decode(t, tables.CUBE).join(d, "shot_id"))
+    r = verify.packed_remaining(decode.decode(tables.cube_toggles(spark, sf_dir), tables.CUBE, carry=True))
     return r.agg(F.count("*").alias("shots"), F.sum("remaining").cast("bigint").alias("remaining"))
 
 
@@ -832,27 +862,144 @@ def decode_verify_shot_erasures(spark, sf_dir):
     return shots.agg(F.count("*").alias("shots")).crossJoin(r.agg(F.count_if(F.col("resolved")).alias("resolved")))  # one row each
 
 
-@query("SELECT * FROM (VALUES (3::BIGINT, true, true), (5, true, true)) s(distance, verified, better)")
+def _study_sql(distances: tuple[int, ...], rates: tuple[float, ...], shots: int, columns: str) -> str:
+    """Points of a study from the same noise: shots whose own observables are not zero, by distance and rate."""
+    parts = []
+    for d in distances:
+        p = "CASE s.i // " + str(shots) + " " + " ".join(f"WHEN {k} THEN {r}" for k, r in enumerate(rates)) + " END"
+        fired = _hits(f"SELECT s.i AS shot_id, edge, frame, {p} AS p FROM range({shots * len(rates)}) s(i), ({_locations_sql(grids.rotated_surface(d), True)})", "p")
+        flips = f"SELECT shot_id, bit_xor(frame) AS flips FROM ({fired}) GROUP BY ALL"
+        parts.append(f"SELECT {d}::BIGINT AS distance, shot_id // {shots} AS rate, flips FROM (SELECT i AS shot_id FROM range({shots * len(rates)}) r(i)) LEFT JOIN ({flips}) USING (shot_id)")
+    return f"SELECT distance, rate::BIGINT AS rate, count(*) AS shots, count(*) FILTER (flips <> 0) AS no_decoder_errors, {columns} FROM ({' UNION ALL '.join(parts)}) GROUP BY distance, rate"
+
+
+def _rate(p: DataFrame, rates: tuple[float, ...]) -> F.Column:
+    return sum((F.when(F.abs(F.col("p") - r) < 1e-9, k).otherwise(0) for k, r in enumerate(rates)), F.lit(0)).cast("bigint").alias("rate")
+
+
+_RATES = (0.002, 0.004)
+
+
+@query(_study_sql((3, 5), _RATES, 2000, "true AS verified, true AS better"))
 def threshold_study(spark, sf_dir):
     from . import study
 
-    p = study.threshold_study(spark, [3, 5], [0.002], 3000)
-    return p.select("distance", (F.col("verified") == F.col("shots")).alias("verified"), (F.col("errors") < F.col("no_decoder_errors")).alias("better"))
+    p = study.threshold_study(spark, [3, 5], list(_RATES), 2000)
+    return p.select("distance", _rate(p, _RATES), "shots", "no_decoder_errors", (F.col("verified") == F.col("shots")).alias("verified"), (F.col("errors") < F.col("no_decoder_errors")).alias("better"))
 
 
-@query("SELECT * FROM (VALUES (3::BIGINT, true), (5, true)) s(distance, verified)")
+@query(_study_sql((3, 5), _RATES, 2000, "true AS verified"))
 def dual_study(spark, sf_dir):
     from . import study
 
-    p = study.threshold_study(spark, [3, 5], [0.002], 3000, two_bases=True)
-    return p.select("distance", (F.col("verified") == F.col("shots")).alias("verified"))
+    p = study.threshold_study(spark, [3, 5], list(_RATES), 2000, two_bases=True)
+    return p.select("distance", _rate(p, _RATES), "shots", "no_decoder_errors", (F.col("verified") == F.col("shots")).alias("verified"))
 
 
-@query("SELECT 300::BIGINT AS streams, 5::BIGINT AS rounds, 0::BIGINT AS remaining")
+def _stream_sql(d: int, rates: tuple[float, ...], streams: int) -> str:
+    parts = []
+    for k, r in enumerate(rates):
+        fired = _hits(f"SELECT s.i AS shot_id, edge, u, v, {r} AS p FROM range({streams}) s(i), ({_locations_sql(grids.rotated_surface(d), False)})", "p")
+        ends = f"SELECT shot_id, e FROM (SELECT shot_id, unnest([u, v]) AS e FROM ({fired})) WHERE e IS NOT NULL GROUP BY ALL HAVING count(*) % 2 = 1"
+        parts.append(f"SELECT {k}::BIGINT AS rate, {streams}::BIGINT AS shots, {d}::BIGINT AS rounds, count(*) AS defects, 0::BIGINT AS remaining FROM ({ends})")
+    return " UNION ALL ".join(parts)
+
+
+@query(_stream_sql(5, (0.01, 0.02), 300))
 def stream_study(spark, sf_dir):
     from . import study
 
-    return study.stream_study(spark, 5, 0.01, 300).select(F.col("streams").cast("bigint").alias("streams"), F.col("rounds").cast("bigint").alias("rounds"), F.col("remaining").cast("bigint").alias("remaining"))
+    p = study.stream_study(spark, 5, [0.01, 0.02], 300)
+    return p.select(_rate(p, (0.01, 0.02)), "shots", "rounds", "defects", F.col("remaining").cast("bigint").alias("remaining"))
+
+
+_COLOR_HITS = "SELECT shot_id, edge % 5 AS x, edge // 5 % 5 AS y FROM (" + _hits("SELECT i // 125 AS shot_id, i % 125 AS edge FROM range(125000) r(i)", "0.01") + ")"
+
+
+@query(f"SELECT 1000::BIGINT AS shots, sum(r)::BIGINT AS red, sum(g)::BIGINT AS green, sum(b)::BIGINT AS blue, count(*) FILTER (flips <> 0) AS flipped, 1000::BIGINT AS resolved FROM (SELECT shot_id, count(*) FILTER ((x + y) % 3 = 0) AS r, count(*) FILTER ((x + y) % 3 = 1) AS g, count(*) FILTER ((x + y) % 3 = 2) AS b, bit_xor(CASE WHEN x = 0 AND (x + y) % 3 < 2 THEN 1 + (x + y) % 3 ELSE 0 END) AS flips FROM ({_COLOR_HITS}) GROUP BY ALL)")
+def color_study(spark, sf_dir):
+    from . import study
+
+    return study.color_study(spark, [5], [0.01], 1000).select("shots", "red", "green", "blue", "flipped", "resolved")
+
+
+_CHAIN = ["error({p}) D0 L0", "error({p}) D0 D1", "error({p}) D1 D2", "error({p}) D2 D3", "error({p}) D3", "detector(0, 0, 0) D0", "detector(1, 0, 0) D1", "detector(2, 0, 0) D2", "detector(3, 0, 0) D3"]
+_CHAIN_P = (0.1, 0.2)
+
+
+@query(" UNION ALL ".join(f"SELECT 5::BIGINT AS distance, {p}::DOUBLE AS p, 4000::BIGINT AS shots, count(*) FILTER (n >= 3) AS errors, 2::BIGINT AS boundary, 3::BIGINT AS edge, 4::BIGINT AS detectors FROM (SELECT shot_id, count(*) AS n FROM (" + _hits("SELECT s.i AS shot_id, e.i AS edge FROM range(4000) s(i), range(5) e(i)", str(p)) + ") GROUP BY ALL)" for p in _CHAIN_P))
+def model_study(spark, sf_dir):
+    """Model files of a chain of four detectors: its decoder fails exactly where most of the five errors occur."""
+    from . import study
+
+    folder = new_path(spark, "models")
+    for p in _CHAIN_P:
+        write_file(spark, f"{folder}/chain_d5_r1_p{p}.dem", "\n".join(_CHAIN).replace("{p}", str(p)))
+    found = study.model_study(spark, folder, 4000)
+    return found.select("distance", "p", "shots", "errors", "boundary", "edge", "detectors")
+
+
+@query(f"SELECT shot_id, bit_xor(CASE WHEN v - u = 1 AND u % 8 = 3 THEN 2 WHEN v - u = 8 AND u // 8 % 8 = 3 THEN 1 ELSE 0 END)::BIGINT AS circuit_level, 0::BIGINT AS disabled FROM ({_PATHS}) GROUP BY ALL")
+def circuit_level_observables(spark, sf_dir):
+    """Observables of the edges that a correction crosses, by a table of the edges, and none with the mode switched off."""
+    path = decode.manhattan(_pairs(spark, sf_dir), tables.CUBE, ["shot_id"])
+    e = lattice.edges(spark, tables.CUBE).filter("v IS NOT NULL")
+    bit = F.when((F.col("v") - F.col("u") == 1) & (F.col("u") % 8 == 3), 2).when((F.col("v") - F.col("u") == 8) & (F.floor(F.col("u") / 8) % 8 == 3), 1).otherwise(0)
+    inner = e.select("u", "v", bit.alias("observable"))
+    outer = lattice.nodes(spark, tables.CUBE).filter("x = 0").select("node", F.lit(2).alias("observable"))
+    on = observables.predicted(path, tables.CUBE, observables.Mode.CIRCUIT_LEVEL, (inner, outer)).withColumnRenamed("predicted", "circuit_level")
+    off = observables.predicted(path, tables.CUBE, observables.Mode.DISABLED).withColumnRenamed("predicted", "disabled")
+    return on.join(off, "shot_id")
+
+
+@query(f"SELECT shot_id, color, bit_xor(CASE WHEN color < 2 THEN 1 + color ELSE 0 END)::BIGINT AS flips FROM ({FACE_C}) GROUP BY ALL")
+def color_frames(spark, sf_dir):
+    """Each defect led straight to the first row's boundary flips the observable of its colour."""
+    d = tables.parity(tables.face_toggles(spark, sf_dir))
+    x, y, _ = ids.coord(tables.FACES, "node")
+    edge = F.struct(ids.node(tables.FACES, x, F.lit(0)).alias("u"), F.lit(None).cast("bigint").alias("v"))
+    rows = d.select("shot_id", ids.color(x, y).alias("color"), edge.alias("e")).groupBy("shot_id", "color").agg(F.collect_list("e").alias("e"))
+    return color.frames(rows.select("shot_id", "color", F.col("e.u").alias("u"), F.col("e.v").alias("v")), tables.FACES)
+
+
+@query(f"WITH c AS (SELECT p.shot_id, p.u, p.v FROM ({_PATHS}) p JOIN ({edges_sql(tables.CUBE)}) e ON e.u = p.u AND e.v = p.v WHERE edge_id % 7 <> 0) SELECT shot_id, node FROM (SELECT shot_id, unnest([u, v]) AS node FROM c UNION ALL SELECT shot_id, unnest([a, b]) FROM ({_PAIRS})) GROUP BY ALL HAVING count(*) % 2 = 1")
+def incidence_parity(spark, sf_dir):
+    """Where chosen edges, every seventh left out, do not explain the syndrome."""
+    pairs, e = _pairs(spark, sf_dir), lattice.edges(spark, tables.CUBE)
+    choice = decode.manhattan(pairs, tables.CUBE, ["shot_id"]).join(F.broadcast(e.filter("v IS NOT NULL")), ["u", "v"]).filter("edge_id % 7 <> 0").select("shot_id", "edge_id")
+    return verify.edge_parity(choice, F.broadcast(e), pairs.select("shot_id", F.explode(F.array("a", "b")).alias("node")))
+
+
+@query("SELECT format('{},{:.6f},{},{},{},{},{},{:.6e},{:.6e},{:.6e},{:.3f},{:.3f},{:.3f}', distance, 0.001::DOUBLE, distance, shots, x_errors, z_errors, combined_errors, x_errors / (shots * distance)::DOUBLE, z_errors / (shots * distance)::DOUBLE, combined_errors / (shots * distance)::DOUBLE, distance * 0.5::DOUBLE, distance * 0.25::DOUBLE, distance * 0.75::DOUBLE) AS line FROM (SELECT (3 + 2 * (p_size % 4))::BIGINT AS distance, count(*) FILTER (p_partkey % 7 = 0) AS x_errors, count(*) FILTER (p_partkey % 11 = 0) AS z_errors, count(*) FILTER (p_partkey % 7 = 0 OR p_partkey % 11 = 0) AS combined_errors, count(*) AS shots FROM part GROUP BY ALL)")
+def dual_csv(spark, sf_dir):
+    from .sources import sinks
+
+    x, z = F.col("part") % 7 == 0, F.col("part") % 11 == 0
+    rows = tables.study_points(spark, sf_dir).groupBy("distance").agg(F.count_if(x).alias("x_errors"), F.count_if(z).alias("z_errors"), F.count_if(x | z).alias("combined_errors"), F.count("*").alias("shots")).withColumn("rounds", F.col("distance"))
+    return sinks.dual_lines(stats.dual_points(rows).withColumns({"p": F.lit(0.001), "x_us": F.col("distance") * 0.5, "z_us": F.col("distance") * 0.25}))
+
+
+@query("SELECT w AS size, d AS distance, (" + "128 + n * 8 + b * 124 + e * 40 + ((b + 63) // 64) * 32 + ((e + 63) // 64) * 8 + 17 * 64 + 16 * w + 20 * side * side + 3 * 64)::BIGINT AS stream_bytes, (3 * (4096 * 4 + 64) + ((1 << ceil(log2(d))::INTEGER)::BIGINT ** 3 + 1) * 4)::BIGINT AS color_bytes FROM (SELECT *, (n + 63) // 64 AS b, (n * 4 + 63) // 64 AS e FROM (SELECT *, (CASE WHEN w > 1 THEN s * s * s ELSE s * s END) + 1 AS n FROM (SELECT *, d - 1 AS side, (1 << ceil(log2(greatest(d - 1, CASE WHEN w > 1 THEN w ELSE 1 END)))::INTEGER)::BIGINT AS s FROM (SELECT w.i AS w, d.i AS d FROM range(1, 6) w(i), range(3, 14, 2) d(i)))))")
+def window_and_color_sizes(spark, sf_dir):
+    rows = [(w, d, grids.streaming_buffer_size(d - 1, d - 1, w), grids.color_buffer_size(grids.color_code(d))) for w in range(1, 6) for d in range(3, 14, 2)]
+    return spark.createDataFrame(rows, "size bigint, distance bigint, stream_bytes bigint, color_bytes bigint")
+
+
+@query(f"SELECT mech_id, 'unsupported' AS status FROM ({_MECH_D}) WHERE len(d) > 2")
+def dem_unsupported(spark, sf_dir):
+    return decode.unsupported(dem.mechanisms(dem.of_text(spark, MODEL)))
+
+
+@query("SELECT c::BIGINT AS color, ((c + 1) % 3)::BIGINT AS next, ((c + 2) % 3)::BIGINT AS previous FROM range(3) r(c)")
+def color_cycle(spark, sf_dir):
+    c = spark.range(3).select(F.col("id").alias("color"))
+    return c.select("color", ids.next_color("color").alias("next"), ids.previous_color("color").alias("previous"))
+
+
+@query("SELECT shot_id, word_idx, " + signed("uword") + " AS word FROM (" + packed("SELECT shot_id, (edge // 17 * 32 + edge % 17)::BIGINT AS node FROM (" + _hits("SELECT i // 289 AS shot_id, i % 289 AS edge FROM range(144500) r(i)", "0.01") + ")") + ")")
+def noise_2d_packed(spark, sf_dir):
+    """Independent defects on a plane lattice, as packed words."""
+    return bits.pack(noise.uniform(spark, tables.SQUARE, 0.01, 500))
 
 
 @query("SELECT w.i AS size, d.i AS distance, greatest(1, d.i - 1)::BIGINT AS width, ((greatest(1, d.i - 1) * greatest(1, d.i - 1) + 63) // 64)::BIGINT AS blocks, (s * s * w.i + 1)::BIGINT AS alloc_nodes FROM range(1, 6) w(i), range(2, 14) d(i), LATERAL (SELECT (1 << ceil(log2(greatest(d.i - 1, w.i, 1)))::INTEGER)::BIGINT AS s)")
@@ -896,12 +1043,14 @@ def solved_share(spark, sf_dir):
     return n.select(F.round(stats.solved_percent(F.col("d"), F.col("r")), 6).alias("solved"))
 
 
-@query(f"SELECT count(DISTINCT shot_id) AS \"both\", 0::BIGINT AS ours_only, 0::BIGINT AS theirs_only, 0::BIGINT AS neither FROM ({SQUARE_T})")
+@query(f"SELECT count(*) AS \"both\", 0::BIGINT AS ours_only, 0::BIGINT AS theirs_only, 0::BIGINT AS neither, 0::BIGINT AS lighter FROM (SELECT t.shot_id, count(d.node) AS n FROM (SELECT DISTINCT shot_id FROM ({SQUARE_T})) t LEFT JOIN ({SQUARE_D}) d USING (shot_id) GROUP BY ALL) WHERE n <= 12")
 def decoder_parity(spark, sf_dir):
+    """Clusters against exact matching of the sparse shots: both clear all, and no correction has less than the least weight."""
     t = tables.square_toggles(spark, sf_dir)
-    ours = verify.resolved(t, decode.corrections(decode.decode(t, tables.SQUARE)), tables.SQUARE)
-    theirs = verify.resolved(t, decode.corrections(decode.decode_graph(t, lattice.edges(spark, tables.SQUARE))), tables.SQUARE)
-    return stats.parity(ours, theirs)
+    ours = verify.carried(decode.decode(t, tables.SQUARE, carry=True, most=matching.MOST))
+    theirs = matching.decode(t, tables.SQUARE)
+    lighter = ours.join(theirs.select("shot_id", "weight"), "shot_id").agg(F.count_if(F.size("u") < F.col("weight")).alias("lighter"))
+    return stats.parity(ours, theirs).crossJoin(lighter)  # one row each
 
 
 @query(f"SELECT format('{{}},{{:.6f}},3,{{}},{{}},{{}},{{:.6e}},{{:.6e}},{{:.6e}},0.000,0.000,0.000,{{:.3f}},1.500,2784', distance, p_milli / 1000.0::DOUBLE, distance, shots, errors, ler, ci_low, ci_high, distance * 1.5::DOUBLE) AS line FROM ({RATED})")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import noise
 
-_NUMBER = r"[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?"
+
+#: The line that stands for the missing end of a repeat block.
+UNCLOSED = "repeat {"
 
 
 def expand(text: str) -> str:
@@ -26,9 +29,9 @@ def expand(text: str) -> str:
             out[-1] += body * times.pop()
         else:
             out[-1].append(line)
-    while times:  # a block without its end counts once
+    while times:  # a block without its end counts once, and says so in a line that errors() finds
         body = out.pop()
-        out[-1] += body
+        out[-1] += [*body, UNCLOSED]
         times.pop()
     return "\n".join(out[0])
 
@@ -36,9 +39,12 @@ def expand(text: str) -> str:
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(dem_id, line, text) of the *.dem files of a folder; a file is one model and must fit a row."""
     raw = spark.read.option("pathGlobFilter", "*.dem").text(path, wholetext=True).select(F.input_file_name().alias("dem_id"), "value")
-    blocks = F.udf(lambda text: expand(text), "string")  # nested blocks need a parser; files without them stay in the JVM
-    expanded = raw if raw.filter(F.col("value").contains("repeat")).isEmpty() else raw.withColumn("value", blocks("value"))
-    return expanded.select("dem_id", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+
+    @F.arrow_udf("string")
+    def blocks(texts: pa.Array) -> pa.Array:  # nested blocks need a parser
+        return pa.array([expand(x) for x in texts.to_pylist()], pa.string())
+
+    return raw.select("dem_id", F.posexplode(F.split(blocks("value"), r"\r?\n")).alias("line", "text"))
 
 
 def of_text(spark: SparkSession, text: str, dem_id: str = "inline") -> DataFrame:
@@ -111,11 +117,15 @@ def mechanisms(rows: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def errors(rows: DataFrame) -> DataFrame:
-    """(dem_id, line, text, kind) of lines that can't be read: syntax, probability, detector or observable."""
+    """(dem_id, line, text, kind) of lines that can't be read: syntax, probability, detector, observable or unexpected_end.
+
+    A line that opens a bracket and a repeat block that isn't closed end unexpectedly.
+    """
     k, t = _kind(), F.trim("text")
     bad_p = F.expr(r"try_cast(regexp_extract(text, '\\(([^)]*)\\)', 1) AS double)").isNull()
     kind = (
         F.when((t == "") | t.startswith("#") | t.startswith("}"), None)
+        .when((t == UNCLOSED) | (t.contains("(") & ~t.contains(")")), "unexpected_end")
         .when(k == "", "syntax")
         .when((k == "error") & ~t.rlike(r"^error\s*\("), "syntax")
         .when((k == "error") & bad_p, "probability")

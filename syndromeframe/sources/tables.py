@@ -57,11 +57,6 @@ def event_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def erased_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node) of the first layer that suppliers erase in every shot; at most 64 rows."""
-    return load(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 64).cast("bigint").alias("node")).distinct()
-
-
 def study_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(part, distance, p, errors, shots) for statistics."""
     return load(spark, sf_dir, "part").select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -213,6 +214,50 @@ def replay(rounds: DataFrame, width: int, height: int, size: int) -> DataFrame:
     return rows.mapInArrow(run, SCHEMA)
 
 
+LATENCY = "stream_id bigint, rounds bigint, commits bigint, ingest_us double, commit_us double, flush_us double"
+
+
+def latencies(rounds: DataFrame, width: int, height: int, size: int) -> DataFrame:
+    """(stream_id, rounds, commits, ingest_us, commit_us, flush_us): what one decoder by stream takes.
+
+    ingest_us and commit_us are means over the rounds that only enter the window and over those that push one out,
+    flush_us is the end's. Each stream is decoded by itself, as a live one would be.
+    """
+
+    def timed(stream: int, cols: list[np.ndarray]) -> tuple:
+        decoder, took, done, commits = WindowDecoder(width, height, size), [0.0, 0.0], [0, 0], 0
+        starts = np.flatnonzero(np.diff(cols[0], prepend=cols[0][:1] - 1))
+        for i, j in zip(starts, [*starts[1:], len(cols[0])], strict=True):
+            on = np.flatnonzero(cols[3][i:j].astype(bool)) + i
+            cells, began, full = list(zip(cols[1][on].tolist(), cols[2][on].tolist(), strict=True)), time.perf_counter(), decoder.is_full
+            commits += len(list(decoder.push(int(cols[0][i]), cells)))
+            took[full] += time.perf_counter() - began
+            done[full] += 1
+        began = time.perf_counter()
+        commits += len(list(decoder.flush()))
+        flush = time.perf_counter() - began
+        return stream, len(starts), commits, *(1e6 * t / max(n, 1) for t, n in zip(took, done, strict=True)), 1e6 * flush
+
+    def run(batches):
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+                held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            if held is None or not len(held[0]):
+                continue
+            starts = np.flatnonzero(np.append(True, held[0][1:] != held[0][:-1]))
+            ends = np.append(starts[1:], len(held[0]))
+            whole = len(starts) - (batch is not None)
+            rows = [timed(int(held[0][i]), [c[i:j] for c in held[1:]]) for i, j in zip(starts[:whole], ends[:whole], strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.float64()] * 3, strict=True)], ["stream_id", "rounds", "commits", "ingest_us", "commit_us", "flush_us"])
+            held = [c[ends[whole - 1] if whole else 0 :] for c in held]
+
+    rows = rounds.select("stream_id", "round", "x", "y", "on").filter("stream_id IS NOT NULL AND round IS NOT NULL").repartition("stream_id").sortWithinPartitions("stream_id", "round")
+    return rows.mapInArrow(run, LATENCY)
+
+
 class WindowProcessor(StatefulProcessor):
     """State of one stream: the window as JSON. A row with end_of_stream flushes and clears it."""
 
