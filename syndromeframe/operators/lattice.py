@@ -119,7 +119,20 @@ def spans(parts: list[Grid]) -> list[tuple[int, int]]:
     return out
 
 
-class GraphAdjacency:
+class _Tables:
+    """What the kernel reads of an adjacency, made once."""
+
+    def tables(self, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """(edges at each node, one past the last edge where there is none; whether the node is an edge's first end)."""
+        if getattr(self, "_tables", None) is None or self._tables[0].dtype != kind:
+            none = self.at < 0
+            slots = np.where(none, len(self.u), self.at)
+            first = np.append(self.u, -1)[slots] == np.arange(len(self.public))[:, None]
+            self._tables = slots.astype(kind), first
+        return self._tables
+
+
+class GraphAdjacency(_Tables):
     """As Adjacency for any edges (u, v; v = -1 at the boundary) in the order of their ids; nodes are those they name."""
 
     spans = _ALL
@@ -135,7 +148,7 @@ class GraphAdjacency:
         return np.where(self.public[k] == public, k, -1) if len(self.public) else np.full(len(public), -1)
 
 
-class Adjacency:
+class Adjacency(_Tables):
     """The edges of a lattice as arrays for the decoding kernel: nodes are numbered densely in (t, y, x) order."""
 
     spans = _ALL
@@ -190,7 +203,7 @@ class Adjacency:
         return np.where(ok, (t * g.height + y) * g.width + x, -1)
 
 
-class UnionAdjacency:
+class UnionAdjacency(_Tables):
     """Several lattices side by side as one graph: each one's ids, nodes and edges follow those of the one before."""
 
     def __init__(self, parts: tuple[tuple[Grid, frozenset[int]], ...]):

@@ -65,7 +65,7 @@ def _peel_group(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     adj = GraphAdjacency(u[edge][order], v[edge][order])
     n, m = len(adj.public), len(adj.u)
     parent = np.full(n, n - 1)  # the largest node is the root
-    _, chosen, _, _ = kernel._peel(adj, np.arange(m), np.append(np.full(m, 2), 0), parent, np.arange(n), adj.to_dense(u[~edge]))
+    _, chosen, _, _ = kernel._peel(adj, np.arange(m), np.append(np.full(m, kernel.FULL), kernel.GONE), parent, np.arange(n), adj.to_dense(u[~edge]))
     far = adj.v[chosen]
     return pa.table({"shot_id": pa.array([key[0].as_py()] * len(chosen), pa.int64()), "u": pa.array(adj.public[adj.u[chosen]]), "v": pa.array(adj.public[np.maximum(far, 0)], mask=far < 0)})
 
