@@ -274,10 +274,19 @@ CHUNK = 512
 _SPAN = "struct<start:bigint,less_end:bigint,less_priority:int,label:string>"
 
 
+def _once(x: Column, f) -> Column:
+    """f(x) with x worked out once, however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def _in_chunks(items: Column, zero: Column, step) -> Column:
     """step(state, chunk) over the items in chunks of CHUNK; no chunk for an empty array."""
-    starts = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int"))
-    return F.when(F.size(items) > 0, F.aggregate(starts, zero, lambda state, c: step(state, F.slice(items, c * CHUNK + 1, CHUNK)))).otherwise(zero)
+
+    def over(found):
+        starts = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int"))
+        return F.when(F.size(found) > 0, F.aggregate(starts, zero, lambda state, c: step(state, F.slice(found, c * CHUNK + 1, CHUNK)))).otherwise(zero)
+
+    return _once(items, over)
 
 
 def _spans(low: Column) -> Column:
@@ -285,8 +294,8 @@ def _spans(low: Column) -> Column:
     table = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(key).alias("key"), F.lit(priority).alias("priority"), F.lit(rx).alias("rx")) for label, key, priority, rx in rules()])
 
     def places(r):
-        between, hit = F.split(low, r["rx"]), F.regexp_extract_all(low, r["rx"], F.lit(0))
-        steps = F.arrays_zip(F.transform(F.slice(between, 1, F.size(hit)), _words).alias("gap"), F.transform(hit, _words).alias("width"))
+        between, hits = F.split(low, r["rx"]), F.regexp_extract_all(low, r["rx"], F.lit(0))
+        steps = _once(hits, lambda hit: F.arrays_zip(F.transform(F.slice(between, 1, F.size(hit)), _words).alias("gap"), F.transform(hit, _words).alias("width")))
         spans = F.array().cast(f"array<{_SPAN}>")
         zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("done"))
 
@@ -298,11 +307,14 @@ def _spans(low: Column) -> Column:
 
         def chunk(state, part):
             inner = F.aggregate(part, F.struct(state["at"].alias("at"), spans.alias("found")), one)
-            return F.struct(inner["at"].alias("at"), F.concat(state["done"], F.array(inner["found"])).alias("done"))
+            return _once(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(state["done"], F.array(x["found"])).alias("done")))
 
         return F.flatten(_in_chunks(steps, zero, chunk)["done"])
 
-    applying = F.filter(table, lambda r: F.contains(low, r["key"]) & F.regexp_like(low, r["rx"]))
+    # many rules share a keyword: each one is looked for once
+    keys = F.array(*[F.lit(key) for key in dict.fromkeys(key for _, key, _, _ in rules())])
+    present = F.filter(keys, lambda key: F.contains(low, key))
+    applying = _once(present, lambda found: F.filter(table, lambda r: F.array_contains(found, r["key"]) & F.regexp_like(low, r["rx"])))
     return F.array_sort(F.flatten(F.transform(applying, places)))
 
 
@@ -317,13 +329,11 @@ def _resolved(spans: Column) -> Column:
 
     def chunk(state, part):
         # only the last one kept decides on the next; those before it are done
-        kept = F.aggregate(part, state["last"], step)
-        n = F.size(kept)
-        return F.struct(F.slice(kept, n, 1).alias("last"), F.concat(state["done"], F.array(F.slice(kept, 1, n - 1))).alias("done"))
+        done = lambda kept: F.struct(F.slice(kept, F.size(kept), 1).alias("last"), F.concat(state["done"], F.array(F.slice(kept, 1, F.size(kept) - 1))).alias("done"))
+        return _once(F.aggregate(part, state["last"], step), done)
 
     zero = F.struct(none.alias("last"), F.array().cast(f"array<array<{_SPAN}>>").alias("done"))
-    state = _in_chunks(spans, zero, chunk)
-    return F.concat(F.flatten(state["done"]), state["last"])
+    return _once(_in_chunks(spans, zero, chunk), lambda state: F.concat(F.flatten(state["done"]), state["last"]))
 
 
 def scan(docs: DataFrame) -> DataFrame:
