@@ -130,9 +130,9 @@ def clear_lowest(w) -> Column:
 
 
 def next_pow2(n) -> Column:
-    """Least power of two that is n or more, exactly for n up to 2^31."""
+    """Least power of two that is n or more, exactly for n up to 2^62."""
     n = lng(n) - 1
-    for shift in (1, 2, 4, 8, 16):
+    for shift in (1, 2, 4, 8, 16, 32):
         n = n.bitwiseOR(F.shiftright(n, shift))
     return F.when(n < 0, 1).otherwise(n + 1).cast("bigint")
 
@@ -221,10 +221,13 @@ def even_weight(w) -> Column:
     return (col(w) * 500).cast("bigint") * 2
 
 
-def short_number(n) -> Column:
-    """1234 as 1.2K, and so on for M and G."""
+def short_number(n, most: str = "G") -> Column:
+    """1234 as 1.2K, and so on for M and G; no unit beyond `most`, so with K 1234567 is 1234.6K."""
     n = lng(n)
-    return F.when(n >= 10**9, F.format_string("%.1fG", n / 1e9)).when(n >= 10**6, F.format_string("%.1fM", n / 1e6)).when(n >= 1000, F.format_string("%.1fK", n / 1e3)).otherwise(n.cast("string"))
+    found = n.cast("string")
+    for power, unit in ((3, "K"), (6, "M"), (9, "G"))[: "KMG".index(most) + 1]:
+        found = F.when(n >= 10**power, F.format_string(f"%.1f{unit}", n / float(10**power))).otherwise(found)
+    return found
 
 
 def grouped_number(n) -> Column:
