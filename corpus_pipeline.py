@@ -36,18 +36,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, interleaved by target weights: each source's share, none above mixing.MOST_SHARE.
 
-    What a source has beyond its weight follows in later phases. A null source is one of its own; repeated rows stay as
-    often as they are; columns stay unchanged; an empty table gives an empty one.
+    What a source has beyond its weight follows in later phases. The files and their rows hold the order, which the next
+    stage's sequences follow. A null source is one of its own; repeated rows stay as often as they are; columns stay
+    unchanged; an empty table gives an empty one.
     """
     return mixing.interleaved(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of every document and their places in sequences of packing.CAPACITY tokens.
+    """Pieces of every document and their places in sequences of packing.CAPACITY tokens, by sequence_id in the mix's order.
 
     A null or empty text is one piece with the end token alone; null ids stay null; an empty table gives no piece.
     """
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, in_order=True)
 
 
 STAGES = [

@@ -4,7 +4,8 @@ A document's ids are cut only beyond the capacity; full pieces are sequences of
 to shards of bounded size. Each shard starts from best-fit decreasing and then raises the sum of squared fill:
 documents move into, or are exchanged one for one or two for one with, fuller bins, from the least filled bin on,
 until no bin can be emptied any more. What lies in underfull bins, the least filled ones first, is dealt anew to half
-as many shards or fewer until one shard holds the rest.
+as many shards or fewer until one shard holds the rest. Shards are dealt by hash or, where sequences are to keep to the
+order of documents, are windows of neighbours in it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, vectext
@@ -26,6 +27,10 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Expected pieces of one shard.
 SHARD = 5000
+#: Documents of one shard, neighbours, where sequences keep to the order of documents.
+WINDOW = 512
+#: Bits of a row number in the order of documents that are left to the pieces of one document.
+PIECE_BITS = 20
 #: Bins with less room than this part of the capacity count as full; the others are dealt anew.
 FULL = 64
 #: Words whose ids a worker keeps in memory.
@@ -145,29 +150,34 @@ def _pieces(capacity: int, tokenizer: str, with_ids: bool):
     def run(batches):
         words = _word_ids(tokenizer)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            doc_ids, texts, kept = batch.column(0).to_pylist(), batch.column(1), batch.columns[2:]
             _, offs = vectext.buffers(texts)
             texts, row = [t or "" for t in texts.to_pylist()], 0
             while row < len(texts):
                 end = min(max(int(np.searchsorted(offs, offs[row] + vectext.CHUNK_BYTES, "right")) - 1, row + 1), len(texts))
                 out: list[tuple] = []
-                for doc_id, ids in zip(doc_ids[row:end], words.encode(texts[row:end]), strict=True):
+                of: list[int] = []
+                for k, (doc_id, ids) in enumerate(zip(doc_ids[row:end], words.encode(texts[row:end]), strict=True), row):
                     ids = np.append(ids, END_ID).astype("<u4")
+                    of += [k] * -(-len(ids) // capacity)
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         raw = ids[start : start + capacity].tobytes()
                         out.append((doc_id, piece, start, len(raw) // 4, zlib.crc32(raw), raw if with_ids else None))
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:5]), *([pa.array(cols[5], pa.binary())] if with_ids else [])], ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:5]), *([pa.array(cols[5], pa.binary())] if with_ids else []), *(c.take(pa.array(of)) for c in kept)], ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids + batch.schema.names[2:])
                 row = end
 
     return run
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]) of every document's ids, END_ID last; a null text is empty."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, with_ids: bool = False, position: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids][, position]) of every document's ids, END_ID last; a null text is empty.
+
+    position: a bigint column of docs that its pieces keep.
+    """
     common.small_batches(docs.sparkSession)
-    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(_pieces(capacity, tokenizer, with_ids), schema)
+    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids + f", `{position}` bigint" * bool(position)
+    return docs.select("doc_id", "text", *[position] * bool(position)).mapInArrow(_pieces(capacity, tokenizer, with_ids), schema)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -333,20 +343,39 @@ def _least_filled(by_fill: dict[int, int], most: int, level: int) -> F.Column:
     return found
 
 
-def pack(lengths: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+def _neighbours(left: DataFrame, level: int, window: Column) -> DataFrame:
+    """left with its shard: the window, in later rounds neighbouring windows with about WINDOW rows together."""
+    if not level:
+        return left.withColumn("shard", window)
+    left = left.withColumn("window", window)
+    # one row for WINDOW documents
+    sizes = common.stored(left.groupBy("window").agg(F.count("*").alias("n")), "windows")
+    shards = sizes.select("window", F.floor((F.sum("n").over(Window.orderBy("window")) - F.col("n")) / WINDOW).alias("shard"))
+    return left.join(F.broadcast(shards), "window").drop("window")
+
+
+def pack(lengths: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, window: Column | None = None) -> DataFrame:
     """(row, sequence_id, offset) for rows (row bigint, unique; length 1 to capacity); gapless from 0 in each sequence.
 
     A sequence is named by its least row. Each round deals rows of underfull bins, the least filled ones with at most
     half of the round's rows, to shards of about `shard` rows, so that bins of different shards meet; it ends with
     one shard or without underfull bins. All rounds together handle at most twice the rows. An empty table
     gives an empty result.
+
+    window: a number by row that never falls as row rises and that at most WINDOW rows below `capacity` share. Each
+    round's shards are then neighbours in the order of rows, at first windows and later about WINDOW rows of underfull
+    bins until `shard` rows are left, so that sequences by id keep to the order of rows.
     """
     left = lengths.filter(F.col("length") < capacity).select("row", "length")
     done = [lengths.filter(F.col("length") == capacity).select("row", F.col("row").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
     n, level = left.count(), 0
     while n:
-        shards = max(1, -(-n // shard))
-        packed = common.stored(left.groupBy(F.pmod(F.xxhash64("row", F.lit(level)), F.lit(shards)).alias("shard")).applyInArrow(_pack(capacity), "row bigint, length bigint, sequence_id bigint, offset bigint, fill bigint"), f"packed-{level}")
+        shards = max(1, -(-n // (shard if window is None or level else WINDOW)))
+        if window is None or shards == 1:
+            dealt = left.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(shards)))
+        else:
+            dealt = _neighbours(left, level, window)
+        packed = common.stored(dealt.groupBy("shard").applyInArrow(_pack(capacity), "row bigint, length bigint, sequence_id bigint, offset bigint, fill bigint"), f"packed-{level}")
         if shards == 1:
             done.append(packed.select("row", "sequence_id", "offset"))
             break
@@ -362,14 +391,38 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Da
     return found
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
+def _placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, position) of docs, positions from 0 in the order of the table's files and their rows.
+
+    What isn't a table as read is written first, in the order of its partitions and their rows.
+    """
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        docs = common.stored(docs.select("doc_id", "text"), "in-order")
+    at = docs.metadataColumn("_metadata")
+    rows = docs.select("doc_id", "text", at["file_path"].alias("file"), at["row_index"].alias("at"))
+    sizes = common.stored(rows.groupBy("file").agg(F.count("*").alias("n")), "file-sizes")
+    # part numbers beyond 99,999 have more digits
+    before = sizes.select("file", (F.sum("n").over(Window.orderBy(F.length("file"), "file")) - F.col("n")).alias("before"))
+    return rows.join(F.broadcast(before), "file").select("doc_id", "text", (F.col("before") + F.col("at")).alias("position"))
+
+
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, with_ids: bool = False, in_order: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset) of every piece of every document.
 
     Null and empty texts are one piece with END_ID alone; rows that repeat a doc_id are packed each by itself, null
     ids stay null; columns other than doc_id and text are ignored. An empty table gives an empty result.
+
+    in_order: sequences by sequence_id follow the order of docs (of its files and their rows), and documents inside a
+    sequence do, too. WINDOW neighbours share sequences; what they leave in underfull bins joins that of other windows.
     """
-    cut = common.stored(pieces(docs, capacity, tokenizer, with_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
-    return cut.join(pack(cut.select("row", "length"), capacity), "row").drop("row")
+    if not in_order:
+        cut = common.stored(pieces(docs, capacity, tokenizer, with_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
+        return cut.join(pack(cut.select("row", "length"), capacity), "row").drop("row")
+    row = F.shiftleft("position", PIECE_BITS) + F.col("piece")
+    cut = common.stored(pieces(_placed(docs), capacity, tokenizer, with_ids, "position").withColumn("row", row).drop("position"), "pieces")
+    # of a document one piece at most is below the capacity
+    window = F.floor(F.shiftright("row", PIECE_BITS) / WINDOW)
+    return cut.join(pack(cut.select("row", "length"), capacity, window=window), "row").drop("row")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -617,6 +617,43 @@ def test_levels_go_on_while_they_save_bins(spark):
         assert len(fill) <= len(packing.best_fit(lengths, 4096)) * 1.01
 
 
+def test_windows_keep_the_order_of_rows(spark):
+    for name, lengths in {"even": [2460, 1230] * 1500, "rising": [1200 + k // 4 for k in range(4000)], "mixed": np.random.default_rng(5).integers(1, 4097, 3000).tolist()}.items():
+        rows = spark.createDataFrame([(k << packing.PIECE_BITS, n) for k, n in enumerate(lengths)], "row bigint, length bigint")
+        seen = {}
+        for r in packing.pack(rows, shard=600, window=F.floor(F.shiftright("row", packing.PIECE_BITS) / packing.WINDOW)).collect():
+            seen.setdefault(r.sequence_id, []).append((r.offset, r.row >> packing.PIECE_BITS))
+        placed = [sorted(s) for s in seen.values()]
+        assert sorted(k for s in placed for _, k in s) == list(range(len(lengths)))
+        for sequence, s in zip(seen, placed, strict=True):
+            ends = [at + lengths[k] for at, k in s]
+            assert [at for at, _ in s] == [0, *ends[:-1]] and ends[-1] <= 4096
+            assert [k for _, k in s] == sorted(k for _, k in s) and s[0][1] << packing.PIECE_BITS == sequence
+        if name != "rising":
+            assert len(placed) <= len(packing.best_fit(lengths, 4096)) * 1.01
+
+
+def test_pieces_keep_the_order_of_files(spark, tmp_path):
+    """Positions are those of files and rows, not of the tasks that read them (large files come first there)."""
+    long, short = "alpha beta gamma " * 3000, "delta epsilon"
+    d = spark.createDataFrame([(k, f"{k} {short}" if k < 300 else f"{k} {long}") for k in range(400)], "doc_id bigint, text string")
+    ranges = d.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").withColumn("more", F.lit(1))
+    ranges.write.parquet(f"{tmp_path}/d.parquet")
+    stored = spark.read.parquet(f"{tmp_path}/d.parquet")
+    for rows in (stored, d, ranges):
+        assert {(r.doc_id, r.position) for r in packing._placed(rows).collect()} == {(k, k) for k in range(400)}
+    got = packing.pack_documents(stored, in_order=True).collect()
+    plain = packing.pack_documents(stored).collect()
+    own = ("doc_id", "piece", "start", "length", "ids_crc32")
+    assert Counter(tuple(r[c] for c in own) for r in got) == Counter(tuple(r[c] for c in own) for r in plain)
+    first = [r.doc_id for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)) if r.piece == 0]
+    assert len(first) == 400 and all(r.sequence_id >> packing.PIECE_BITS <= r.doc_id for r in got)
+    for make in (odd_docs, empty_docs):
+        odd = packing.pack_documents(make(spark), in_order=True)
+        assert odd.columns == packing.pack_documents(make(spark)).columns
+        assert Counter(r.doc_id for r in odd.collect() if not r.piece) == Counter(r.doc_id for r in make(spark).collect())
+
+
 def test_local_search_only_improves():
     rng = np.random.default_rng(9)
     for _ in range(20):
@@ -936,6 +973,22 @@ def test_hot_source_loses_nothing(spark):
     assert set(kept[-300:]) == {"hot"}
 
 
+def test_sequences_follow_the_mix(spark):
+    """The sequences that packing makes of the mix hold its shares from the first to the last, not those of all documents."""
+    import corpus_pipeline
+
+    text = F.concat_ws(" ", F.array_repeat(F.concat(F.lit("w"), F.col("id") % 89), (20 + F.col("id") * 37 % 400).cast("int")))
+    d = spark.range(4000).select(F.col("id").alias("doc_id"), text.alias("text"), F.when(F.col("id") % 5 < 2, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"))
+    source = {r.doc_id: r.source for r in d.select("doc_id", "source").collect()}
+    mixed = common.stored(corpus_pipeline.source_mix(spark, d, ""), "mixed")
+    got = corpus_pipeline.best_fit_packing(spark, mixed, "").collect()
+    assert sorted(r.doc_id for r in got) == list(range(4000))
+    order = [source[r.doc_id] for r in sorted(got, key=lambda r: (r.sequence_id, r.offset))]
+    for k in range(0, 3200, 800):
+        assert 0.25 < order[k : k + 800].count("hot") / 800 < 0.36  # about the cap of 0.3, where all documents have 0.4
+    assert order[-300:].count("hot") > 290  # the surplus
+
+
 # --- pipeline ---
 
 
